@@ -88,6 +88,16 @@ def skew_join(
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread: Column, *text: str
+) -> DataFrame:
+    """Join to a side that is broadcast if it was measured small, else shuffled with hot keys spread."""
+    if is_small(right, *text):
+        return left.join(F.broadcast(right), list(on), how)
+    [hot] = hot_keys(left, on)
+    return skew_join(left, right, on, how, spread, hot)
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """Make sure a checkpoint folder is set.
 
