@@ -14,7 +14,7 @@ from .. import runtime
 def missing_ranges(units: DataFrame) -> DataFrame:
     """One row ``stale``: does any unit lack its source range?"""
     lacking = F.col("start_offset").isNull() | F.col("end_offset").isNull()
-    return units.agg(F.coalesce(F.bool_or(lacking), F.lit(False)).alias("stale"))
+    return units.filter(lacking).limit(1).agg((F.count("*") > 0).alias("stale"))
 
 
 def file_status(

@@ -7,7 +7,7 @@ of an order as calls.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import runtime
 
@@ -70,3 +70,139 @@ def next_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("l_orderkey", "l_partkey", F.lead("l_partkey").over(in_order).alias("callee_id"))
         .filter(F.col("callee_id").isNotNull())
         .select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("caller_id"), "callee_id"))
+
+
+def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page titles as queries."""
+    return page_units(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("name").alias("text"))
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of its own."""
+    return table(spark, sf_dir, "documents", "doc_id").select(
+        F.concat_ws("/", "source", "doc_id").alias("path"), F.col("text").alias("content"))
+
+
+def shared_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels ``query_id, key``: units that repeat a sentence of the query word for word."""
+    def sentences(df: DataFrame, text: str, *keep: str) -> DataFrame:
+        cut = df.select(*keep, F.explode(F.split(text, "[.\n]")).alias("sentence"))
+        return cut.withColumn("sentence", F.trim("sentence")).filter(F.length("sentence") >= 20).distinct()
+
+    wanted = sentences(text_queries(spark, sf_dir), "text", "query_id")
+    units = document_units(spark, sf_dir).withColumn("key", F.concat_ws(":", "file_path", "name"))
+    told = sentences(units, "code", "key")
+    return runtime.lookup_join(told, wanted, ["sentence"], "inner", F.col("key"), "sentence").select(
+        "query_id", "key").distinct()
+
+
+def _days_ms(date: str) -> Column:
+    return (F.datediff(date, F.lit("1970-01-01")) * F.lit(86_400_000).cast("bigint")).cast("bigint")
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders not marked urgent as the files of an earlier scan."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority <> '1-URGENT'")
+    return orders.select(
+        F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("path"),
+        _days_ms("o_orderdate").alias("mtime_ms"),
+        F.floor("o_totalprice").cast("bigint").alias("size"))
+
+
+def current_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as files now: status P grew, 2-HIGH was touched, 5-LOW with status F is gone."""
+    orders = table(spark, sf_dir, "orders").filter("NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'F')")
+    return orders.select(
+        F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("path"),
+        (_days_ms("o_orderdate") + F.when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(0)).alias("mtime_ms"),
+        (F.floor("o_totalprice") + F.when(F.col("o_orderstatus") == "P", 10).otherwise(0)).cast("bigint").alias("size"))
+
+
+def touched_paths(units: DataFrame) -> DataFrame:
+    """Paths that end in an odd digit."""
+    return units.filter(F.col("file_path").rlike("[13579]$")).select(F.col("file_path").alias("path")).distinct()
+
+
+def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses as file paths: hosts become folders, languages become extensions."""
+    below = F.regexp_replace("url", "^https?://", "")
+    below = F.regexp_replace(below, "^m\\.", "build/")
+    below = F.regexp_replace(below, "^www\\.", ".www/")
+    ending = (
+        F.when(F.col("url").contains("/en/"), ".ts").when(F.col("url").contains("/fr/"), ".jsx")
+        .when(F.col("url").contains("/de/"), ".d.ts").otherwise(".min.js"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit("file:/srv/project/"), below, ending).alias("path"))
+
+
+def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script of every page."""
+    return table(spark, sf_dir, "pages", "page_id").select(
+        F.col("page_id").cast("string").alias("path"),
+        F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1).alias("content"))
+
+
+def part_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is a unit: a quarter of the names is made unique, a third has no class."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key.alias("id"),
+        F.when(key % 4 == 0, F.concat_ws("_", "p_name", key)).otherwise(F.col("p_name")).alias("name"),
+        F.when(key % 3 != 0, F.col("p_brand")).alias("class_name"),
+        F.concat_ws("/", "p_type", (key % 40).cast("string")).alias("file_path"),
+        F.lit(1).alias("start_line"), F.col("p_size").alias("end_line"),
+        F.concat(F.col("p_type"), F.lit(" "), F.col("p_brand")).alias("code"))
+
+
+def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part calls the next part of its order by name, with three kinds of receiver."""
+    callee = part_units(spark, sf_dir).select(F.col("id").alias("callee_id"), "name", "class_name")
+    kind = F.col("order_id") % 3
+    named = runtime.lookup_join(
+        next_parts(spark, sf_dir), callee, ["callee_id"], "inner", F.col("order_id"), "name", "class_name")
+    return named.select(
+        "caller_id", "name", F.when(kind == 0, F.col("class_name")).when(kind == 1, "this").alias("receiver"))
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return next_parts(spark, sf_dir).filter("caller_id <> callee_id").select("caller_id", "callee_id").distinct()
+
+
+def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query per brand."""
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    return brands.select(
+        F.regexp_extract("p_brand", "(\\d+)", 1).cast("bigint").alias("query_id"), F.col("p_brand").alias("text"))
+
+
+def part_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three dearest parts of a brand as its ranked matches."""
+    ranked = table(spark, sf_dir, "part").select(
+        F.regexp_extract("p_brand", "(\\d+)", 1).cast("bigint").alias("query_id"),
+        F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 10000).alias("score"))
+    return runtime.top_k(ranked, "query_id", [F.desc("score"), F.asc("id")], 3)
+
+
+# Source text of a part, by p_partkey % 5.  {k} is the part's key, {s} its size.
+SOURCE_FORMS = (
+    "function fn_{k}(value) {\n  return helper_{s}(value);\n}",
+    "export const arrow_{k} = async (value) => {\n  // not a brace: {\n  return this.step_{s}(value);\n};",
+    "class Part{k} extends Base {\n  @trace()\n  private async run_{k}(value: number): Promise<void> {\n"
+    "    if (value > {s}) { log.write(\"}\"); }\n  }\n}",
+    "export const pick_{k} = (value) => load_{s}(value) + {s};",
+    "const table_{k} = {\n  get size() { return {s}; },\n  on_{k}: function (value) { return fn_{k}(value); }\n};",
+)
+SOURCE_SEPARATOR = "\n\n"
+
+
+def generated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: source files written from the parts, forty parts to a file."""
+    form = F.element_at(F.array(*map(F.lit, SOURCE_FORMS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    filled = F.replace(
+        F.replace(form, F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string"))
+    parts = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("src/"), F.floor(F.col("p_partkey") / 40).cast("string"), F.lit(".ts")).alias("path"),
+        "p_partkey", filled.alias("chunk"))
+    ordered = F.array_sort(F.collect_list(F.struct("p_partkey", "chunk")))
+    return parts.groupBy("path").agg(
+        F.array_join(F.transform(ordered, lambda c: c["chunk"]), SOURCE_SEPARATOR).alias("content"))
