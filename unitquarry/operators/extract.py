@@ -102,6 +102,17 @@ def _open_templates(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, token))
 
 
+def _by_path(sources: DataFrame) -> DataFrame:
+    """Files partitioned by path.
+
+    The number of partitions is given, because a token list is many times
+    larger than its text and the text's size would call for too few.
+    """
+    spark = sources.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return sources.select("path", "content").repartition(parts, "path")
+
+
 def tokens(sources: DataFrame) -> DataFrame:
     """Significant tokens of every ``path, content`` row with offsets, lines and bracket level.
 
@@ -109,7 +120,7 @@ def tokens(sources: DataFrame) -> DataFrame:
     windows below need no further shuffle.
     """
     has_holes = F.col("content").contains("${")
-    cut = sources.select("path", "content").repartition("path").select("path", F.col("content"), _cut(F.col("content")).alias("toks"))
+    cut = _by_path(sources).select("path", F.col("content"), _cut(F.col("content")).alias("toks"))
     opened = cut.select("path", F.when(has_holes, _open_templates(_open_templates(F.col("toks")))).otherwise(F.col("toks")).alias("toks"))
     # The last statement of a file always ends somewhere.
     rows = opened.select("path", F.posexplode(F.concat("toks", F.array(F.lit("\n"), F.lit(";")))).alias("pos", "tok"))
@@ -408,7 +419,7 @@ def extract_functions(sources: DataFrame) -> DataFrame:
     def text(start: str, end: str) -> Column:
         return F.substring(F.col("content"), F.col(start) + 1, F.col(end) - F.col(start))
 
-    return found.join(sources.select("path", "content").repartition("path"), "path").select(
+    return found.join(_by_path(sources), "path").select(
         F.col("path").alias("file_path"),
         F.coalesce("name", text("name_from", "name_to"), F.lit("<anonymous>")).alias("name"),
         "kind", "class_name", F.col("line").alias("start_line"), "end_line",
