@@ -49,6 +49,8 @@ def build_index(
         stored = stored.join(gone.select("path"), "path", "left_anti")
 
     found = extract.extract_functions(read(due.select("path", "mtime_ms", "size")).select("path", "content"))
+    # Sorting by range samples its input first; it should not extract twice.
+    found = snapshot.write_table(found, f"{at}/found")
     # A file's functions in reading order, outer before inner.
     order = ["file_path", "start_offset", F.desc("end_offset")]
     staged = found.repartitionByRange("file_path", "start_offset").sortWithinPartitions(*order)

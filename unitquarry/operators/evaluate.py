@@ -113,7 +113,8 @@ def compare_methods(
     methods: dict[str, DataFrame], units: DataFrame, queries: DataFrame, qrels: DataFrame, files: DataFrame
 ) -> DataFrame:
     """One row per method, the whole corpus first: ``method, token_reduction_percent, precision, recall``."""
-    tokens = corpus_tokens(files)
+    # Labels and corpus size serve every method; work them out once.
+    qrels, tokens = runtime.cut(qrels.select("query_id", "key").distinct()), runtime.cut(corpus_tokens(files))
     rows = [macro_average(per_query_full(units, queries, qrels), FULL)]
     rows += [
         macro_average(per_query(results, units, queries, qrels, tokens), method)
