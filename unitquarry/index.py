@@ -64,10 +64,14 @@ def build_index(
     units = snapshot.write_table(kept.select(columns).unionByName(fresh.select(columns)), f"{at}/units")
 
     new_units = units.filter(F.col("id") > before.last_id)
-    calls = extract.unit_calls(new_units)
+    calls, postings = extract.unit_calls(new_units), ranking.postings(new_units)
     if before.version:
-        old_ids = units.filter(F.col("id") <= before.last_id).select(F.col("id").alias("caller_id"))
-        calls = before.calls.join(old_ids, "caller_id", "left_semi").unionByName(calls)
+        old_ids = units.filter(F.col("id") <= before.last_id).select("id")
+        calls = before.calls.join(
+            old_ids.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi").unionByName(calls)
+        postings = before.postings.join(old_ids, "id", "left_semi").unionByName(postings)
+    # In token order, a search of a few words skips the row groups without them.
+    snapshot.write_table(postings.sortWithinPartitions("token"), f"{at}/postings")
     calls = snapshot.write_table(calls, f"{at}/calls")
     snapshot.write_table(callgraph.build_call_graph(units, calls), f"{at}/edges")
     snapshot.write_table(maintain.upsert_files(stored, due), f"{at}/files")
@@ -89,7 +93,7 @@ def index_project(
 
 def search_keyword(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     """Ranked matches by token overlap alone, with the units' columns."""
-    return ranking.describe(ranking.keyword_search(index.units, queries, k), index.units)
+    return ranking.describe(ranking.keyword_search(index.units, queries, k, index=index.postings), index.units)
 
 
 def _ranked(
@@ -97,7 +101,7 @@ def _ranked(
 ) -> DataFrame:
     if "embedding" not in queries.columns:
         queries = embed_queries(queries, make_embedder)
-    found = ranking.hybrid_search(index.units, queries, k)
+    found = ranking.hybrid_search(index.units, queries, k, index=index.postings)
     # The edge table is read only when it is needed.
     return expand.expand(found, index.edges, index.units, depth) if expand_dependencies else found
 
@@ -140,7 +144,7 @@ def run_benchmark(
     indexing_ms = (time.perf_counter() - start) * 1000
     embedded = runtime.cut(embed_queries(queries, make_embedder))
     methods = {
-        evaluate.KEYWORD: lambda: ranking.keyword_search(index.units, queries, k),
-        evaluate.HYBRID: lambda: ranking.hybrid_search(index.units, embedded, k)}
+        evaluate.KEYWORD: lambda: ranking.keyword_search(index.units, queries, k, index=index.postings),
+        evaluate.HYBRID: lambda: ranking.hybrid_search(index.units, embedded, k, index=index.postings)}
     metrics = evaluate.benchmark_report(methods, index.units, queries, qrels, sources, indexing_ms)
     return metrics, evaluate.corpus_summary(sources, index.units, queries)

@@ -50,16 +50,13 @@ def resolve_calls(units: DataFrame, calls: DataFrame) -> DataFrame:
     by_owner = _only(units.filter(F.col("owner").isNotNull()), ["owner", "name"], "by_owner")
     by_name = _only(units, ["name"], "by_name")
 
-    hot_owner, hot_name = runtime.hot_keys(calls.select(
-        F.col("receiver").alias("owner"), "name"), ["owner", "name"], ["name"])
-    # Calls with the same name in one file are few; the same name everywhere may
-    # be a large share of all calls, so the last two lookups spread hot names.
-    found = (
-        asked
-        .join(by_file_class, ["file_path", "class_key", "name"], "left")
-        .join(by_file, ["file_path", "name"], "left"))
-    found = runtime.skew_join(found, by_owner, ["owner", "name"], "left", F.col("caller_id"), hot_owner)
-    found = runtime.skew_join(found, by_name, ["name"], "left", F.col("caller_id"), hot_name)
+    # One name, or one name of one file, may be a large share of all calls.
+    lookups = (
+        (by_file_class, ["file_path", "class_key", "name"]), (by_file, ["file_path", "name"]),
+        (by_owner, ["owner", "name"]), (by_name, ["name"]))
+    found = asked
+    for (lookup, keys), hot in zip(lookups, runtime.hot_keys(asked, *[keys for _, keys in lookups])):
+        found = runtime.skew_join(found, lookup, keys, "left", F.col("caller_id"), hot)
     return found.select(
         "caller_id", "name", "receiver",
         F.coalesce("by_owner", "in_class", "in_file", "by_name").alias("callee_id"),

@@ -52,14 +52,14 @@ def per_query(
     # Results are few and units many: shrink the units before anything is shuffled.
     found = runtime.lookup_join(
         keyed_units.select("id", "key"), results.select("id").distinct(), ["id"], "left_semi", F.col("id"))
-    returned = results.join(found, "id").groupBy("query_id", "key").agg(F.count("*").alias("rows"))
-    returned = runtime.cut(returned)
+    # A unit, and a key, may be returned for a large share of all queries.
+    returned = runtime.lookup_join(results, runtime.cut(found), ["id"], "inner", F.col("query_id"), "key")
+    returned = runtime.cut(returned.groupBy("query_id", "key").agg(F.count("*").alias("rows")))
     same_key = runtime.lookup_join(
         keyed_units, returned.select("key").distinct(), ["key"], "left_semi", F.col("id"), "key")
-    first = same_key.groupBy("key").agg(F.min_by("tokens", "id").alias("tokens"))
+    first = runtime.cut(same_key.groupBy("key").agg(F.min_by("tokens", "id").alias("tokens")))
     judged = (
-        returned
-        .join(first, "key")
+        runtime.lookup_join(returned, first, ["key"], "inner", F.col("query_id"), "key")
         .join(qrels.withColumn("relevant", F.lit(1)), ["query_id", "key"], "left")
         .groupBy("query_id").agg(
             F.sum("rows").alias("returned"),

@@ -58,12 +58,13 @@ def expand(results: DataFrame, edges: DataFrame, units: DataFrame, depth: int =
         found = (
             met.select("query_id", F.col("dst").alias("id"), code.alias("code"))
             .groupBy("query_id", "id").agg(F.min("code").alias("code"))
-            .join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
-            .join(ids, "id", "left_semi"))
+            .join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti"))
         found = runtime.cut(found)
-        rows = found.count()
+        # A hub may be found for a large share of all queries.
+        rows, [hubs] = runtime.key_profile(found, ["id"])
         if rows == 0:
             break
+        found = runtime.skew_join(found, ids, ["id"], "left_semi", F.col("query_id"), hubs)
         before = seen.groupBy("query_id").agg(F.max("pos").alias("before"))
         ranked = runtime.number_rows(found, "query_id", ["code", "id"], rows, into="rank")
         level = runtime.lookup_join(ranked, before, ["query_id"], "inner", F.col("id")).select(

@@ -132,7 +132,7 @@ def tokens(sources: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)).cast("int").alias("start"),
         (F.coalesce(F.sum("breaks").over(before), F.lit(0)) + 1).cast("int").alias("line"), "breaks")
     trivia = F.col("tok").rlike(r"^(?:[\s\x{a0}\x{feff}\x{2028}\x{2029}]|//|/\*)")
-    opens, closes = F.col("tok").isin("{", "(", "[", "${"), F.col("tok").isin("}", ")", "]")
+    opens, closes = _in("tok", "{", "(", "[", "${"), _in("tok", "}", ")", "]")
     solid = placed.filter(~trivia).select(
         "path", "pos", "tok", "start", (F.col("start") + F.length("tok")).alias("end"),
         "line", (F.col("line") + F.col("breaks")).cast("int").alias("end_line"),
@@ -154,6 +154,12 @@ def _is_word(tok: Column) -> Column:
     return tok.rlike(r"^#?[\p{L}_$]")
 
 
+def _in(column: str, *words: str) -> Column:
+    """Membership in a list of words, parsed from one SQL text: a column per word would be slow to build."""
+    name = ".".join(f"`{part}`" for part in column.split("."))
+    return F.expr(f"{name} IN ({', '.join(repr(w) for w in words)})")
+
+
 def _is_text(tok: Column) -> Column:
     return tok.rlike("^[\"'`0-9]")
 
@@ -197,36 +203,36 @@ def _levels(toks: DataFrame) -> DataFrame:
     })
 
     # A brace in a type, and the closing brace next to it, do not end a head.
-    typed = (tok == "{") & f1.isin(*TYPE_BEFORE)
-    typed_end = (tok == "}") & (f1 == "{") & f2.isin(*TYPE_BEFORE)
-    stop = tok.isin(";", "=", "=>", BEGIN, END) | ((tok == "{") & ~flag(typed)) | ((tok == "}") & ~flag(typed_end))
+    typed = (tok == "{") & _in("f1", *TYPE_BEFORE)
+    typed_end = (tok == "}") & (f1 == "{") & _in("f2", *TYPE_BEFORE)
+    stop = _in("tok", ";", "=", "=>", BEGIN, END) | ((tok == "{") & ~flag(typed)) | ((tok == "}") & ~flag(typed_end))
     decorated = tok.startswith("@") | ((tok == "(") & f1.startswith("@")) | ((tok == ")") & (f1 == "(") & f2.startswith("@"))
-    star = (tok == "*") & f1.isin(BEGIN, ",", ";", "}", *MODIFIERS)
-    member_access = f1.isin(".", "?.")
+    star = (tok == "*") & _in("f1", BEGIN, ",", ";", "}", *MODIFIERS)
+    member_access = _in("f1", ".", "?.")
     class_word = (tok == "class") & ~flag(member_access) & (
-        g1.isin("{", "extends") | (_is_word(g1) & g2.isin("{", "extends", "implements", "<")))
-    function_word = (tok == "function") & ~flag(member_access) & (g1.isin("(", "*", "<") | _is_word(g1))
-    operand_before = _is_word(f1) & ~f1.isin(*BEFORE_ARROW) | f1.isin(")", "]", ">")
+        _in("g1", "{", "extends") | (_is_word(g1) & _in("g2", "{", "extends", "implements", "<")))
+    function_word = (tok == "function") & ~flag(member_access) & (_in("g1", "(", "*", "<") | _is_word(g1))
+    operand_before = _is_word(f1) & ~_in("f1", *BEFORE_ARROW) | _in("f1", ")", "]", ">")
     rows = rows.withColumns({
         "stop": flag(stop), "typed": flag(typed),
         "class_word": flag(class_word), "function_word": flag(function_word),
-        "function_lead": flag(decorated | tok.isin(*FUNCTION_MODIFIERS)),
-        "method_lead": flag(decorated | star | tok.isin(*MODIFIERS)),
+        "function_lead": flag(decorated | _in("tok", *FUNCTION_MODIFIERS)),
+        "method_lead": flag(decorated | star | _in("tok", *MODIFIERS)),
         # The name in front of type arguments, unless it stands in a type itself.
-        "generic_name": flag((g1 == "<") & _is_word(tok)) & ~flag(f1.isin("<", ",", "extends", "|", "&", ":", "=>")),
+        "generic_name": flag((g1 == "<") & _is_word(tok)) & ~flag(_in("f1", "<", ",", "extends", "|", "&", ":", "=>")),
         "generic_open": flag(tok == "<") & ~flag(operand_before),
         "group_pos": F.coalesce("group.pos", F.lit(-1)),
         # Is a "?" waiting for its ":"?
         "asked": F.coalesce(last(
-            tok.isin("?", ",", ";", BEGIN), F.when((tok == "?") & ~flag(g1.isin(":", ",", ")", "=", ";")), True).otherwise(False)),
+            _in("tok", "?", ",", ";", BEGIN), F.when((tok == "?") & ~flag(_in("g1", ":", ",", ")", "=", ";")), True).otherwise(False)),
             F.lit(False)),
         "type_alias": F.coalesce(last(
-            (flag((tok == "type") & _is_word(g1) & g2.isin("=", "<"))
-             | tok.isin(";", "const", "let", "var", "function", "class", "return", "import", BEGIN)), tok == "type"), F.lit(False)),
+            (flag((tok == "type") & _is_word(g1) & _in("g2", "=", "<"))
+             | _in("tok", ";", "const", "let", "var", "function", "class", "return", "import", BEGIN)), tok == "type"), F.lit(False)),
         # const name = / const name: Type =
         "declared": last(
-            flag(f1.isin("const", "let", "var") & g1.isin("=", ":")) | tok.isin(";", "=", BEGIN),
-            F.when(flag(f1.isin("const", "let", "var") & g1.isin("=", ":")), tok).otherwise("")),
+            flag(_in("f1", "const", "let", "var") & _in("g1", "=", ":")) | _in("tok", ";", "=", BEGIN),
+            F.when(flag(_in("f1", "const", "let", "var") & _in("g1", "=", ":")), tok).otherwise("")),
         # First word of the chain of names left of this row.
         "chain": last(_is_word(tok) & ~flag(member_access), F.struct("pos", "start", F.col("f1").alias("f1"))),
         "closed": last(tok == ")", F.col("pos")),
@@ -240,8 +246,8 @@ def _levels(toks: DataFrame) -> DataFrame:
         .when(F.col("declared") != "", F.struct(
             F.lit("var").alias("by"), F.col("declared").alias("name"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to")))
         # A default value of a parameter or a pattern names nothing.
-        .when(~flag(F.col("group.tok").isin("(", "[") | (
-            (F.col("group.tok") == "{") & F.col("group.p1").isin(*OBJECT_BEFORE, "const", "let", "var"))), F.struct(
+        .when(~flag(_in("group.tok", "(", "[") | (
+            (F.col("group.tok") == "{") & _in("group.p1", *OBJECT_BEFORE, "const", "let", "var"))), F.struct(
             F.lit("=").alias("by"), F.lit(None).cast("string").alias("name"), F.col("chain.start").alias("from"), F.col("f1_end").alias("to"))))
     naming = F.when(tok == ":", F.struct(
         F.when(F.col("asked"), "ternary").when(f1 == "?", "type").otherwise(":").alias("by"), unquoted.alias("name"),
@@ -277,11 +283,11 @@ def _levels(toks: DataFrame) -> DataFrame:
     params_from = F.when((f1 == ">") & (F.col("generic_from.pos") > F.col("group_pos")), F.col("generic_from.at")).otherwise(F.col("arrow_from"))
     rows = rows.withColumn("params_from", params_from)
     arrow_params = flag((tok == "(") & (g1 == ")") & (g2 == ":")) & ~flag(
-        (_is_word(f1) & ~f1.isin(*BEFORE_ARROW)) | f1.isin("?", ")", "]"))
+        (_is_word(f1) & ~_in("f1", *BEFORE_ARROW)) | _in("f1", "?", ")", "]"))
     has_generic = (f1 == ">") & (F.col("generic_head.pos") > F.col("group_pos"))
     computed = (f1 == "]") & (f2 == "[")
-    plain = (_is_word(f1) | _is_text(f1)) & ~f1.isin(*NOT_A_METHOD) & ~flag(f2.isin(".", "?.", "new", "function"))
-    method_head = flag((tok == "(") & (g1 == ")") & g2.isin("{", ":") & (F.col("waiting") == "")) & flag(plain | computed | has_generic)
+    plain = (_is_word(f1) | _is_text(f1)) & ~_in("f1", *NOT_A_METHOD) & ~flag(_in("f2", ".", "?.", "new", "function"))
+    method_head = flag((tok == "(") & (g1 == ")") & _in("g2", "{", ":") & (F.col("waiting") == "")) & flag(plain | computed | has_generic)
     head = F.struct(
         "pos",
         F.when(computed, F.col("computed_from")).when(has_generic, F.col("generic_head.method_from")).otherwise(F.col("name_from")).alias("at"),
@@ -295,7 +301,7 @@ def _levels(toks: DataFrame) -> DataFrame:
         "method": F.coalesce(F.last(boxed, ignorenulls=True).over(before), F.struct(nothing.alias("head"))).getField("head"),
         "method_stopped": last(F.col("stop") | F.col("function_word") | F.col("class_word"), F.col("pos")),
         "typed_params": last(arrow_params, F.struct("pos", F.col("params_from").alias("at"))),
-        "params_stopped": last(tok.isin(";", "=", "=>", BEGIN, END) | F.col("stop"), F.col("pos")),
+        "params_stopped": last(_in("tok", ";", "=", "=>", BEGIN, END) | F.col("stop"), F.col("pos")),
         "params_before": F.lag("params_from", 2).over(order), "single_before": F.lag("arrow_from").over(order),
     })
 
@@ -314,7 +320,7 @@ def _functions(levels: DataFrame) -> DataFrame:
         F.col("function_from.start").alias("start"), F.col("function_from.line").alias("line"),
         own_name.alias("name"), F.when(by_default, "default").alias("fallback"),
         F.col("function_from.naming").alias("naming"))).when(F.col("class_word"), F.struct(
-            "start", "line", F.when(_is_word(g1) & ~g1.isin("extends", "implements"), g1).otherwise("<anonymous class>").alias("name"),
+            "start", "line", F.when(_is_word(g1) & ~_in("g1", "extends", "implements"), g1).otherwise("<anonymous class>").alias("name"),
             F.lit(None).cast("string").alias("fallback"), F.col("function_from.naming").alias("naming")))
     rows = levels.withColumn("declared_head", F.last(declared, ignorenulls=True).over(before))
 
@@ -326,14 +332,14 @@ def _functions(levels: DataFrame) -> DataFrame:
     prev = F.col("arrow.tok")
     block = g1 == "{"
     in_type_group = (prev == BEGIN) & (group["tok"] == "(") & (
-        group["p1"].isin(*FUNCTION_TYPE_BEFORE) | ((group["p1"] == ":") & ~block))
+        _in("group.p1", *FUNCTION_TYPE_BEFORE) | ((group["p1"] == ":") & ~block))
     object_value = (group["tok"] == "{") & F.when(
-        group["p1"].isin(*OBJECT_BEFORE), ~((group["p1"] == "=") & F.coalesce(group["p3"] == "type", F.lit(False)))
-    ).when(group["p1"] == ":", ~group["p2"].isin("}", ")", "?", "]") & (block | ~g1.isin(*TYPE_NAMES))).otherwise(False)
+        _in("group.p1", *OBJECT_BEFORE), ~((group["p1"] == "=") & F.coalesce(group["p3"] == "type", F.lit(False)))
+    ).when(group["p1"] == ":", ~_in("group.p2", "}", ")", "?", "]") & (block | ~_in("g1", *TYPE_NAMES))).otherwise(False)
     is_type = (
-        prev.isin(*FUNCTION_TYPE_BEFORE) | in_type_group | (naming["by"] == "type") | F.col("type_alias")
+        _in("arrow.tok", *FUNCTION_TYPE_BEFORE) | in_type_group | (naming["by"] == "type") | F.col("type_alias")
         | ((naming["by"] == ":") & ~F.coalesce(object_value, F.lit(False)))
-        | (_is_word(prev) & ~prev.isin(*BEFORE_ARROW)))
+        | (_is_word(prev) & ~_in("arrow.tok", *BEFORE_ARROW)))
     is_arrow = F.col("arrow").isNotNull() & ~F.coalesce(is_type, F.lit(False))
     is_method = body & (F.col("waiting") == "") & (F.col("method.pos") > F.coalesce("method_stopped", F.lit(-1)))
     kind = (
@@ -342,10 +348,10 @@ def _functions(levels: DataFrame) -> DataFrame:
         .when(body & (F.col("waiting") == "class"), "class")
         .when(F.coalesce(is_method, F.lit(False)), "method"))
     # Where an arrow function without braces ends.
-    ends_operand = (_is_word(F.col("p1")) & ~F.col("p1").isin(*NO_OPERAND, *BINARY_WORDS)) | _is_text(F.col("p1")) | F.col("p1").isin(")", "]", "}")
-    starts_operand = (_is_word(tok) & ~tok.isin(*BINARY_WORDS)) | _is_text(tok) | tok.isin("{") | tok.startswith("@")
+    ends_operand = (_is_word(F.col("p1")) & ~_in("p1", *NO_OPERAND, *BINARY_WORDS)) | _is_text(F.col("p1")) | _in("p1", ")", "]", "}")
+    starts_operand = (_is_word(tok) & ~_in("tok", *BINARY_WORDS)) | _is_text(tok) | _in("tok", "{") | tok.startswith("@")
     broken = (F.col("line") > F.col("p_line")) & ends_operand & starts_operand
-    ends = tok.isin(",", ";", END) | F.coalesce(broken, F.lit(False))
+    ends = _in("tok", ",", ";", END) | F.coalesce(broken, F.lit(False))
     rows = rows.select(
         "path", "level", "pos", "mark", "group_pos", "start", kind.alias("kind"),
         F.when(ends, F.struct("p_end", "p_line")).alias("ends"),
@@ -453,11 +459,11 @@ def extract_calls(sources: DataFrame) -> DataFrame:
         F.coalesce(made, F.lit(False)).alias("made"),
         F.when(F.col("f1").startswith("@"), F.split(F.expr("substring(f1, 2)"), "[.]")).alias("decorator"))
     c1, c2, c3, c4 = (F.col(f"c{i}") for i in (1, 2, 3, 4))
-    dotted = F.coalesce(c2.isin(".", "?."), F.lit(False))
-    plain = ~c1.isin(*NEVER_CALLED, "this") & ~F.coalesce(c2.isin("function", "new"), F.lit(False)) & (F.col("waiting") != "function")
+    dotted = F.coalesce(_in("c2", ".", "?."), F.lit(False))
+    plain = ~_in("c1", *NEVER_CALLED, "this") & ~F.coalesce(_in("c2", "function", "new"), F.lit(False)) & (F.col("waiting") != "function")
     called = _is_word(c1) & ~F.col("made") & (dotted | plain)
     receiver = F.when(
-        dotted & _is_word(c3) & (c3 != "super") & ~F.coalesce(c4.isin(".", "?."), F.lit(False)), c3)
+        dotted & _is_word(c3) & (c3 != "super") & ~F.coalesce(_in("c4", ".", "?."), F.lit(False)), c3)
     decorator = F.col("decorator")
     calls = sites.filter(decorator.isNotNull() | F.coalesce(called, F.lit(False))).select(
         "path", F.when(decorator.isNotNull(), F.element_at(decorator, -1)).otherwise(c1).alias("name"),

@@ -54,6 +54,7 @@ def delete_edges(edges: DataFrame, units: DataFrame, paths: DataFrame) -> DataFr
     gone = runtime.lookup_join(
         units.select("id", F.col("file_path").alias("path")), paths.select("path").distinct(),
         ["path"], "left_semi", F.col("id"), "path").select("id")
+    gone = runtime.cut(gone)
     kept = edges
     # A hub may be the end of a large share of all edges.
     for end, other in (("caller_id", "callee_id"), ("callee_id", "caller_id")):

@@ -51,8 +51,8 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan.repartition(2 * cores, key) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def hot_keys(df: DataFrame, *keys: Sequence[str]) -> list[list[int]]:
-    """Hashes of the keys that hold a large share of the rows of ``df``.
+def key_profile(df: DataFrame, *keys: Sequence[str]) -> tuple[int, list[list[int]]]:
+    """Rows of ``df``, and the hashes of the keys that hold a large share of them.
 
     One job for any number of key column lists.  The sketch returns at most
     ``HOT_KEYS`` hashes per list whatever the data size.  Only the speed of a
@@ -64,7 +64,11 @@ def hot_keys(df: DataFrame, *keys: Sequence[str]) -> list[list[int]]:
     ]
     row = df.agg(F.count("*").alias("n"), *sketches).first()
     bar = max(HOT_ROWS, HOT_SHARE * row["n"])
-    return [[e["item"] for e in row[f"k{i}"] if e["count"] >= bar] for i in range(len(keys))]
+    return row["n"], [[e["item"] for e in row[f"k{i}"] if e["count"] >= bar] for i in range(len(keys))]
+
+
+def hot_keys(df: DataFrame, *keys: Sequence[str]) -> list[list[int]]:
+    return key_profile(df, *keys)[1]
 
 
 def skew_join(

@@ -15,6 +15,7 @@ UNITS = (
     "start_offset int, end_offset int, code string, embedding array<float>")
 FILES = "path string, mtime_ms bigint, size bigint"
 CALLS = "caller_id bigint, name string, receiver string, at int"
+POSTINGS = "token string, id bigint, in_name boolean, in_class boolean, tf bigint"
 EDGES = "caller_id bigint, callee_id bigint"
 MANIFEST = "version bigint, last_id bigint, files_scanned bigint, functions_indexed bigint"
 
@@ -27,6 +28,7 @@ class Index(NamedTuple):
     last_id: int
     files: DataFrame
     units: DataFrame
+    postings: DataFrame
     calls: DataFrame
     edges: DataFrame
     stats: DataFrame
@@ -48,13 +50,14 @@ def load_index(spark: SparkSession, folder: str) -> Index:
     if _exists(spark, f"{folder}/manifest"):
         newest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
     if newest is None:
-        empty = [spark.createDataFrame([], schema) for schema in (FILES, UNITS, CALLS, EDGES)]
+        empty = [spark.createDataFrame([], schema) for schema in (FILES, UNITS, POSTINGS, CALLS, EDGES)]
         stats = spark.createDataFrame([], "files_scanned bigint, functions_indexed bigint")
         return Index(folder, 0, 0, *empty, stats)
     at = version_folder(folder, newest["version"])
     tables = [
         spark.read.schema(schema).parquet(f"{at}/{name}")
-        for name, schema in (("files", FILES), ("units", UNITS), ("calls", CALLS), ("edges", EDGES))]
+        for name, schema in (
+            ("files", FILES), ("units", UNITS), ("postings", POSTINGS), ("calls", CALLS), ("edges", EDGES))]
     stats = spark.createDataFrame(
         [(newest["files_scanned"], newest["functions_indexed"])], "files_scanned bigint, functions_indexed bigint")
     return Index(folder, newest["version"], newest["last_id"], *tables, stats)
