@@ -85,7 +85,7 @@ EDGES = [(1, 2), (2, 3), (3, 1), (4, 2), (5, 4), (6, 5), (1, 99), (7, 1), (8, 1)
 IDS = range(1, 13)  # 99 is not there
 
 
-@pytest.mark.parametrize("depth", [0, 1, 2, 3, 9])
+@pytest.mark.parametrize("depth", [0, 1, 2, 4])
 def test_walk(spark, depth, hot, monkeypatch):
     seeds = {1: [1], 2: [4, 2], 3: [12], 4: [3, 9, 1], 5: [99]}
     want = {q: brute.walk(s, EDGES, set(IDS), max(1, depth)) for q, s in seeds.items()}

@@ -243,6 +243,9 @@ UNION ALL SELECT file_path, start_offset, 'write', 'log' FROM fns WHERE form = 2
 UNION ALL SELECT file_path, start_offset, 'load_' || p_size, NULL FROM fns WHERE form = 3
 UNION ALL SELECT file_path, start_offset, 'fn_' || p_partkey, NULL FROM fns WHERE form = 4 AND kind = 'function'"""
 
+ORACLES["q_rejected_sources"] = """SELECT DISTINCT 'src/' || (p_partkey // 40) || '.ts' AS path, 1 AS open_brackets, 0 AS lowest
+FROM part WHERE (p_partkey // 40) % 2 = 1"""
+
 # --- call graph -----------------------------------------------------------
 
 _CALLS = f"""{_PARTS},

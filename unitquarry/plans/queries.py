@@ -215,9 +215,8 @@ def q_extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def q_rejected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scripts and page bodies whose brackets do not close."""
-    pages = views.table(spark, sf_dir, "pages", "page_id").select(F.col("url").alias("path"), F.col("html").alias("content"))
-    return extract.rejected_sources(pages)
+    """Files whose brackets do not close."""
+    return extract.rejected_sources(views.damaged_sources(spark, sf_dir))
 
 
 # --- call graph -----------------------------------------------------------
