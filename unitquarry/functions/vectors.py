@@ -30,13 +30,16 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalize(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
-    """Scale a vector column to unit length; a zero vector stays zero."""
-    into = into or column
-    normed = df.withColumn("_norm", F.sqrt(squared_norm(F.col(column))))
-    scaled = F.transform(
-        column,
-        lambda x: F.when(F.col("_norm") > 0, x.cast("double") / F.col("_norm")).otherwise(F.lit(0.0)))
-    return normed.withColumn(into, scaled).drop("_norm")
+    """Scale a vector column to unit length; a zero vector stays zero.
+
+    The norm is bound through a one-element array.  As a column of its own it
+    would be merged into the inner function and worked out again per element.
+    """
+    def scale(norm: Column) -> Column:
+        return F.transform(column, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+
+    norms = F.array(F.sqrt(squared_norm(F.col(column))))
+    return df.withColumn(into or column, F.element_at(F.transform(norms, scale), 1))
 
 
 def hashed_embeddings(df: DataFrame, key: str, text: Column, dim: int = HASHED_DIM) -> DataFrame:

@@ -105,12 +105,13 @@ def _open_templates(tokens: Column) -> Column:
 def _by_path(sources: DataFrame) -> DataFrame:
     """Files partitioned by path.
 
-    The number of partitions is given, because a token list is many times
-    larger than its text and the text's size would call for too few.
+    The number of partitions is given, and above the session's own, because a
+    token list is many times larger than its text: sized by the text, adaptive
+    execution would leave too few.
     """
     spark = sources.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return sources.select("path", "content").repartition(parts, "path")
+    return sources.select("path", "content").repartition(2 * parts, "path")
 
 
 def tokens(sources: DataFrame) -> DataFrame:
