@@ -1,0 +1,62 @@
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from unitquarry.llm import packing
+
+
+def least_padding(lengths, buckets):
+    distinct = sorted(set(lengths))
+    best = None
+    for k in range(1, min(buckets, len(distinct)) + 1):
+        for ends in combinations(distinct[:-1], k - 1):
+            bounds = [*ends, distinct[-1]]
+            cost = sum(min(b for b in bounds if b >= n) - n for n in lengths)
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 3, 4, 9])
+def test_boundaries_are_optimal(buckets):
+    lengths = [1, 1, 2, 5, 5, 6, 9, 14, 14, 14, 15, 30, 31, 90]
+    distinct = sorted(set(lengths))
+    counts = [lengths.count(n) for n in distinct]
+    ends, padding = packing.optimal_boundaries(distinct, counts, [n * c for n, c in zip(distinct, counts)], buckets)
+    assert padding == least_padding(lengths, buckets)
+    assert padding == sum(min(b for b in ends if b >= n) - n for n in lengths)
+    assert len(ends) <= buckets
+
+
+def test_cells_cover_their_lengths(spark):
+    lengths = [0, 1, 511, 512, 513, 1023, 1024, 5000, 123_456, 10**9]
+    got = spark.createDataFrame([(n,) for n in lengths], "n bigint").select("n", packing.length_cell(F.col("n")).alias("c")).collect()
+    for r in got:
+        assert r.n <= r.c <= r.n * (1 + 1 / 256) and (r.n >= 512 or r.c == r.n)
+
+
+@pytest.fixture
+def docs(spark):
+    rows = [(i, " ".join(["w"] * (i * i % 300))) for i in range(6000)]
+    rows += [(None, "a b"), (None, None), (7001, ""), (7002, "w " * 50_000), (7003, "twin"), (7003, "twin")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string").withColumns(
+        {"n_tokens": F.lit("x"), "bucket": F.lit(9), "batch": F.lit(9), "_salt": F.lit(0)})
+
+
+def test_batches_are_full_and_within_budget(spark, docs):
+    got = packing.pack_documents(docs, buckets=6, budget=2048).toPandas()
+    assert len(got) == docs.count()
+    lengths = sorted(len((r.text or "").split()) for r in docs.select("text").collect())
+    assert sorted(got.n_tokens) == lengths
+    assert (got.n_tokens <= got.padded_length).all() and got.bucket.nunique() <= 6
+    assert not got.duplicated(["bucket", "batch", "slot"]).any()
+    for _, part in got.groupby("bucket"):
+        width = part.padded_length.iloc[0]
+        room = max(1, 2048 // max(width, 1))
+        sizes = part.groupby("batch").size().sort_index()
+        assert (sizes.iloc[:-1] == room).all() and sizes.iloc[-1] <= room
+        assert list(sizes.index) == list(range(len(sizes)))
+
+
+def test_empty_table(spark, docs):
+    assert packing.pack_documents(docs.limit(0)).count() == 0
