@@ -1,0 +1,117 @@
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from unitquarry.llm import ppm
+
+
+class PlainTrie:
+    """PPM with update exclusion, escape method C and symbol exclusion, byte by byte."""
+
+    def __init__(self, words):
+        longest = Counter()
+        for word, n in words.items():
+            coded = b"\r" + word + b" " if word else b"\r\n"
+            for i in range(1, len(coded)):
+                longest[coded[max(0, i - ppm.ORDER) : i], coded[i]] += n
+        self.follow = defaultdict(Counter)
+        level = {g: n for g, n in longest.items() if len(g[0]) == ppm.ORDER}
+        for size in range(ppm.ORDER, -1, -1):
+            for (context, byte), n in level.items():
+                self.follow[context][byte] += n
+            shorter = Counter((context[1:], byte) for context, byte in level)
+            level = dict(shorter) | {g: n for g, n in longest.items() if len(g[0]) == size - 1}
+
+    def log10(self, word):
+        coded, total = (b"\r" + word + b" " if word else b"\r\n"), 0.0
+        for i in range(1, len(coded)):
+            out, context = set(), coded[max(0, i - ppm.ORDER) : i]
+            while True:
+                left = {b: n for b, n in self.follow.get(context, {}).items() if b not in out}
+                room = sum(left.values()) + len(left)
+                if coded[i] in left:
+                    total += math.log10(left[coded[i]] / room)
+                    break
+                if left:
+                    total += math.log10(len(left) / room)
+                out |= set(left)
+                if not context:
+                    total -= math.log10(256 - len(out))
+                    break
+                context = context[1:]
+        return total
+
+
+TEXTS = [
+    (i, " ".join(f"{'the of and sur les auf'.split()[(i * j) % 6]} {'ba be bo ti'.split()[j % 4]}{'na no'.split()[i % 2]}{j % 5}" for j in range(1 + i % 17)),
+     ("en", "fr", None)[i % 3]) for i in range(90)]
+TEXTS += [(200, None, "en"), (201, "", "fr"), (202, " \t\x0b", None), (None, "THE End of\x0bit", "en"), (203, "same row", "fr"), (203, "same row", "fr"),
+          (204, "é" * 3000 + " x" * 500 + " y", "xx"), (205, "quite\x00new wörds \U0001f600", "en"), (6, "Ünder THE", "de")]
+
+
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame(TEXTS, "doc_id bigint, text string, lang string").withColumns(
+        {"word": F.lit(1), "n": F.lit("x"), "held": F.lit(0), "row": F.lit(0), "s0": F.lit(0), "by": F.lit(1)})
+
+
+@pytest.mark.parametrize("hot", [ppm.HOT_WORDS, 3])
+def test_scores_against_a_plain_coder(spark, docs, hot, monkeypatch):
+    monkeypatch.setattr(ppm, "HOT_WORDS", hot)
+    monkeypatch.setattr(ppm, "HELD_WORDS", 40)
+    got = sorted(ppm.score(docs, ppm.bucket_of(F.col("doc_id"), 7) == 2).collect(), key=lambda r: (str(r.doc_id), r.score))
+    words = [(i, ppm.tokens(t), lang) for i, t, lang in TEXTS]
+    langs = [lang for lang, _ in Counter(lang for i, _, lang in words if not held(i) and lang).most_common()]
+    counts = {lang: Counter() for lang in [*langs, None]}
+    for i, found, lang in words:
+        if not held(i):
+            counts[lang].update(found)
+    whole = sum(counts.values(), Counter())
+    n, v = sum(whole.values()), len(whole)
+    tries = {lang: PlainTrie(c) for lang, c in counts.items()}
+    ends = sum(c[b""] for c in counts.values())
+    want = []
+    for i, found, _ in words:
+        base = sum(math.log10((whole[w] + 1) / (n + v + 1)) for w in found)
+        parts = [math.log10(c[b""] / ends) + sum(tries[lang].log10(w) for w in found) for lang, c in counts.items() if c[b""]]
+        top = max(parts)
+        mixed = top + math.log10(sum(10 ** (p - top) for p in parts))
+        want.append((i, held(i), len(found), sum(w in whole for w in found), n, base, mixed))
+    want.sort(key=lambda r: (str(r[0]), r[6]))
+    assert [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [w[:5] for w in want]
+    assert [r.base_score for r in got] == pytest.approx([w[5] for w in want])
+    assert [r.score for r in got] == pytest.approx([w[6] for w in want])
+
+
+def test_word_probabilities_sum_below_one():
+    tries = ppm.Tries(*ppm.all_orders(*_grams({b"ab": 3, b"a": 5, b"": 2, b"abba": 1})))
+    some = [b"", b"a", b"b", b"ab", b"ba", b"abb", b"abba", b"aa", b"bb"]
+    assert 0.5 < (10 ** tries.words(some, 1)[0]).sum() < 1
+
+
+def _grams(words):
+    keys, _, _, sizes = ppm._stream(list(words))
+    unique, at = np.unique(keys, return_inverse=True)
+    return unique, np.bincount(at, weights=np.repeat(list(words.values()), sizes))
+
+
+def test_model_bound_keeps_frequent_contexts(spark):
+    words = spark.createDataFrame([(f"w{i}".encode(), 1 + i % 9, 1 + i % 9) for i in range(300)], "word binary, n bigint, n0 bigint")
+    full, small = ppm.fit(words, 1), ppm.fit(words, 1, most=60)
+    assert 0 < len(small.gram) < len(full.gram)
+    assert np.isfinite(small.words([b"w1", b"zz", b""], 1)).all()
+
+
+def test_empty_table_and_nothing_to_learn_from(spark, docs):
+    assert ppm.score(docs.limit(0), F.lit(False)).count() == 0
+    r = ppm.score(docs.filter("doc_id = 203"), F.lit(True)).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+    assert r.score == pytest.approx(-math.log10(256) * len(b"same row \n"))

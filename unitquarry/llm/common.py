@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from unitquarry.runtime import BROADCAST_BYTES, BROADCAST_ROWS, measure
+from unitquarry.runtime import BROADCAST_BYTES, BROADCAST_ROWS, checkpoint_ready, measure
 
 # Fixed pattern of a word: anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,3 +43,13 @@ def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, *text
     same = [left[c].eqNullSafe(renamed[f"_right_{c}"]) for c in on]
     joined = left.join(F.broadcast(renamed) if small else renamed, same, how)
     return joined.drop(*[f"_right_{c}" for c in on])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder, and read again."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    at = f"{folder}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from unitquarry.llm import mixing, packing, simhash, urlfilter
+from unitquarry.llm import mixing, packing, ppm, simhash, urlfilter
 
 # Fixed rules of the URL query: (action, host, path).
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -21,6 +21,11 @@ def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the tries of those that are not held out."""
+    return ppm.score(table(spark, sf_dir, "documents"), ppm.bucket_of(F.col("doc_id"), 7) == 2)
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their SimHash and component."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -38,7 +43,7 @@ def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_length_buckets, op3_simhash_golay, op9_pivotal_mix, op10_url_ratio)
+    f.__name__: f for f in (op1_length_buckets, op2_ppm_score, op3_simhash_golay, op9_pivotal_mix, op10_url_ratio)
 }
 
 ORACLES: dict[str, str] = {}
