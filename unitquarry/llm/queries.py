@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from unitquarry.llm import mixing, packing, ppm, simhash, urlfilter
+from unitquarry.llm import html, langid, mixing, packing, ppm, quality, simhash, urlfilter
 
 # Fixed rules of the URL query: (action, host, path).
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -32,6 +32,35 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents and all pages; a row has either a doc_id or a page_id."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = langid.train(docs.select("text", "lang"))
+    return langid.identify(langid.document_evidence(docs).unionByName(langid.page_evidence(pages)), model)
+
+
+# Score from which a document counts as good.
+GOOD = 0.3
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
+    """Model of ``labels.quality`` learned from the documents whose bucket of five is not 0."""
+    return quality.train(docs, table(spark, sf_dir, "labels"), F.coalesce(ppm.bucket_of(F.col("doc_id"), 5) != 0, F.lit(False)))
+
+
+def op7_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_score(docs, quality_model(spark, docs, sf_dir))
+    held = F.coalesce(ppm.bucket_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of them."""
     return mixing.mixed_words(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
@@ -43,7 +72,7 @@ def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_length_buckets, op2_ppm_score, op3_simhash_golay, op9_pivotal_mix, op10_url_ratio)
+    f.__name__: f for f in (op1_length_buckets, op2_ppm_score, op3_simhash_golay, op5_block_text, op6_evidence_fusion, op7_crf_quality, op9_pivotal_mix, op10_url_ratio)
 }
 
 ORACLES: dict[str, str] = {}
