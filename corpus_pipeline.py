@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from unitquarry.llm import mixing, packing, simhash
+from unitquarry.llm import langid, mixing, packing, quality, simhash
+from unitquarry.llm.queries import GOOD, quality_model
 from unitquarry.runtime import checkpoint_ready
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier takes for good."""
+    score = "_quality_score"
+    scored = quality.with_score(docs, quality_model(spark, docs, sf_dir), score)
+    return scored.filter(F.col(score) >= GOOD).drop(score)
+
+
+def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known."""
+    return langid.keep_identified(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicate texts."""
     return simhash.keep_one(docs)
@@ -26,8 +39,8 @@ def packing_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES = [
-    ("simhash near-dedup", near_duplicates), ("mixing sources", mixing_sources),
-    ("packing", packing_batches)]
+    ("quality classifier", quality_filter), ("language ID", language_filter),
+    ("simhash near-dedup", near_duplicates), ("mixing sources", mixing_sources), ("packing", packing_batches)]
 
 # Language models, SimHash and random rounding have no SQL counterpart; tests hold the stages against brute force.
 ORACLE_SQL = None
