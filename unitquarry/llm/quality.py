@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from unitquarry.runtime import cut
 
 # Labelled documents that the field is fitted on: at most so many, and of at most so many bytes each. Scoring has no bounds.
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 100_000
 KINDS = 14
 BASE = 23
 NEIGHBOUR = 3 * BASE
 FEATURES = NEIGHBOUR + 2
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _byte_kinds() -> np.ndarray:
@@ -150,9 +150,9 @@ def good_share(features: np.ndarray, size: np.ndarray, count: np.ndarray, weight
 
 def fit(features: np.ndarray, size: np.ndarray, count: np.ndarray, label: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> dict[str, np.ndarray]:
     """Weights by gradient ascent (Adam) on the likelihood of chains that carry their document's label."""
-    mean, spread = features.mean(axis=0), features.std(axis=0) + 1e-6
-    x = (features - mean) / spread
-    x = np.column_stack([x, np.ones(len(x))])
+    mean = features.mean(axis=0, dtype=np.float64).astype(features.dtype)
+    spread = features.std(axis=0, dtype=np.float64).astype(features.dtype) + np.float32(1e-6)
+    x = _with_one((features - mean) / spread)
     weights, moves = np.zeros((x.shape[1], 2)), np.zeros((2, 2))
     # Documents weigh alike, however many lines they have, so rates are per line of a document.
     share = np.repeat(1.0 / count, count) / len(count)
@@ -178,7 +178,7 @@ def fit(features: np.ndarray, size: np.ndarray, count: np.ndarray, label: np.nda
 
 
 def _with_one(features: np.ndarray) -> np.ndarray:
-    return np.column_stack([features, np.ones(len(features))])
+    return np.column_stack([features, np.ones(len(features), dtype=features.dtype)])
 
 
 def _logit(share: np.ndarray) -> np.ndarray:
@@ -233,8 +233,14 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, target: str = "qua
         only = float(rows.column("label")[0].as_py()) if rows.num_rows else 0.5
         return {"weights": np.zeros((FEATURES + 1, 2)), "moves": np.zeros((2, 2)), "curve": np.array([0.05, 4 * (only - 0.5)])}
     rows = rows.sort_by("doc_id")
-    features, size, count = line_features(_bytes(rows.column("text").combine_chunks()))
-    return fit(features, size, count, rows.column("label").to_numpy().astype(np.int64))
+    label = rows.column("label").to_numpy().astype(np.int64)
+    texts = [b for part in rows.column("text").chunks for b in _bytes(part)]
+    del rows
+    parts = [line_features(texts[a:b]) for a, b in chunks(texts)]
+    features = np.concatenate([x.astype(np.float32) for x, _, _ in parts])
+    size, count = np.concatenate([s for _, s, _ in parts]), np.concatenate([c for _, _, c in parts])
+    del parts, texts
+    return fit(features, size, count, label)
 
 
 def scores(texts: list[bytes], model: dict[str, np.ndarray]) -> np.ndarray:
