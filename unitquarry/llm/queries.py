@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from unitquarry.llm import html, langid, mixing, packing, ppm, quality, simhash, urlfilter
+from unitquarry.llm import ann, capfilter, html, langid, mixing, packing, ppm, quality, simhash, urlfilter
 
 # Fixed rules of the URL query: (action, host, path).
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -32,6 +32,12 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op5_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html.extract(table(spark, sf_dir, "pages"))
@@ -61,6 +67,11 @@ def op7_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links and components."""
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of them."""
     return mixing.mixed_words(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
@@ -72,7 +83,25 @@ def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_length_buckets, op2_ppm_score, op3_simhash_golay, op5_block_text, op6_evidence_fusion, op7_crf_quality, op9_pivotal_mix, op10_url_ratio)
+    f.__name__: f for f in (op1_length_buckets, op2_ppm_score, op3_simhash_golay, op4_collision_neighbours, op5_block_text, op6_evidence_fusion, op7_crf_quality, op8_cap_filters, op9_pivotal_mix, op10_url_ratio)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_cap_filters": """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.u = e.vec_id LEFT JOIN degree d ON d.u = e.vec_id
+""",
+}
