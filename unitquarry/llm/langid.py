@@ -105,26 +105,33 @@ def train(examples: DataFrame, most: int = LANGUAGES) -> TextModel:
     return TextModel(top or ["und"], np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
-def with_text_evidence(rows: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
-    """``rows`` with _lid_text (log-likelihood per language) and _lid_letters; nothing is shuffled."""
+def text_evidence(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tempered log-likelihood of each text in each language (weights: cells by languages), and its letters."""
+    log, letters = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), dtype=np.int64)
+    for a, b in chunks(texts):
+        cell, size, letters[a:b] = cells(texts[a:b])
+        full = np.flatnonzero(size)
+        if len(full):
+            log[a + full] = np.add.reduceat(weights[cell], (np.cumsum(size) - size)[full], axis=0)
+    return log * TEMPER, letters
+
+
+def with_text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
+    """``rows`` without ``text``, with _lid_text (log-likelihood per language) and _lid_letters; nothing is shuffled."""
     sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.weights.T))
-    at = rows.columns.index(text)
-    count = len(model.languages)
+    at, count = rows.columns.index("text"), len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
         for batch in batches:
-            texts, log, letters = _bytes(batch.column(at)), np.zeros((batch.num_rows, count)), np.zeros(batch.num_rows, dtype=np.int64)
-            for a, b in chunks(texts):
-                cell, size, letters[a:b] = cells(texts[a:b])
-                full = np.flatnonzero(size)
-                if len(full):
-                    log[a + full] = np.add.reduceat(weights[cell], (np.cumsum(size) - size)[full], axis=0)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, log.size + 1, count, dtype=np.int32)), pa.array((log * TEMPER).ravel()))
+            log, letters = text_evidence(_bytes(batch.column(at)), sent.value)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, log.size + 1, count, dtype=np.int32)), pa.array(log.ravel()))
+            rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, flat, pa.array(letters)], [*batch.schema.names, "_lid_text", "_lid_letters"])
+                [*[batch.column(i) for i in rest], flat, pa.array(letters)],
+                [*[batch.schema.names[i] for i in rest], "_lid_text", "_lid_letters"])
 
-    kind = T.StructType([*rows.schema.fields, T.StructField("_lid_text", T.ArrayType(T.DoubleType())), T.StructField("_lid_letters", T.LongType())])
+    fields = [f for f in rows.schema.fields if f.name != "text"]
+    kind = T.StructType([*fields, T.StructField("_lid_text", T.ArrayType(T.DoubleType())), T.StructField("_lid_letters", T.LongType())])
     return rows.mapInArrow(run, kind)
 
 
@@ -178,39 +185,80 @@ def statistics(rows: DataFrame, count: int) -> Statistics:
         declared.count(), address.count())
 
 
-def fuse(rows: DataFrame, stats: Statistics, languages: list[str]) -> DataFrame:
-    """``rows`` with _lid_language and _lid_posterior added; null evidence says nothing."""
+COUNTS = ("_lid_declared", "_lid_address", "_lid_host", "_lid_domain", "_lid_suffix")
+
+
+def with_counts(rows: DataFrame, stats: Statistics) -> DataFrame:
+    """``rows`` (declared, address, host) with the counts of their evidence; null where there is none."""
     joined = attach(rows, stats.declared, ["declared"], "left", "declared", "_lid_declared")
     joined = attach(joined, stats.address, ["address"], "left", "address", "_lid_address")
-    joined = attach(joined, stats.hosts, ["host"], "left", "host", "_lid_host", "_lid_domain", "_lid_suffix")
-    joined = joined.withColumn("_lid_own", _softmax(F.col("_lid_text")))
-    total = F.array(*[F.lit(t) for t in stats.total])
-    every = F.lit(sum(stats.total))
-
-    def less_own(counts: str, m: int) -> Column:
-        return F.greatest(F.get(counts, F.lit(m)) - F.get("_lid_own", F.lit(m)), F.lit(0.0))
-
-    def mass(counts: str) -> Column:
-        return F.greatest(F.aggregate(F.col(counts), F.lit(0.0), lambda a, b: a + b) - 1, F.lit(0.0))
-
-    logs = []
-    for m in range(len(languages)):
-        rest = F.greatest(F.get(total, F.lit(m)) - F.get("_lid_own", F.lit(m)), F.lit(0.0))
-        prior = (rest + 1) / (F.greatest(every - 1, F.lit(0.0)) + len(languages))
-        for level in ("_lid_suffix", "_lid_domain", "_lid_host"):
-            prior = F.when(F.col("_lid_host").isNull(), prior).otherwise((less_own(level, m) + STRENGTH * prior) / (mass(level) + STRENGTH))
-        log = F.get("_lid_text", F.lit(m)) + F.log(prior)
-        for counts, kinds in (("_lid_declared", stats.declarations), ("_lid_address", stats.addresses)):
-            likely = (less_own(counts, m) + 1) / (rest + kinds + 1)
-            log = log + F.when(F.col(counts).isNull(), 0.0).otherwise(F.log(likely))
-        logs.append(log)
-    posterior = _softmax(F.array(*logs))
-    best = F.array_max("_lid_all")
-    number = F.array_position("_lid_all", best).cast("int")
-    names = F.array(*[F.lit(x) for x in languages])
-    return joined.withColumn("_lid_all", posterior).withColumns(
-        {"_lid_language": F.get(names, number - 1), "_lid_posterior": best}).drop(
-        "_lid_own", "_lid_all", "_lid_declared", "_lid_address", "_lid_host", "_lid_domain", "_lid_suffix")
+    return attach(joined, stats.hosts, ["host"], "left", "host", "_lid_host", "_lid_domain", "_lid_suffix")
+
+
+def _matrix(column: pa.Array, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as a matrix, with zeros where it is null, and where it is not."""
+    known = np.flatnonzero(~column.is_null().to_numpy(zero_copy_only=False))
+    out = np.zeros((len(column), count))
+    out[known] = column.drop_null().flatten().to_numpy().reshape(len(known), count)
+    has = np.zeros(len(column), dtype=bool)
+    has[known] = True
+    return out, has
+
+
+def posteriors(log: np.ndarray, counts: dict[str, pa.Array], total: np.ndarray, kinds: dict[str, int]) -> np.ndarray:
+    """Posterior of each row and language from the text's log-likelihoods and the counts of the other evidence."""
+    n, languages = log.shape
+
+    def share(x: np.ndarray) -> np.ndarray:
+        e = np.exp(x - x.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    own = share(log)
+    found = {name: _matrix(column, languages) for name, column in counts.items()}
+    # Each row's own share is taken out of what it is judged by.
+    rest = np.maximum(total - own, 0)
+    prior = (rest + 1) / (max(total.sum() - 1, 0) + languages)
+    has = found["_lid_host"][1]
+    for level in ("_lid_suffix", "_lid_domain", "_lid_host"):
+        mass = np.maximum(found[level][0].sum(axis=1, keepdims=True) - 1, 0)
+        leaned = (np.maximum(found[level][0] - own, 0) + STRENGTH * prior) / (mass + STRENGTH)
+        prior = np.where(has[:, None], leaned, prior)
+    log = log + np.log(prior)
+    for name, several in kinds.items():
+        count, has = found[name]
+        log = log + np.where(has[:, None], np.log((np.maximum(count - own, 0) + 1) / (rest + several + 1)), 0.0)
+    return share(log)
+
+
+def fuse(rows: DataFrame, stats: Statistics, model: TextModel) -> DataFrame:
+    """``rows`` with _lid_language, _lid_posterior and _lid_letters added, and the columns of counts and text evidence dropped.
+
+    ``rows`` come from ``with_counts`` and hold either _lid_text and
+    _lid_letters or ``_lid_source``, the text itself.
+    """
+    languages = model.languages
+    names = pa.array(languages)
+    read = "_lid_source" in rows.columns
+    sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.weights.T) if read else None)
+    total, kinds = np.array(stats.total), {"_lid_declared": stats.declarations, "_lid_address": stats.addresses}
+    kept = [f for f in rows.schema.fields if not f.name.startswith("_lid_") or f.name == "_lid_row"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = {name: i for i, name in enumerate(batch.schema.names)}
+            if read:
+                log, letters = text_evidence(_bytes(batch.column(of["_lid_source"])), sent.value)
+                letters = pa.array(letters)
+            else:
+                log, letters = _matrix(batch.column(of["_lid_text"]), len(languages))[0], batch.column(of["_lid_letters"])
+            p = posteriors(log, {c: batch.column(of[c]) for c in COUNTS}, total, kinds)
+            best = p.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(of[f.name]) for f in kept], names.take(pa.array(best)), pa.array(p[np.arange(len(p)), best]), letters],
+                [*[f.name for f in kept], "_lid_language", "_lid_posterior", "_lid_letters"])
+
+    added = [T.StructField("_lid_language", T.StringType()), T.StructField("_lid_posterior", T.DoubleType()), T.StructField("_lid_letters", T.LongType())]
+    return rows.mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def accepted(posterior: Column, letters: Column, sure: float = SURE) -> Column:
@@ -228,8 +276,9 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     table gives no rows.  Ids must not be called declared, address, host,
     language, posterior, kept or begin with _lid_.
     """
-    seen = written(with_text_evidence(rows, model).drop("text"))
-    found = fuse(seen, statistics(seen, len(model.languages)), model.languages)
+    seen = written(with_text_evidence(rows, model))
+    stats = statistics(seen, len(model.languages))
+    found = fuse(with_counts(seen, stats), stats, model)
     ids = [c for c in rows.columns if c != "text"]
     return found.select(
         *ids, F.col("_lid_language").alias("language"), F.col("_lid_posterior").alias("posterior"),
@@ -244,11 +293,11 @@ def keep_identified(docs: DataFrame, declared: str = "lang", host: str = "source
     """
     model = train(docs.select("text", F.col(declared).alias("lang")))
     evidence = [F.col(declared).cast("string").alias("declared"), F.lit(None).cast("string").alias("address"), F.col(host).cast("string").alias("host")]
-    small = written(with_text_evidence(docs.select("text", *evidence), model).drop("text"))
+    small = written(with_text_evidence(docs.select("text", *evidence), model))
     stats = statistics(small, len(model.languages))
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_lid_row")
     rows = docs.select(whole, F.col("text").alias("_lid_source"), *evidence)
-    judged = fuse(with_text_evidence(rows, model, "_lid_source"), stats, model.languages)
+    judged = fuse(with_counts(rows, stats), stats, model)
     return judged.filter(accepted(F.col("_lid_posterior"), F.col("_lid_letters"))).select("_lid_row.*")
 
 
