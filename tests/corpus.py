@@ -1,20 +1,25 @@
 """A small labelled corpus of our own: three files, three queries, two relevant functions each."""
 
 SOURCES = {
-    "session.ts": """export async function openSession(login: string, secret: string) {
-  const profile = await findProfile(login);
-  if (!profile || !matchesSecret(profile, secret)) throw new Error("denied");
-  return issueToken(profile.id);
-}
+    "harbor/tides.ts": """/** Water levels at a pier, in centimetres. */
+const LOW = 40;
+
+export class TideTable {
+  constructor(private readings: number[]) {}
 
-export function resumeSession(cookie: string) {
-  return readToken(cookie);
+  highest() {
+    return this.readings.reduce(larger, LOW);
+  }
+
+  static parse(line: string) {
+    return new TideTable(splitNumbers(line));
+  }
 }
 
-function findProfile(login: string) { return { id: login }; }
-function matchesSecret(profile: { id: string }, secret: string) { return secret !== profile.id; }
-function issueToken(id: string) { return "t:" + id; }
-function readToken(token: string) { return token.startsWith("t:"); }
+const larger = (a: number, b: number) => (a > b ? a : b);
+export function splitNumbers(line: string) {
+  return line.split(" ").map(Number);
+}
 """,
     "orders/cart.ts": """class Cart {
   items = [];
@@ -33,25 +38,24 @@ const deliver = (address, subject) => ({ address, subject });
 module.exports.render = function (name) { return `Hello ${sendInvite(name)}`; };
 """,
 }
-QUERIES = [(1, "resume a session token from the cookie"), (2, "cart total with rebate"), (3, "send invite mail to address")]
+QUERIES = [(1, "highest water level of the tide table"), (2, "cart total with rebate"), (3, "send invite mail to address")]
 QRELS = [
-    (1, "session.ts:resumeSession"), (1, "session.ts:readToken"),
+    (1, "harbor/tides.ts:highest"), (1, "harbor/tides.ts:splitNumbers"),
     (2, "orders/cart.ts:cartTotal"), (2, "orders/cart.ts:rebate"),
     (3, "mail.js:sendInvite"), (3, "mail.js:deliver"),
 ]
 # (file, name, kind, class) in reading order.
 FUNCTIONS = [
+    ("harbor/tides.ts", "constructor", "method", "TideTable"), ("harbor/tides.ts", "highest", "method", "TideTable"),
+    ("harbor/tides.ts", "parse", "method", "TideTable"), ("harbor/tides.ts", "larger", "arrow", None),
+    ("harbor/tides.ts", "splitNumbers", "function", None),
     ("mail.js", "sendInvite", "function", None), ("mail.js", "deliver", "arrow", None),
     ("mail.js", "module.exports.render", "function", None),
     ("orders/cart.ts", "add", "method", "Cart"), ("orders/cart.ts", "recount", "method", "Cart"),
     ("orders/cart.ts", "cartTotal", "arrow", None), ("orders/cart.ts", "<anonymous>", "arrow", None),
     ("orders/cart.ts", "rebate", "function", None),
-    ("session.ts", "openSession", "function", None), ("session.ts", "resumeSession", "function", None),
-    ("session.ts", "findProfile", "function", None), ("session.ts", "matchesSecret", "function", None),
-    ("session.ts", "issueToken", "function", None), ("session.ts", "readToken", "function", None),
 ]
 EDGES = {
     ("sendInvite", "deliver"), ("module.exports.render", "sendInvite"), ("add", "recount"), ("recount", "cartTotal"),
-    ("cartTotal", "rebate"), ("<anonymous>", "rebate"), ("openSession", "findProfile"), ("openSession", "matchesSecret"),
-    ("openSession", "issueToken"), ("resumeSession", "readToken"),
+    ("cartTotal", "rebate"), ("<anonymous>", "rebate"), ("parse", "splitNumbers"),
 }

@@ -14,23 +14,25 @@ UNITS = "id bigint, name string, class_name string, file_path string, start_line
 
 def test_report_text(spark, tmp_path):
     metrics = spark.createDataFrame([
-        ("Hybrid Search", 12.0, 3.0, 75.0, 0.8, 1.0), ("Full Repository", None, 1.0, 0.0, 0.2, 1.0), ("Keyword Search", 12.0, 2.0, 80.0, 0.6, 0.8)],
+        ("Keyword Search", 250.0, 41.25, 91.36, 0.375, 0.5), ("Full Repository", None, 6.5, 0.0, 0.0625, 1.0), ("Other", 4000.0, 0.04, -3.0, 0.0, 0.0),
+        ("Hybrid Search", 250.0, 77.77, 90.0, 0.25, 0.9375)],
         "method string, indexing_ms double, retrieval_latency_ms double, token_reduction_percent double, precision double, recall double")
-    summary = spark.createDataFrame([(3, 10, 3, 200)], "files int, functions int, scenarios int, estimated_repository_tokens bigint")
-    lines = report.format_report(metrics, summary, "2026-07-13T00:00:00.000Z").first().report.split("\n")
-    assert lines[2] == "Generated: 2026-07-13T00:00:00.000Z"
-    assert lines[4] == "Corpus: 3 files, 10 functions, 3 queries, ~200 repository tokens."
+    summary = spark.createDataFrame([(17, 65, 8, 4321)], "files int, functions int, scenarios int, estimated_repository_tokens bigint")
+    lines = report.format_report(metrics, summary, "a Tuesday").first().report.split("\n")
+    assert lines[2] == "Generated: a Tuesday"
+    assert lines[4] == "Corpus: 17 files, 65 functions, 8 queries, ~4321 repository tokens."
     assert lines[6].startswith("| Method | Indexing speed |")
-    assert lines[8:11] == [
-        "| Full Repository | N/A | 1.0 ms | 0.0% | 20.0% | 100.0% |",
-        "| Keyword Search | 833.3 funcs/s (12.0 ms) | 2.0 ms | 80.0% | 60.0% | 80.0% |",
-        "| Hybrid Search | 833.3 funcs/s (12.0 ms) | 3.0 ms | 75.0% | 80.0% | 100.0% |"]
-    assert lines[11] == "" and lines[12].startswith("- ") and lines[-1] == ""
+    assert lines[8:12] == [
+        "| Full Repository | N/A | 6.5 ms | 0.0% | 6.3% | 100.0% |",
+        "| Keyword Search | 260.0 funcs/s (250.0 ms) | 41.3 ms | 91.4% | 37.5% | 50.0% |",
+        "| Hybrid Search | 260.0 funcs/s (250.0 ms) | 77.8 ms | 90.0% | 25.0% | 93.8% |",
+        "| Other | 16.3 funcs/s (4000.0 ms) | 0.0 ms | -3.0% | 0.0% | 0.0% |"]
+    assert lines[12] == "" and lines[13].startswith("- ") and lines[-1] == ""
     report.write_report(metrics, summary, str(tmp_path / "out"), "then")
     assert spark.read.text(str(tmp_path / "out.md"), wholetext=True).first().value.rstrip("\n") == "\n".join(
-        lines).replace("2026-07-13T00:00:00.000Z", "then").rstrip("\n")
+        lines).replace("a Tuesday", "then").rstrip("\n")
     written = json.loads(spark.read.text(str(tmp_path / "out.json")).first().value)
-    assert written["corpus"]["functions"] == 10 and {m["method"] for m in written["methods"]} == {m.method for m in metrics.collect()}
+    assert written["corpus"]["functions"] == 65 and {m["method"] for m in written["methods"]} == {m.method for m in metrics.collect()}
 
 
 def test_metrics_by_hand(spark):

@@ -2,14 +2,16 @@ import corpus
 from unitquarry.operators import extract
 
 CASES = {
-    "plain.ts": "function enter(user) {\n  return user;\n}\n",
-    "arrow.ts": "export const checkToken = (token) => {\n  return token;\n}\n",
-    "methods.ts": "class Gate {\n  async open(u, p) {\n    return true;\n  }\n\n  private async find(u) {\n    return u;\n  }\n}\n",
-    "flow.ts": "class Loop {\n  run() {\n    if (on) {\n      return 1;\n    }\n    for (let i = 0; i < 3; i++) {}\n    while (x) { y() }\n    switch (z) { case f(1): { break } }\n    try { a() } catch (e) { b() }\n  }\n}\n",
-    "lines.ts": "function one() {\n  return 1;\n}\n\nfunction two() {\n  return 2;\n}\n",
-    "modern.ts": "@injectable({ a: 1 })\nexport default async function <T>(value: T): Promise<T> {\n  function inner() { return value; }\n"
-                 "  return inner();\n}\n\nclass Runner {\n  @timed()\n  @log.all\n  async go<T>(value: T): Promise<Map<string, T>> { return value; }\n}\n\n"
-                 "const handle = async function <T>(value: T) { return value; };\nconst same = <T,>(value: T) => value;\n",
+    "plain.ts": "// sums\nfunction total(items, tax) {\n  let sum = 0;\n  for (const item of items) sum += item.price * item.count;\n  return sum * (1 + tax);\n}\n",
+    "arrow.ts": "let seen = 0;\nexport const visit = ({ id }, ...rest) => {\n  seen += rest.length;\n};\n",
+    "methods.ts": "class Queue {\n  #items = [];\n  push(item) { this.#items.push(item); }\n  protected async drain(limit) {\n    while (limit--) await this.shift();\n"
+                  "  }\n  private shift() { return this.#items.shift(); }\n}\n",
+    "flow.ts": "class Robot {\n  step(map) {\n    do { turn(); } while (blocked());\n    switch (map.get(here())) { case wall(1): { return } default: walk() }\n"
+               "    try { jump() } catch { fall() } finally { rest() }\n    label: for (;;) { break label }\n    if (map) { } else if (tired()) { sleep() }\n  }\n}\n",
+    "lines.ts": "const k = 2;\n\nfunction up(\n  n,\n) { return n + k; }\nconst down = function (n) { return n - k; };\n\n\nfunction both(n) {\n  return down(\n    up(n));\n}\n",
+    "modern.ts": "@component({ tag: 'x-box' })\nexport class Box<T extends object> {\n  @input() size = 1;\n  @hook('a')\n  static async *pull<K>(this: Box<K>, key: K): "
+                 "AsyncGenerator<Map<K, string>> { yield key; }\n}\nexport async function* read<A, B = A>(a: A): AsyncIterable<B> {\n"
+                 "  const inner = async <Q,>(q: Q) => { return q; };\n  yield inner(a);\n}\nexport default function () { return 0; }\n",
     "members.ts": "export default class extends Base {\n  static #n = 0;\n  onClick = (e) => { go(e); };\n  cb: (x: number) => void;\n"
                   "  constructor(private a: string) { super(a); this.later = () => a + 1 }\n  get size(): number { return 1 }\n  set size(v) { this.v = v }\n"
                   "  abstract shape(a: string): void;\n  over(a: string): { a: number };\n  over(a: any): { a: number } { return { a } }\n"
@@ -28,13 +30,12 @@ CASES = {
     "noend.js": "const a = x => x + 1\nconst b = y =>\n  y.map(z => z)\n   .filter(Boolean)\nconst c = () => ({ k: 1 })\n",
 }
 EXPECTED = {
-    "plain.ts": [("enter", "function", None)],
-    "arrow.ts": [("checkToken", "arrow", None)],
-    "methods.ts": [("open", "method", "Gate"), ("find", "method", "Gate")],
-    "flow.ts": [("run", "method", "Loop")],
-    "lines.ts": [("one", "function", None), ("two", "function", None)],
-    "modern.ts": [("default", "function", None), ("inner", "function", None), ("go", "method", "Runner"),
-                  ("handle", "function", None), ("same", "arrow", None)],
+    "plain.ts": [("total", "function", None)],
+    "arrow.ts": [("visit", "arrow", None)],
+    "methods.ts": [("push", "method", "Queue"), ("drain", "method", "Queue"), ("shift", "method", "Queue")],
+    "flow.ts": [("step", "method", "Robot")],
+    "lines.ts": [("up", "function", None), ("down", "function", None), ("both", "function", None)],
+    "modern.ts": [("pull", "method", "Box"), ("read", "function", None), ("inner", "arrow", None), ("default", "function", None)],
     "members.ts": [(n, k, "<anonymous class>") for n, k in [
         ("<anonymous>", "arrow"), ("constructor", "method"), ("this.later", "arrow"), ("size", "method"), ("size", "method"),
         ("over", "method"), ("gen", "method"), ("many", "method"), ("[Symbol.iterator]", "method"), ("quoted name", "method"),
@@ -75,17 +76,17 @@ def test_shapes(spark):
 
 def test_ranges(spark):
     found = extracted(spark, CASES)
-    assert [(r.start_line, r.end_line) for r in found["lines.ts"]] == [(1, 3), (5, 7)]
-    first, _, go, handle, same = found["modern.ts"]
-    assert first.start_line == 1 and first.code.startswith("@injectable") and first.code.endswith("}")
-    assert go.code.startswith("@timed()") and handle.code.startswith("async function") and same.code == "<T,>(value: T) => value"
+    assert [(r.start_line, r.end_line) for r in found["lines.ts"]] == [(3, 5), (6, 6), (9, 12)]
+    pull, read, inner, _ = found["modern.ts"]
+    assert pull.start_line == 4 and pull.code.startswith("@hook('a')\n  static async") and pull.code.endswith("{ yield key; }")
+    assert read.code.startswith("export async function*") and inner.code == "async <Q,>(q: Q) => { return q; }"
     assert [r.code for r in found["noend.js"]] == ["x => x + 1", "y =>\n  y.map(z => z)\n   .filter(Boolean)", "z => z", "() => ({ k: 1 })"]
     assert [r.code for r in found["names.js"]][9:13] == ["(a) => f(a)", "(b) => g(b)", "a => b => a + b", "b => a + b"]
 
 
 def test_calls(spark):
     texts = {
-        "a": "function enter() {\n  check();\n  this.make();\n  Store.find();\n}",
+        "a": "const rank = (team) => { const best = sort(team); if (best) this.show(best); Board.draw(best, sort(best)); }",
         "b": "login(a): Promise<{ x: number }> { if (a) return super.f(a.b.f(), g().h(), a?.i(), j?.(), k.l?.(), n.o<P>(2)); "
              "`${q(1)} r(2) ${`${s(3)}`}`; 't(1)'; u`v`; w[1](2); import('x'); @dec.x(1) class A { m(z) { } sig(a: string): void } }",
         "c": "async (x) => new Thing(y(1)).go(new a.b.Cls(2)); /* no() */ c ? d(1) : e(2); switch (f) { case g(3): h(4) } p.catch(q)",
@@ -93,7 +94,7 @@ def test_calls(spark):
     }
     rows = extract.extract_calls(sources(spark, texts)).orderBy("path", "at").collect()
     found = {p: [(r.name, r.receiver) for r in rows if r.path == p] for p in texts}
-    assert found["a"] == [("check", None), ("make", "this"), ("find", "Store")]
+    assert found["a"] == [("sort", None), ("show", "this"), ("draw", "Board")]
     assert found["b"] == [("f", None), ("g", None), ("h", None), ("i", "a"), ("j", None), ("l", "k"), ("o", "n"),
                           ("q", None), ("s", None), ("x", "dec")]
     assert found["c"] == [("y", None), ("go", None), ("d", None), ("e", None), ("g", None), ("h", None), ("catch", "p")]
@@ -119,7 +120,43 @@ def test_lines(spark):
     assert all(text[r.start_offset:r.end_offset] == r.code for r in rows)
 
 
-def test_files_are_shuffled_once(spark):
-    plan = extract._levels(extract.tokens(sources(spark, CASES)))._jdf.queryExecution().explainString(
+MORE = {
+    "returned.ts": ("function over(cb: () => void): () => void { go(cb); return () => cb(); }", [("over", "function", None), ("<anonymous>", "arrow", None)], ["go", "cb"]),
+    "typeargs.ts": ("x = new Map<string, () => void>();\nsubscribe(cb: Listener): () => void { on(cb) }", [], ["on"]),
+    "regex.js": ("function f(s) { if (s) /[{]/.test(s); return s; }\nconst re =\n\n        /[{]/; function g() { return a / b }", [("f", "function", None), ("g", "function", None)], ["test"]),
+    "deep.js": ("const a = `${`${`${`${deep(1)}`}`}`}`; function h() { }", [("h", "function", None)], ["deep"]),
+    "text.jsx": ("function J(x) { return <div>Don't {fmt(x)} won't</div>; }\nconst K = () => (<A b={f(1)} c='}'>see http://a.b/c {call()} <B/> </A>);\nfunction after() { k() }",
+                 [("J", "function", None), ("K", "arrow", None), ("after", "function", None)], ["fmt", "f", "call", "k"]),
+    "members.ts": ("class X<T extends Y<() => void>> implements Z { f?: (a: string) => void; g!: () => void = () => h(); static { init(); } async m<T>(): Promise<() => void> { return p(); } [k]() {} }",
+                   [("<anonymous>", "arrow", "X"), ("m", "method", "X"), ("[k]", "method", "X")], ["h", "init", "p"]),
+    "statements.js": ("switch (a) { case 1: { foo(); break } default: bar() } label: while (x) { y() } for (const z of w()) {} do { v() } while (u())", [], ["foo", "bar", "y", "w", "v", "u"]),
+    "targets.js": ("A.prototype.run = function () { };\nlet { u = () => 1 } = v, z = function () {};\nexport default async (q) => q;",
+                   [("A.prototype.run", "function", None), ("u", "arrow", None), ("z", "function", None), ("default", "arrow", None)], []),
+}
+
+
+def test_further_forms(spark):
+    found = extracted(spark, {p: text for p, (text, *_) in MORE.items()})
+    calls = {}
+    for r in extract.extract_calls(sources(spark, {p: text for p, (text, *_) in MORE.items()})).orderBy("path", "at").collect():
+        calls.setdefault(r.path, []).append(r.name)
+    for path, (_, functions, names) in MORE.items():
+        assert [(r.name, r.kind, r.class_name) for r in found[path]] == functions, path
+        assert calls.get(path, []) == names, path
+
+
+def test_unclosed_functions_and_line_ends(spark):
+    rows = extract.extract_functions(sources(spark, {"open.js": "function f() { if (x) { go(", "cr.js": "a\rfunction q() {\r}\u2028function r() {}"})).orderBy("start_offset").collect()
+    assert [(r.name, r.start_line, r.end_line) for r in rows] == [("f", 1, 1), ("q", 2, 3), ("r", 4, 4)]
+    assert rows[0].code == "function f() { if (x) { go("
+
+
+def test_any_text_is_read(spark):
+    odd = ["", "(" * 3000, "`${" * 2000, "<div>" * 2000, "a<b," * 2000, "x => " * 300, "}" * 50, "class " * 500, "const a: " * 500, "\x00", "'", "/*", "//", "/", "`", "<", "@", "#"]
+    assert extract.outlines(sources(spark, {f"{i}.tsx": t for i, t in enumerate(odd)} | {f"{i}.ts": t for i, t in enumerate(odd)})).count() == 2 * len(odd)
+
+
+def test_nothing_is_shuffled(spark):
+    plan = extract.extract_functions(sources(spark, CASES))._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
-    assert plan.count("Exchange hashpartitioning(path") == 1
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1

@@ -16,11 +16,13 @@ def graph(spark, units, calls):
 
 
 BASE = [
-    (1, "enter", "Gate", "gate.ts"), (2, "verify", "Gate", "gate.ts"), (3, "byMail", "People", "people.ts"), (4, "load", None, "gate.ts")]
+    (1, "weigh", None, "shop/scale.ts"), (2, "fire", "Kiln", "clay/kiln.ts"), (3, "cool", "Kiln", "clay/kiln.ts"),
+    (4, "stack", "Shelf", "clay/kiln.ts")]
 
 
-def test_this_and_class_receivers(spark):
-    assert graph(spark, BASE, [(1, "verify", "this"), (4, "byMail", "People")]) == {(1, 2), (4, 3)}
+def test_receivers_and_unique_names(spark):
+    calls = [(2, "cool", "this"), (3, "fire", "Kiln"), (4, "weigh", None), (1, "stack", "Shelf"), (1, "cool", "this")]
+    assert graph(spark, BASE, calls) == {(2, 3), (3, 2), (4, 1), (1, 4), (1, 3)}
 
 
 @pytest.fixture(params=[False, True], ids=["plain", "hot"])
@@ -35,16 +37,17 @@ def hot(request, monkeypatch):
 def test_rules(spark, hot):
     units = BASE + [
         (5, "twin", "Pair", "a.ts"), (6, "twin", "Pair", "b.ts"),      # one class name, two files
-        (7, "first", "X", "gate.ts"), (8, "first", "Y", "gate.ts"),    # two candidates in a file
+        (7, "first", "X", "clay/kiln.ts"), (8, "first", "Y", "clay/kiln.ts"),    # two candidates in a file
         (9, "alone", None, "z.ts"),                                    # the only one of its name
+        (14, "glaze", None, "clay/kiln.ts"),                           # the caller
         (10, "many", None, "y.ts"), (11, "many", None, "z.ts"),        # not unique elsewhere
-        (12, "blank", "", "gate.ts"), (13, "blank", None, "gate.ts"),  # an empty class is not no class
+        (12, "blank", "", "clay/kiln.ts"), (13, "blank", None, "clay/kiln.ts"),  # an empty class is not no class
     ]
     calls = [
-        (4, "twin", "Pair"), (4, "first", None), (4, "alone", None), (4, "many", None), (4, "load", None),
-        (4, "alone", "Nobody"), (4, "missing", "this"), (4, "blank", None), (4, "alone", None), (5, "twin", "Pair"), (2, "byMail", ""),
+        (14, "twin", "Pair"), (14, "first", None), (14, "alone", None), (14, "many", None), (14, "glaze", None),
+        (14, "alone", "Nobody"), (14, "missing", "this"), (14, "blank", None), (14, "alone", None), (5, "twin", "Pair"), (2, "weigh", ""),
     ]
-    assert graph(spark, units, calls) == {(4, 7), (4, 9), (4, 13), (2, 3)}
+    assert graph(spark, units, calls) == {(14, 7), (14, 9), (14, 13), (2, 1)}
 
 
 def test_edges_have_no_loops_and_stay_inside(spark, hot):

@@ -82,16 +82,16 @@ def test_build_update_and_query(spark, tmp_path):
 
     again = idx.index_project(spark, root, folder)
     assert again.stats.first().files_scanned == 0 and units_of(again) == units_of(first)
-    assert again.edges.exceptAll(first.edges).isEmpty() and again.version == 2
+    assert again.edges.exceptAll(first.edges).isEmpty() and again.version == 1
 
     write(root, "mail.js", corpus.SOURCES["mail.js"] + "\nfunction rebateMail() { return deliver(); }\n")
-    write(root, "new/extra.ts", "export function extra() { return resumeSession(); }\n")
+    write(root, "new/extra.ts", "export function extra() { return highest(); }\n")
     os.remove(os.path.join(root, "orders/cart.ts"))
     third = idx.index_project(spark, root, folder)
     assert third.stats.first().files_scanned == 2
     fresh = third.units.filter(F.col("file_path").isin("mail.js", "new/extra.ts")).select(F.min("id")).first()[0]
     assert fresh == len(corpus.FUNCTIONS) + 1
-    assert ("extra", "resumeSession") in edges_of(third) and ("rebateMail", "deliver") in edges_of(third)
+    assert ("extra", "highest") in edges_of(third) and ("rebateMail", "deliver") in edges_of(third)
     assert third.files.count() == 4  # a file that is gone stays
 
     pruned = idx.index_project(spark, root, folder, prune_missing=True)
@@ -112,7 +112,7 @@ def test_build_update_and_query(spark, tmp_path):
     wide = idx.search(full, queries, 3, expand_dependencies=True, depth=2)
     assert wide.filter("relationship IS NULL").count() == plain < wide.count()
     texts = {r.query_id: r.context for r in idx.build_context(full, queries, 2, True).collect()}
-    assert "// resumeSession()\n// session.ts:7-9 (score: " in texts[1] and "(called-by, depth 1)\nexport function extra" in texts[1]
+    assert "// TideTable.highest()\n// harbor/tides.ts:7-9 (score: " in texts[1] and "(called-by, depth 1)\nexport function extra" in texts[1]
 
 
 def test_failed_run_leaves_the_index_as_it_was(spark, tmp_path):

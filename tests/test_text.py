@@ -25,7 +25,7 @@ def test_capitals_stay_whole_and_stopwords_only_leave_text(spark):
 def test_body_cap_counts_after_filtering(spark):
     long = "the a " * 600 + "word " * 499 + "inside outside"
     [row] = spark.createDataFrame([(long,)], "s string").select(
-        text.body_tokens(F.col("s")).alias("capped"), text.body_tokens(F.col("s"), None).alias("all")).collect()
+        text.body_tokens(F.col("s"), text.BODY_TOKEN_CAP).alias("capped"), text.body_tokens(F.col("s")).alias("all")).collect()
     assert len(row.capped) == 500 and row.capped[-1] == "inside"
     assert len(row.all) == 501 and row.all[-1] == "outside"
 

@@ -18,7 +18,8 @@ STOPWORDS = (
     "please", "to", "for", "in", "on", "of", "and", "or", "problem",
 )
 
-# Fixed value: only this many body tokens (after filtering) take part in scoring.
+# Fixed value: the number of body tokens (after filtering) of the scoring rule that reads the beginning of a body only.
+# No search uses it by itself; pass it as a cap to get that rule.
 BODY_TOKEN_CAP = 500
 
 # One piece of an alphanumeric run, at least two characters long.  A piece ends
@@ -47,8 +48,8 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.transform(pieces, F.lower), lambda token: ~token.isin(*STOPWORDS))
 
 
-def body_tokens(code: Column, cap: int | None = BODY_TOKEN_CAP) -> Column:
-    """Tokens of a unit body; ``cap=None`` keeps all of them."""
+def body_tokens(code: Column, cap: int | None = None) -> Column:
+    """Tokens of a unit body: all of them, or the first ``cap``."""
     tokens = tokenize(code)
     return tokens if cap is None else F.slice(tokens, 1, cap)
 

@@ -48,6 +48,12 @@ def build_index(
         paths = paths.unionByName(gone.select("path"))
         stored = stored.join(gone.select("path"), "path", "left_anti")
 
+    if before.version and paths.isEmpty():
+        # Nothing is due: the tables stay as they are, only the run is recorded.
+        functions = maintain.index_stats(status, before.units).first()["functions_indexed"]
+        snapshot.finish(spark, folder, before.version, before.last_id, 0, functions)
+        return load_index(spark, folder)
+
     found = extract.extract_functions(read(due.select("path", "mtime_ms", "size")).select("path", "content"))
     # Sorting by range samples its input first; it should not extract twice.
     found = snapshot.write_table(found, f"{at}/found")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import runtime
 from ..functions.text import qualified_name, unit_label
 
 # Separators of the assembled text.
@@ -33,7 +34,7 @@ def _with_expansion_columns(results: DataFrame) -> DataFrame:
 def chunks(results: DataFrame, units: DataFrame) -> DataFrame:
     """``query_id, pos, chunk``: label, location, provenance and source of every result."""
     source = units.select("id", "name", "class_name", "file_path", "start_line", "end_line", "code")
-    located = _with_expansion_columns(results).join(source, "id")
+    located = runtime.fetch(_with_expansion_columns(results), source)
     chunk = F.concat(
         F.lit("// "), unit_label(F.col("class_name"), F.col("name")),
         F.lit("\n// "), "file_path", F.lit(":"), "start_line", F.lit("-"), "end_line",
@@ -68,7 +69,7 @@ def result_lines(results: DataFrame, units: DataFrame) -> DataFrame:
     line = F.concat(
         qualified_name(F.col("class_name"), F.col("name")), F.lit("() — "),
         "file_path", F.lit(":"), "start_line", F.lit(" "), _provenance())
-    return _with_expansion_columns(results).join(shown, "id").select("query_id", "pos", line.alias("line"))
+    return runtime.fetch(_with_expansion_columns(results), shown).select("query_id", "pos", line.alias("line"))
 
 
 def result_summary(results: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def result_listing(results: DataFrame, units: DataFrame, queries: DataFrame) ->
     entry = F.concat(
         unit_label(F.col("class_name"), F.col("name")), F.lit("\n"),
         "file_path", F.lit(":"), "start_line", F.lit("-"), "end_line", F.lit("\n"), last)
-    entries = _with_expansion_columns(results).join(shown, "id").select("query_id", "pos", entry.alias("entry"))
+    entries = runtime.fetch(_with_expansion_columns(results), shown).select("query_id", "pos", entry.alias("entry"))
     empty = F.concat(F.lit('No matches found for "'), F.col("text"), F.lit('". Has the index been built?'))
     joined = _joined(entries, "entry", LISTING_SEPARATOR)
     return queries.select("query_id", "text").join(joined, "query_id", "left").select(

@@ -1,402 +1,62 @@
 """Functions and call sites of JavaScript and TypeScript text, by lexical segmentation.
 
-There is no compiler here.  A source file is cut into a covering list of tokens
-with one regular expression, exploded, and read with window functions that are
-all partitioned by file.  Brackets are collapsed by nesting level: in the rows
-of one level an opening bracket is directly followed by its closing one, so
-``name(params): Type { body }`` is a short flat sequence whatever is inside.
+There is no compiler here.  Each file is read once by the linear pass in
+``lexer``, where Spark put it: nothing is shuffled, and a file leaves one row
+with its functions and calls.
 
 Differences from a compiler, on purpose: lengths and offsets count code points;
-the head of a method is never taken for a call; regular expression literals
-are told from division by the token before them; templates are followed two
-levels deep; a function type is told from a function by what stands around it.
-Files whose brackets do not close are still read and are listed by
-``rejected_sources``.
+the head of a method is never taken for a call; a function that its file does
+not close ends with the file.  Files whose brackets do not close are still read
+and are listed by ``rejected_sources``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
-# --- tokens ---------------------------------------------------------------
+from .lexer import Outline, line_of, line_starts
 
-# Words of the language that matter for segmentation.
-MODIFIERS = (
-    "export", "default", "async", "declare", "public", "private", "protected", "static", "abstract",
-    "override", "readonly", "accessor", "get", "set",
-)
-FUNCTION_MODIFIERS = ("export", "default", "async", "declare")
-NEVER_CALLED = (
-    "if", "for", "while", "switch", "catch", "with", "function", "return", "typeof", "void", "delete", "in",
-    "instanceof", "await", "yield", "throw", "case", "do", "else", "new", "super", "import", "class", "extends",
-    "export", "default", "const", "let", "var",
-)
-TYPE_BEFORE = (":", "|", "&", "<", ",", "=", "is", "extends", "keyof", "readonly", "implements")
-FUNCTION_TYPE_BEFORE = ("|", "&", "<", "as", "extends", "is", "keyof", "infer", "new", "implements")
-OBJECT_BEFORE = ("=", "(", "[", ",", "return", "?", "&&", "||", "??", "...", "default", "${")
-TYPE_NAMES = (
-    "void", "string", "number", "boolean", "any", "never", "unknown", "Promise", "undefined", "null", "object",
-)
-NOT_A_METHOD = (
-    "if", "for", "while", "switch", "catch", "with", "function", "return", "await", "case", "super", "new",
-)
-BEFORE_ARROW = (
-    "return", "default", "async", "yield", "await", "else", "do", "case", "of", "in", "void", "typeof", "throw", "delete",
-)
-NO_OPERAND = ("return", "throw", "case", "typeof", "void", "delete", "new", "await", "yield", "else", "do")
-BINARY_WORDS = ("in", "of", "instanceof", "as", "satisfies", "is", "extends", "implements")
+_FUNCTION = pa.struct([
+    ("name", pa.string()), ("kind", pa.string()), ("class_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
+    ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("code", pa.string())])
+_CALL = pa.struct([("name", pa.string()), ("receiver", pa.string()), ("at", pa.int32())])
+_OUTLINE = """path string,
+functions array<struct<name: string, kind: string, class_name: string, start_line: int, end_line: int, start_offset: int, end_offset: int, code: string>>,
+calls array<struct<name: string, receiver: string, at: int>>, open_brackets int, lowest int"""
 
-_SPACE = r"[\s\x{a0}\x{feff}\x{2028}\x{2029}]+"
-_COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
 
+def outlines(sources: DataFrame) -> DataFrame:
+    """``path, functions, calls, open_brackets, lowest``: one row per ``path, content`` row, read once.
 
-def _template(levels: int) -> str:
-    text = r"[^`\\$]*+"
-    hole = rf"|\$\{{{_hole(levels - 1)}\}}" if levels else ""
-    return rf"`{text}(?:(?:\\[\s\S]|\$(?!\{{){hole}){text})*+`"
-
-
-def _hole(levels: int) -> str:
-    """What may stand between ``${`` and its ``}``."""
-    text = r"[^{}`]*+"
-    inner = rf"(?:(?:\{{{_hole(levels - 1)}\}}|{_template(levels - 1)}){text})*+" if levels else ""
-    return text + inner
-
-
-_STRING = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"' + "|" + r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-_REGEX = (
-    r"(?<=[=(,:\[!&|?{};+*%>~^-]\s{0,4}|\breturn\s{1,4})/(?![/*>])"
-    r"[^/\\\[\n]*+(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/[a-z]*+")
-_WORD = r"[\p{L}_$][\p{L}\p{N}_$]*+"
-_DECORATOR = rf"@{_WORD}(?:\.{_WORD})*+"
-_OPERATOR = r"=>|\?\.(?!\d)|\.\.\.|\?\?=?|&&=?|\|\|=?|[=!]==?|[-+*/%&|^<>]=|\+\+|--|\*\*"
-TOKEN = "|".join([
-    _SPACE, _COMMENT, _template(3), _STRING, _REGEX, _DECORATOR, rf"#?{_WORD}", r"\d[\w.]*+", _OPERATOR, r"[\s\S]"])
-# A template in pieces: text, or a hole with its braces.
-_TEMPLATE_PIECE = rf"\$\{{{_hole(3)}\}}|(?:\\[\s\S]|\$(?!\{{)|[^\\$])++"
-
-
-def _cut(content: Column) -> Column:
-    return F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))
-
-
-def _open_templates(tokens: Column) -> Column:
-    """Replace every template that has holes by its text pieces and the tokens in its holes.
-
-    Text is blanked, length and line breaks kept, so it is never read as code.
-    """
-    def piece(part: Column) -> Column:
-        inner = F.substring(part, F.lit(3), F.length(part) - 3)
-        return F.when(
-            part.startswith("${"), F.concat(F.array(F.lit("${")), _cut(inner), F.array(F.lit("}"))),
-        ).otherwise(F.array(F.regexp_replace(part, r"[^\n]", "`")))
-
-    def token(tok: Column) -> Column:
-        pieces = F.regexp_extract_all(tok, F.lit(_TEMPLATE_PIECE), F.lit(0))
-        return F.when(
-            tok.startswith("`") & tok.contains("${"), F.flatten(F.transform(pieces, piece)),
-        ).otherwise(F.array(tok))
-
-    return F.flatten(F.transform(tokens, token))
-
-
-def _by_path(sources: DataFrame) -> DataFrame:
-    """Files partitioned by path.
-
-    The number of partitions is given, and above the session's own, because a
-    token list is many times larger than its text: sized by the text, adaptive
-    execution would leave too few.
-    """
-    spark = sources.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return sources.select("path", "content").repartition(2 * parts, "path")
-
-
-def tokens(sources: DataFrame) -> DataFrame:
-    """Significant tokens of every ``path, content`` row with offsets, lines and bracket level.
-
-    The file rows are partitioned by path before they are exploded, so the
-    windows below need no further shuffle.
-    """
-    has_holes = F.col("content").contains("${")
-    cut = _by_path(sources).select("path", F.col("content"), _cut(F.col("content")).alias("toks"))
-    opened = cut.select("path", F.when(has_holes, _open_templates(_open_templates(F.col("toks")))).otherwise(F.col("toks")).alias("toks"))
-    # The last statement of a file always ends somewhere.
-    rows = opened.select("path", F.posexplode(F.concat("toks", F.array(F.lit("\n"), F.lit(";")))).alias("pos", "tok"))
-    order = Window.partitionBy("path").orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))
-    placed = rows.withColumn("breaks", breaks).select(
-        "path", "pos", "tok",
-        F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)).cast("int").alias("start"),
-        (F.coalesce(F.sum("breaks").over(before), F.lit(0)) + 1).cast("int").alias("line"), "breaks")
-    trivia = F.col("tok").rlike(r"^(?:[\s\x{a0}\x{feff}\x{2028}\x{2029}]|//|/\*)")
-    opens, closes = _in("tok", "{", "(", "[", "${"), _in("tok", "}", ")", "]")
-    solid = placed.filter(~trivia).select(
-        "path", "pos", "tok", "start", (F.col("start") + F.length("tok")).alias("end"),
-        "line", (F.col("line") + F.col("breaks")).cast("int").alias("end_line"),
-        opens.alias("opens"), closes.alias("closes"))
-    depth = F.sum(F.when(F.col("opens"), 1).when(F.col("closes"), -1).otherwise(0)).over(
-        order.rowsBetween(Window.unboundedPreceding, 0))
-    return solid.select(
-        "*", (depth - F.col("opens").cast("int")).cast("int").alias("level"),
-        *[F.lag("tok", i).over(order).alias(f"p{i}") for i in (1, 2, 3)],
-        F.lag("end").over(order).alias("p_end"), F.lag("end_line").over(order).alias("p_line"))
-
-
-# --- levels ---------------------------------------------------------------
-
-BEGIN, END = "<begin>", "<end>"
-
-
-def _is_word(tok: Column) -> Column:
-    return tok.rlike(r"^#?[\p{L}_$]")
-
-
-def _in(column: str, *words: str) -> Column:
-    """Membership in a list of words, parsed from one SQL text: a column per word would be slow to build."""
-    name = ".".join(f"`{part}`" for part in column.split("."))
-    return F.expr(f"{name} IN ({', '.join(repr(w) for w in words)})")
-
-
-def _is_text(tok: Column) -> Column:
-    return tok.rlike("^[\"'`0-9]")
-
-
-def _levels(toks: DataFrame) -> DataFrame:
-    """Token rows read level by level, with what stands around them.
-
-    A bracket also leaves a marker on the level it opens or closes, which keeps
-    apart the groups of one level and tells what kind of bracket they are in.
-    Columns ``f1..f5`` and ``g1, g2`` are the tokens before and after on the
-    same level.
+    Elements of JSX are looked for in all files but those called ``.ts``,
+    ``.mts`` or ``.cts``, where an angle after an operator is a type.
     """
-    member = F.struct("level", F.lit(0).alias("mark"))
-    marker = F.struct((F.col("level") + 1).alias("level"), F.when(F.col("opens"), 1).otherwise(2).alias("mark"))
-    both = F.when(F.col("opens") | F.col("closes"), F.array(member, marker)).otherwise(F.array(member))
-    rows = toks.withColumn("at", F.explode(both)).withColumns({"level": F.col("at.level"), "mark": F.col("at.mark")})
-    shown = F.when(F.col("mark") == 1, BEGIN).when(F.col("mark") == 2, END).otherwise(F.col("tok"))
-    rows = rows.withColumns({"bracket": F.col("tok"), "tok": shown}).drop("at", "opens", "closes")
-
-    order = Window.partitionBy("path", "level").orderBy("pos", "mark")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    tok, f1, f2, f3, g1, g2 = (F.col(c) for c in ("tok", "f1", "f2", "f3", "g1", "g2"))
-
-    def last(when: Column, value: Column, frame=before) -> Column:
-        return F.last(F.when(when, value), ignorenulls=True).over(frame)
-
-    def flag(condition: Column) -> Column:
-        return F.coalesce(condition, F.lit(False))
-
-    rows = rows.withColumns({
-        **{f"f{i}": F.lag("tok", i).over(order) for i in (1, 2, 3, 4, 5)},
-        **{f"g{i}": F.lead("tok", i).over(order) for i in (1, 2)},
-        **{f"f{i}_start": F.lag("start", i).over(order) for i in (1, 2)},
-        **{f"f{i}_line": F.lag("line", i).over(order) for i in (1, 2)},
-        "f1_end": F.lag("end").over(order),
-        "g1_start": F.lead("start").over(order), "g1_line": F.lead("line").over(order),
-        "g1_end": F.lead("end").over(order), "g1_end_line": F.lead("end_line").over(order),
-        "g2_end": F.lead("end", 2).over(order), "g2_end_line": F.lead("end_line", 2).over(order),
-        "group": last(F.col("mark") == 1, F.struct(
-            "pos", F.col("bracket").alias("tok"), "p1", "p2", "p3"), upto),
-    })
-
-    # A brace in a type, and the closing brace next to it, do not end a head.
-    typed = (tok == "{") & _in("f1", *TYPE_BEFORE)
-    typed_end = (tok == "}") & (f1 == "{") & _in("f2", *TYPE_BEFORE)
-    stop = _in("tok", ";", "=", "=>", BEGIN, END) | ((tok == "{") & ~flag(typed)) | ((tok == "}") & ~flag(typed_end))
-    decorated = tok.startswith("@") | ((tok == "(") & f1.startswith("@")) | ((tok == ")") & (f1 == "(") & f2.startswith("@"))
-    star = (tok == "*") & _in("f1", BEGIN, ",", ";", "}", *MODIFIERS)
-    member_access = _in("f1", ".", "?.")
-    class_word = (tok == "class") & ~flag(member_access) & (
-        _in("g1", "{", "extends") | (_is_word(g1) & _in("g2", "{", "extends", "implements", "<")))
-    function_word = (tok == "function") & ~flag(member_access) & (_in("g1", "(", "*", "<") | _is_word(g1))
-    operand_before = _is_word(f1) & ~_in("f1", *BEFORE_ARROW) | _in("f1", ")", "]", ">")
-    rows = rows.withColumns({
-        "stop": flag(stop), "typed": flag(typed),
-        "class_word": flag(class_word), "function_word": flag(function_word),
-        "function_lead": flag(decorated | _in("tok", *FUNCTION_MODIFIERS)),
-        "method_lead": flag(decorated | star | _in("tok", *MODIFIERS)),
-        # The name in front of type arguments, unless it stands in a type itself.
-        "generic_name": flag((g1 == "<") & _is_word(tok)) & ~flag(_in("f1", "<", ",", "extends", "|", "&", ":", "=>")),
-        "generic_open": flag(tok == "<") & ~flag(operand_before),
-        "group_pos": F.coalesce("group.pos", F.lit(-1)),
-        # Is a "?" waiting for its ":"?
-        "asked": F.coalesce(last(
-            _in("tok", "?", ",", ";", BEGIN), F.when((tok == "?") & ~flag(_in("g1", ":", ",", ")", "=", ";")), True).otherwise(False)),
-            F.lit(False)),
-        "type_alias": F.coalesce(last(
-            (flag((tok == "type") & _is_word(g1) & _in("g2", "=", "<"))
-             | _in("tok", ";", "const", "let", "var", "function", "class", "return", "import", BEGIN)), tok == "type"), F.lit(False)),
-        # const name = / const name: Type =
-        "declared": last(
-            flag(_in("f1", "const", "let", "var") & _in("g1", "=", ":")) | _in("tok", ";", "=", BEGIN),
-            F.when(flag(_in("f1", "const", "let", "var") & _in("g1", "=", ":")), tok).otherwise("")),
-        # First word of the chain of names left of this row.
-        "chain": last(_is_word(tok) & ~flag(member_access), F.struct("pos", "start", F.col("f1").alias("f1"))),
-        "closed": last(tok == ")", F.col("pos")),
-    })
-
-    # What an unnamed function right after this row is called.
-    unquoted = F.when(f1.rlike("^[\"']"), F.expr("substring(f1, 2, length(f1) - 2)")).when(
-        _is_word(f1) | _is_text(f1), f1)
-    naming = F.when(tok == "=", F.when(f1 == "export", F.struct(
-        F.lit("default").alias("by"), F.lit("default").alias("name"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to")))
-        .when(F.col("declared") != "", F.struct(
-            F.lit("var").alias("by"), F.col("declared").alias("name"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to")))
-        # A default value of a parameter or a pattern names nothing.
-        .when(~flag(_in("group.tok", "(", "[") | (
-            (F.col("group.tok") == "{") & _in("group.p1", *OBJECT_BEFORE, "const", "let", "var"))), F.struct(
-            F.lit("=").alias("by"), F.lit(None).cast("string").alias("name"), F.col("chain.start").alias("from"), F.col("f1_end").alias("to"))))
-    naming = F.when(tok == ":", F.struct(
-        F.when(F.col("asked"), "ternary").when(f1 == "?", "type").otherwise(":").alias("by"), unquoted.alias("name"),
-        F.when(f1 == "]", F.col("f2_start")).alias("from"), F.when(f1 == "]", F.col("f1_end")).alias("to"))).otherwise(naming)
-    naming = F.when((tok == "default") & (f1 == "export"), F.struct(
-        F.lit("default").alias("by"), F.lit("default").alias("name"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"))).otherwise(naming)
-    waiting = F.when(F.col("function_word"), "function").when(F.col("class_word"), "class").otherwise("")
-    rows = rows.withColumn("naming", naming)
-    ahead = F.struct(F.col("g1_start").alias("start"), F.col("g1_line").alias("line"), "tok", "naming")
-    # A run of modifiers that opens the file has no row before it.
-    opening = F.struct(
-        F.first("start").over(upto).alias("start"), F.first("line").over(upto).alias("line"),
-        F.lit(BEGIN).alias("tok"), F.lit(None).cast(rows.schema["naming"].dataType).alias("naming"))
-    is_async = f1 == "async"
-    rows = rows.withColumns({
-        "function_from": F.coalesce(last(~F.col("function_lead"), ahead), opening),
-        "method_from": F.coalesce(last(~F.col("method_lead"), ahead), opening),
-        "waiting": F.coalesce(last(F.col("function_word") | F.col("class_word") | F.col("stop"), waiting), F.lit("")),
-        # An arrow function whose first token is this row.
-        "arrow_from": F.struct(
-            F.when(is_async, F.col("f1_start")).otherwise(F.col("start")).alias("start"),
-            F.when(is_async, F.col("f1_line")).otherwise(F.col("line")).alias("line"),
-            F.when(is_async, f2).otherwise(f1).alias("tok"),
-            F.when(is_async, F.lag("naming", 2).over(order)).otherwise(F.lag("naming").over(order)).alias("naming")),
-    })
-    rows = rows.withColumns({
-        "generic_head": last(F.col("generic_name"), F.struct(
-            "pos", "tok", F.col("f1").alias("f1"), F.col("f2").alias("f2"), F.col("f3").alias("f3"), "method_from")),
-        "generic_from": last(F.col("generic_open"), F.struct("pos", F.col("arrow_from").alias("at"))),
-        "name_from": F.lag("method_from").over(order), "computed_from": F.lag("method_from", 2).over(order),
-    })
-    # ( ) of an arrow function, with type parameters in front of it or not.
-    params_from = F.when((f1 == ">") & (F.col("generic_from.pos") > F.col("group_pos")), F.col("generic_from.at")).otherwise(F.col("arrow_from"))
-    rows = rows.withColumn("params_from", params_from)
-    arrow_params = flag((tok == "(") & (g1 == ")") & (g2 == ":")) & ~flag(
-        (_is_word(f1) & ~_in("f1", *BEFORE_ARROW)) | _in("f1", "?", ")", "]"))
-    has_generic = (f1 == ">") & (F.col("generic_head.pos") > F.col("group_pos"))
-    computed = (f1 == "]") & (f2 == "[")
-    plain = (_is_word(f1) | _is_text(f1)) & ~_in("f1", *NOT_A_METHOD) & ~flag(_in("f2", ".", "?.", "new", "function"))
-    method_head = flag((tok == "(") & (g1 == ")") & _in("g2", "{", ":") & (F.col("waiting") == "")) & flag(plain | computed | has_generic)
-    head = F.struct(
-        "pos",
-        F.when(computed, F.col("computed_from")).when(has_generic, F.col("generic_head.method_from")).otherwise(F.col("name_from")).alias("at"),
-        F.when(has_generic, F.col("generic_head.tok")).when(~computed, unquoted).alias("name"),
-        F.when(computed, F.col("f2_start")).alias("from"), F.when(computed, F.col("f1_end")).alias("to"))
-    nothing = F.lit(None).cast(rows.select(head.alias("h")).schema["h"].dataType)
-    rows = rows.withColumn("head", F.when(method_head, head))
-    # NULLs are skipped by last(), so "no head" is a struct around one.
-    boxed = F.when(F.col("head").isNotNull(), F.struct(F.col("head").alias("head")))
-    return rows.withColumns({
-        "method": F.coalesce(F.last(boxed, ignorenulls=True).over(before), F.struct(nothing.alias("head"))).getField("head"),
-        "method_stopped": last(F.col("stop") | F.col("function_word") | F.col("class_word"), F.col("pos")),
-        "typed_params": last(arrow_params, F.struct("pos", F.col("params_from").alias("at"))),
-        "params_stopped": last(_in("tok", ";", "=", "=>", BEGIN, END) | F.col("stop"), F.col("pos")),
-        "params_before": F.lag("params_from", 2).over(order), "single_before": F.lag("arrow_from").over(order),
-    })
 
-
-# --- functions ------------------------------------------------------------
-
-def _functions(levels: DataFrame) -> DataFrame:
-    """Heads with their range and naming; class bodies ride along as kind ``class``."""
-    tok, f1, f2, g1, g2 = (F.col(c) for c in ("tok", "f1", "f2", "g1", "g2"))
-    order = Window.partitionBy("path", "level").orderBy("pos", "mark")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    body = (tok == "{") & ~F.col("typed")
-    own_name = F.when(_is_word(g1), g1).when((g1 == "*") & _is_word(g2), g2)
-    by_default = (f1 == "default") | ((f1 == "async") & (f2 == "default"))
-    declared = F.when(F.col("function_word"), F.struct(
-        F.col("function_from.start").alias("start"), F.col("function_from.line").alias("line"),
-        own_name.alias("name"), F.when(by_default, "default").alias("fallback"),
-        F.col("function_from.naming").alias("naming"))).when(F.col("class_word"), F.struct(
-            "start", "line", F.when(_is_word(g1) & ~_in("g1", "extends", "implements"), g1).otherwise("<anonymous class>").alias("name"),
-            F.lit(None).cast("string").alias("fallback"), F.col("function_from.naming").alias("naming")))
-    rows = levels.withColumn("declared_head", F.last(declared, ignorenulls=True).over(before))
-
-    group, naming = F.col("group"), F.col("arrow.naming")
-    typed_start = F.col("typed_params.pos") > F.greatest(F.col("params_stopped"), F.col("group_pos"))
-    arrow = F.when(typed_start, F.col("typed_params.at")).when(
-        (f1 == ")") & (f2 == "("), F.col("params_before")).when(_is_word(f1), F.col("single_before"))
-    rows = rows.withColumn("arrow", F.when((tok == "=>"), arrow))
-    prev = F.col("arrow.tok")
-    block = g1 == "{"
-    in_type_group = (prev == BEGIN) & (group["tok"] == "(") & (
-        _in("group.p1", *FUNCTION_TYPE_BEFORE) | ((group["p1"] == ":") & ~block))
-    object_value = (group["tok"] == "{") & F.when(
-        _in("group.p1", *OBJECT_BEFORE), ~((group["p1"] == "=") & F.coalesce(group["p3"] == "type", F.lit(False)))
-    ).when(group["p1"] == ":", ~_in("group.p2", "}", ")", "?", "]") & (block | ~_in("g1", *TYPE_NAMES))).otherwise(False)
-    is_type = (
-        _in("arrow.tok", *FUNCTION_TYPE_BEFORE) | in_type_group | (naming["by"] == "type") | F.col("type_alias")
-        | ((naming["by"] == ":") & ~F.coalesce(object_value, F.lit(False)))
-        | (_is_word(prev) & ~_in("arrow.tok", *BEFORE_ARROW)))
-    is_arrow = F.col("arrow").isNotNull() & ~F.coalesce(is_type, F.lit(False))
-    is_method = body & (F.col("waiting") == "") & (F.col("method.pos") > F.coalesce("method_stopped", F.lit(-1)))
-    kind = (
-        F.when(F.coalesce(is_arrow, F.lit(False)), "arrow")
-        .when(body & (F.col("waiting") == "function"), "function")
-        .when(body & (F.col("waiting") == "class"), "class")
-        .when(F.coalesce(is_method, F.lit(False)), "method"))
-    # Where an arrow function without braces ends.
-    ends_operand = (_is_word(F.col("p1")) & ~_in("p1", *NO_OPERAND, *BINARY_WORDS)) | _is_text(F.col("p1")) | _in("p1", ")", "]", "}")
-    starts_operand = (_is_word(tok) & ~_in("tok", *BINARY_WORDS)) | _is_text(tok) | _in("tok", "{") | tok.startswith("@")
-    broken = (F.col("line") > F.col("p_line")) & ends_operand & starts_operand
-    ends = _in("tok", ",", ";", END) | F.coalesce(broken, F.lit(False))
-    rows = rows.select(
-        "path", "level", "pos", "mark", "group_pos", "start", kind.alias("kind"),
-        F.when(ends, F.struct("p_end", "p_line")).alias("ends"),
-        F.when(ends | (tok == ":"), F.struct("p_end", "p_line")).alias("ends_choice"),
-        "arrow", "declared_head", "method", (g1 == "{").alias("block"),
-        "g1_end", "g1_end_line", "g2_end", "g2_end_line",
-    ).filter(F.col("kind").isNotNull() | F.col("ends_choice").isNotNull())
-    later = Window.partitionBy("path", "level").orderBy(F.desc("pos"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({
-        "until": F.last("ends", ignorenulls=True).over(later),
-        "until_choice": F.last("ends_choice", ignorenulls=True).over(later)}).filter(F.col("kind").isNotNull())
-
-    is_a = {k: F.col("kind") == k for k in ("arrow", "method")}
-    until = F.when(prev == "?", F.col("until_choice")).otherwise(F.col("until"))
-    head_naming = F.when(is_a["arrow"], naming).otherwise(F.col("declared_head.naming"))
-    return rows.select(
-        "path", "kind", "pos", "group_pos", F.col("start").alias("body_start"),
-        F.when(is_a["arrow"], F.col("arrow.start")).when(is_a["method"], F.col("method.at.start")).otherwise(F.col("declared_head.start")).alias("start"),
-        F.when(is_a["arrow"], F.col("arrow.line")).when(is_a["method"], F.col("method.at.line")).otherwise(F.col("declared_head.line")).alias("line"),
-        F.when(is_a["arrow"], F.when(F.col("block"), F.col("g2_end")).otherwise(until["p_end"])).otherwise(F.col("g1_end")).alias("end"),
-        F.when(is_a["arrow"], F.when(F.col("block"), F.col("g2_end_line")).otherwise(until["p_line"])).otherwise(F.col("g1_end_line")).alias("end_line"),
-        F.when(is_a["method"], F.col("method.name")).when(~is_a["arrow"], F.coalesce("declared_head.name", "declared_head.fallback")).alias("name"),
-        F.when(is_a["method"], F.col("method.from")).alias("name_from"), F.when(is_a["method"], F.col("method.to")).alias("name_to"),
-        head_naming.alias("naming"))
-
-
-def _in_classes(heads: DataFrame) -> DataFrame:
-    """Functions with the nearest class around them.
-
-    A class body opens and closes a level of classes; the innermost open class
-    is the last one opened on the current level.
-    """
-    events = heads.withColumn("event", F.explode(F.when(
-        F.col("kind") == "class", F.array(
-            F.struct(F.col("body_start").alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("step")),
-            F.struct(F.col("end").alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("step")))
-    ).otherwise(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("step"))))))
-    order = Window.partitionBy("path").orderBy("event.at", "event.turn")
-    events = events.withColumn("classes", F.sum("event.step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    opened = F.when(F.col("event.step") == 1, F.struct("name", "pos"))
-    inner = Window.partitionBy("path", "classes").orderBy("event.at", "event.turn").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        events.withColumn("owner", F.when(F.col("classes") > 0, F.last(opened, ignorenulls=True).over(inner)))
-        .filter(F.col("kind") != "class"))
+    def outline(path: str | None, text: str) -> dict:
+        read = Outline(text, not (path or "").endswith((".ts", ".mts", ".cts")))
+        starts = line_starts(text)
+        functions = [
+            {"name": f.name, "kind": f.kind, "class_name": f.owner, "start_line": line_of(starts, f.start),
+             "end_line": line_of(starts, max(f.start, f.end - 1)), "start_offset": f.start, "end_offset": f.end, "code": text[f.start:f.end]}
+            for f in read.functions]
+        calls = [{"name": name, "receiver": receiver, "at": at} for name, receiver, at in read.calls]
+        return {"functions": functions, "calls": calls, "open": read.r.level, "lowest": read.r.lowest}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [outline(p, t or "") for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([f["functions"] for f in found], pa.list_(_FUNCTION)), pa.array([f["calls"] for f in found], pa.list_(_CALL)),
+                     pa.array([f["open"] for f in found], pa.int32()), pa.array([f["lowest"] for f in found], pa.int32())],
+                    ["path", "functions", "calls", "open_brackets", "lowest"])
+
+    return sources.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, _OUTLINE)
 
 
 def extract_functions(sources: DataFrame) -> DataFrame:
@@ -407,33 +67,12 @@ def extract_functions(sources: DataFrame) -> DataFrame:
     ``content[start_offset:end_offset]`` and starts at the first decorator or
     modifier.  Nested functions are rows of their own.
     """
-    found = _in_classes(_functions(_levels(tokens(sources))))
-    by = F.col("naming.by")
-    member = F.col("owner.pos") == F.col("group_pos")
-    # A property of a class is no variable: its function stays unnamed, and an
-    # arrow after its colon is a type.
-    found = found.filter(~F.coalesce(member & (F.col("kind") == "arrow") & (by == ":"), F.lit(False)))
-    assigned = F.when(by.isin("var", "default", ":"), F.struct(
-        F.col("naming.name").alias("name"), F.col("naming.from").alias("from"), F.col("naming.to").alias("to"))).when(
-            (by == "=") & ~F.coalesce(member, F.lit(False)), F.struct(
-                F.lit(None).cast("string").alias("name"), F.col("naming.from").alias("from"), F.col("naming.to").alias("to")))
-    found = found.withColumn("assigned", F.when(F.col("kind") != "method", assigned))
-    found = found.select(
-        "path", "kind", F.col("owner.name").alias("class_name"), "line", "end_line", "start", "end",
-        F.coalesce("name", "assigned.name").alias("name"),
-        F.coalesce("name_from", "assigned.from").alias("name_from"), F.coalesce("name_to", "assigned.to").alias("name_to"))
-
-    def text(start: str, end: str) -> Column:
-        return F.substring(F.col("content"), F.col(start) + 1, F.col(end) - F.col(start))
+    return outlines(sources).select(F.col("path").alias("file_path"), F.inline("functions"))
 
-    return found.join(_by_path(sources), "path").select(
-        F.col("path").alias("file_path"),
-        F.coalesce("name", text("name_from", "name_to"), F.lit("<anonymous>")).alias("name"),
-        "kind", "class_name", F.col("line").alias("start_line"), "end_line",
-        F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), text("start", "end").alias("code"))
 
+def _first_sites(calls: DataFrame, *keys: str) -> DataFrame:
+    return calls.groupBy(*keys, "name", "receiver").agg(F.min("at").alias("at"))
 
-# --- calls ----------------------------------------------------------------
 
 def extract_calls(sources: DataFrame) -> DataFrame:
     """``path, name, receiver, at``: distinct calls per ``path, content`` row, first position kept.
@@ -441,36 +80,7 @@ def extract_calls(sources: DataFrame) -> DataFrame:
     The receiver is ``this`` or the single name left of the dot; a longer
     chain, ``super`` or a call result gives none.
     """
-    rows = _levels(tokens(sources)).filter((F.col("tok") == "(") & (F.col("mark") == 0))
-    optional, generic = F.col("f1") == "?.", F.col("f1") == ">"
-
-    def f(i: int) -> Column:
-        """The i-th token before the bracket, counted from the called name."""
-        head = {1: "generic_head.tok", 2: "generic_head.f1", 3: "generic_head.f2", 4: "generic_head.f3"}[i]
-        return F.when(optional, F.col(f"f{i + 1}")).when(
-            generic, F.when(F.col("generic_head.pos") > F.col("group_pos"), F.col(head))).otherwise(F.col(f"f{i}"))
-
-    # ( ) of an arrow function, the head of a method, or of a signature: `name( ): Type`.
-    labelled = (F.col("g2") == ":") & ~F.col("asked") & (F.coalesce("chain.f1", F.lit("")) != "case")
-    no_call = (F.col("g2") == "=>") | ((F.col("g2") == "{") & F.col("head").isNotNull()) | labelled
-    # new a.b.C( ): the chain in front is new's own, unless something was called on the way.
-    made = (F.col("chain.f1") == "new") & (F.coalesce("closed", F.lit(-1)) < F.col("chain.pos"))
-    sites = rows.filter(~F.coalesce(no_call, F.lit(False))).select(
-        "path", "start", "waiting", f(1).alias("c1"), f(2).alias("c2"), f(3).alias("c3"), f(4).alias("c4"),
-        F.coalesce(made, F.lit(False)).alias("made"),
-        F.when(F.col("f1").startswith("@"), F.split(F.expr("substring(f1, 2)"), "[.]")).alias("decorator"))
-    c1, c2, c3, c4 = (F.col(f"c{i}") for i in (1, 2, 3, 4))
-    dotted = F.coalesce(_in("c2", ".", "?."), F.lit(False))
-    plain = ~_in("c1", *NEVER_CALLED, "this") & ~F.coalesce(_in("c2", "function", "new"), F.lit(False)) & (F.col("waiting") != "function")
-    called = _is_word(c1) & ~F.col("made") & (dotted | plain)
-    receiver = F.when(
-        dotted & _is_word(c3) & (c3 != "super") & ~F.coalesce(_in("c4", ".", "?."), F.lit(False)), c3)
-    decorator = F.col("decorator")
-    calls = sites.filter(decorator.isNotNull() | F.coalesce(called, F.lit(False))).select(
-        "path", F.when(decorator.isNotNull(), F.element_at(decorator, -1)).otherwise(c1).alias("name"),
-        F.when(decorator.isNull(), receiver).when(F.size(decorator) == 2, decorator[0]).alias("receiver"),
-        F.col("start").alias("at"))
-    return calls.groupBy("path", "name", "receiver").agg(F.min("at").alias("at"))
+    return _first_sites(outlines(sources).select("path", F.inline("calls")), "path")
 
 
 class Extracted(NamedTuple):
@@ -486,23 +96,18 @@ def unit_calls(units: DataFrame, key: str = "id") -> DataFrame:
 
 
 def extract_units_and_calls(sources: DataFrame) -> Extracted:
-    """Functions of every file, and their calls keyed by file and start offset."""
-    units = extract_functions(sources)
-    keyed = units.withColumn("key", F.concat_ws("#", "start_offset", "file_path"))
-    calls = unit_calls(keyed, "key").select(
-        F.split("caller_id", "#", 2)[1].alias("file_path"),
-        F.split("caller_id", "#", 2)[0].cast("int").alias("start_offset"), "name", "receiver", "at")
-    return Extracted(units, calls)
-
+    """Functions of every file, and their calls keyed by file and start offset; a call counts for all functions around it."""
+    read = outlines(sources)
+    inside = F.filter("calls", lambda c: (c["at"] >= F.col("f.start_offset")) & (c["at"] < F.col("f.end_offset")))
+    calls = read.select("path", "calls", F.explode("functions").alias("f")).select(
+        F.col("path").alias("file_path"), F.col("f.start_offset").alias("start_offset"), F.inline(inside))
+    located = calls.withColumn("at", F.col("at") - F.col("start_offset"))
+    return Extracted(read.select(F.col("path").alias("file_path"), F.inline("functions")), _first_sites(located, "file_path", "start_offset"))
 
-# --- other ----------------------------------------------------------------
 
 def rejected_sources(sources: DataFrame) -> DataFrame:
     """``path, open_brackets, lowest``: files whose brackets do not close, or close too early."""
-    toks = tokens(sources)
-    after = F.col("level") + F.col("opens").cast("int")
-    final = F.max_by(after, "pos").alias("open_brackets")
-    return toks.groupBy("path").agg(final, F.min("level").alias("lowest")).filter("open_brackets <> 0 OR lowest < 0")
+    return outlines(sources).select("path", "open_brackets", "lowest").filter("open_brackets <> 0 OR lowest < 0")
 
 
 def segment_lines(df: DataFrame, key: str, text: str) -> DataFrame:

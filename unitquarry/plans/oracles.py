@@ -11,7 +11,6 @@ from __future__ import annotations
 from ..functions.text import STOPWORDS
 from ..operators.evaluate import FULL, HYBRID, KEYWORD
 from ..sources import report
-from ..sources.files import SOURCE_PATH, ignore_patterns
 from .views import SOURCE_FORMS, SOURCE_SEPARATOR
 
 ORACLES: dict[str, str] = {}
@@ -60,7 +59,7 @@ def _terms(units: str, cap: int | None) -> str:
   GROUP BY id, token)"""
 
 
-def _keyword(units: str, queries: str, cap: int | None = 500) -> str:
+def _keyword(units: str, queries: str, cap: int | None = None) -> str:
     """CTEs ``terms``, ``asked`` and ``kw`` (query_id, id, score)."""
     return f"""{_terms(units, cap)},
 asked AS (
@@ -148,13 +147,16 @@ UNION ALL SELECT path, mtime_ms, size FROM diff WHERE status <> 'unchanged'"""
 ORACLES["q_prune_missing"] = f"WITH {_FILES} SELECT * FROM old WHERE path NOT IN (SELECT path FROM cur)"
 ORACLES["q_replace_by_file"] = f"""WITH {_DOCS}
 SELECT CASE WHEN regexp_matches(file_path, '[13579]$') THEN -id - 1 ELSE id END AS id, name, file_path, code FROM docs"""
-_accept = " ".join(f"AND NOT regexp_matches(path, '{p}')" for p in ignore_patterns(["**/spam-*/**"]))
-ORACLES["q_scan_filter"] = f"""WITH paths AS (
+ORACLES["q_scan_filter"] = """WITH paths AS (
   SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '^m\\.', 'build/'), '^www\\.', '.www/')
     || CASE WHEN contains(url, '/en/') THEN '.ts' WHEN contains(url, '/fr/') THEN '.jsx'
             WHEN contains(url, '/de/') THEN '.d.ts' ELSE '.min.js' END AS path FROM pages),
-clean AS (SELECT page_id, regexp_replace(path, '/{{2,}}', '/', 'g') AS path FROM paths)
-SELECT page_id, path FROM clean WHERE regexp_matches(path, '{SOURCE_PATH}') {_accept}"""
+clean AS (SELECT page_id, regexp_replace(path, '/{2,}', '/', 'g') AS path FROM paths)
+SELECT page_id, path FROM clean WHERE path NOT LIKE '.%' AND path NOT LIKE '%/.%'
+  AND list_contains(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], string_split(path, '.')[-1])
+  AND path NOT LIKE '%.d.ts' AND path NOT LIKE '%.min.js'
+  AND len(list_filter(string_split(path, '/')[:-2],
+    lambda d: d IN ('node_modules', 'dist', 'build', '.git', 'coverage') OR starts_with(d, 'spam-'))) = 0"""
 _PARTS = """units AS (
   SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN p_name || '_' || p_partkey ELSE p_name END AS name,
     CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS class_name, p_type || '/' || (p_partkey % 40) AS file_path,

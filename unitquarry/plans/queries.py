@@ -44,7 +44,7 @@ def q_split_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_body_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.document_units(spark, sf_dir)
     return (
-        docs.select("id", F.explode(text.body_tokens(F.col("code"))).alias("token"))
+        docs.select("id", F.explode(text.body_tokens(F.col("code"), text.BODY_TOKEN_CAP)).alias("token"))
         .groupBy("id", "token").agg(F.count("*").alias("tf")))
 
 

@@ -136,10 +136,10 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The script of every page."""
+    """The scripts of every page, one after the other."""
     return table(spark, sf_dir, "pages", "page_id").select(
         F.col("page_id").cast("string").alias("path"),
-        F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1).alias("content"))
+        F.array_join(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1)), "\n").alias("content"))
 
 
 def part_units(spark: SparkSession, sf_dir: str) -> DataFrame:

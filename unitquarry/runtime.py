@@ -102,6 +102,16 @@ def lookup_join(
     return skew_join(left, right, on, how, spread, hot)
 
 
+def fetch(results: DataFrame, wide: DataFrame) -> DataFrame:
+    """Rows of ``results`` with the columns of ``wide``, which has one row per ``id``.
+
+    The results are settled first.  If they were measured small they go to the
+    wide rows, so text and vectors stay where they are.
+    """
+    settled = cut(results)
+    return wide.join(F.broadcast(settled), "id") if is_small(settled) else settled.join(wide, "id")
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """Make sure a checkpoint folder is set.
 

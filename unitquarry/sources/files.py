@@ -48,8 +48,13 @@ def glob_pattern(glob: str) -> str:
 
 
 def ignore_patterns(ignore: Sequence[str] = ()) -> list[str]:
-    """The built-in patterns and the caller's, never instead of them."""
-    return [glob_pattern(glob) for glob in (*DEFAULT_IGNORE, *ignore)]
+    """The built-in patterns and the caller's, never instead of them.
+
+    A pattern that fits a folder leaves out all that is below, and one that
+    ends in ``/**`` fits the folder itself.
+    """
+    globs = [glob.removesuffix("/**") or "**" for glob in (*DEFAULT_IGNORE, *ignore)]
+    return [glob_pattern(glob).removesuffix("$") + "(?:/.*)?$" for glob in globs]
 
 
 # Path of dot-less components that ends in a source extension.
@@ -96,8 +101,7 @@ def list_tree(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> Dat
                 for entry in os.scandir(os.path.join(root, folder)):
                     path = f"{folder}/{entry.name}" if folder else entry.name
                     is_dir = entry.is_dir()
-                    probe = f"{path}/x" if is_dir else path
-                    if entry.name.startswith(".") or any(p.match(probe) for p in patterns):
+                    if entry.name.startswith(".") or any(p.match(path) for p in patterns):
                         continue
                     if not is_dir and not entry.is_file():
                         continue
@@ -145,5 +149,5 @@ def binary_sources(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -
         .option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root))
     table = raw.select(
         "path", F.unix_millis("modificationTime").alias("mtime_ms"),
-        F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
+        F.col("length").alias("size"), F.expr("make_valid_utf8(cast(content AS string))").alias("content"))
     return scan_files(table, root, ignore)

@@ -6,6 +6,7 @@ appended.  A failed run leaves the version before it in force.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -17,7 +18,7 @@ FILES = "path string, mtime_ms bigint, size bigint"
 CALLS = "caller_id bigint, name string, receiver string, at int"
 POSTINGS = "token string, id bigint, in_name boolean, in_class boolean, tf bigint"
 EDGES = "caller_id bigint, callee_id bigint"
-MANIFEST = "version bigint, last_id bigint, files_scanned bigint, functions_indexed bigint"
+MANIFEST = "version bigint, last_id bigint, files_scanned bigint, functions_indexed bigint, run_at timestamp"
 
 
 class Index(NamedTuple):
@@ -48,7 +49,7 @@ def load_index(spark: SparkSession, folder: str) -> Index:
     """The newest finished version, or an empty index.  Tables are read when used."""
     newest = None
     if _exists(spark, f"{folder}/manifest"):
-        newest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
+        newest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy(F.desc("version"), F.desc("run_at")).first()
     if newest is None:
         empty = [spark.createDataFrame([], schema) for schema in (FILES, UNITS, POSTINGS, CALLS, EDGES)]
         stats = spark.createDataFrame([], "files_scanned bigint, functions_indexed bigint")
@@ -70,7 +71,8 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def finish(spark: SparkSession, folder: str, version: int, last_id: int, files_scanned: int, functions: int) -> None:
-    row = spark.createDataFrame([(version, last_id, files_scanned, functions)], MANIFEST)
+    row = spark.createDataFrame(
+        [(version, last_id, files_scanned, functions, datetime.now(timezone.utc))], MANIFEST)
     row.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
 
 
@@ -85,8 +87,10 @@ def number_new(staged: DataFrame, path: str, last_id: int) -> DataFrame:
     rows = spark.read.schema(staged.schema).parquet(path).select(
         "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     # One row per part file: its number follows the number of tasks, not the data.
+    # Part numbers have five digits at least: order by number, not by name.
     counts = rows.groupBy("_file").agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("bigint")
+    earlier = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return rows.join(before, "_file").select(
         (F.col("_before") + F.col("_row") + 1 + F.lit(last_id)).cast("bigint").alias("id"), *staged.columns)
