@@ -192,14 +192,37 @@ def _form(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-# What each source form holds: name, kind, class, first and last text of its range.
+# What each source form holds: name, kind, class and exact text of its functions, and the calls in each as (name, receiver).
 _FORM_UNITS = (
-    (0, "fn_{k}", "function", None, "function fn_{k}", "}"),
-    (1, "arrow_{k}", "arrow", None, "async (value)", "}"),
-    (2, "run_{k}", "method", "Part{k}", "@trace()", "  }"),
-    (3, "pick_{k}", "arrow", None, "(value) =>", "+ {s}"),
-    (4, "size", "method", None, "get size()", "; }"),
-    (4, "on_{k}", "function", None, "function (value)", "; }"),
+    (0, "fn_{k}", "function", None, "function fn_{k}(value) {\n  return helper_{s}(value);\n}", [("helper_{s}", None)]),
+    (1, "arrow_{k}", "arrow", None, "async (value) => {\n  // not a brace: {\n  return this.step_{s}(value);\n}", [("step_{s}", "this")]),
+    (2, "run_{k}", "method", "Part{k}",
+     "@trace()\n  private async run_{k}(value: number): Promise<void> {\n    if (value > {s}) { log.write(\"}\"); }\n  }", [("trace", None), ("write", "log")]),
+    (3, "pick_{k}", "arrow", None, "(value) => load_{s}(value) + {s}", [("load_{s}", None)]),
+    (4, "size", "method", None, "get size() { return {s}; }", []),
+    (4, "on_{k}", "function", None, "function (value) { return fn_{k}(value); }", [("fn_{k}", None)]),
+    (5, "over_{k}", "function", None, "export function over_{k}(done: () => void): () => void {\n  watch_{s}(done);\n  return stop;\n}", [("watch_{s}", None)]),
+    (6, "scan_{k}", "function", None, "function scan_{k}(text) {\n  if (text) /[{]/.test(text);\n  return text / {s} / 2;\n}", [("test", None)]),
+    (7, "[key_{s}]", "arrow", None, "(value) => deep_{s}(`${`${inner_{k}(value)}`}}`)", [("deep_{s}", None), ("inner_{k}", None)]),
+    (8, "default", "function", None, "export default async function (value) {\n  return await boot_{s}(value);\n}", [("boot_{s}", None)]),
+    (9, "Store_{k}.prototype.save", "function", None, "function (value) { this.put_{s}(value); }", [("put_{s}", "this")]),
+    (10, "constructor", "method", "<anonymous class>", "constructor(private size = start_{s}()) { this.size = size; }", [("start_{s}", None)]),
+    (10, "area", "method", "<anonymous class>", "get area() { return this.size * {s}; }", []),
+    (10, "area", "method", "<anonymous class>", "set area(value) { check_{k}(value); }", [("check_{k}", None)]),
+    (10, "[Symbol.iterator]", "method", "<anonymous class>", "[Symbol.iterator]() { return each_{k}(this); }", [("each_{k}", None)]),
+    (10, "quoted name", "method", "<anonymous class>", "'quoted name'() { return 1; }", []),
+    (10, "#hidden", "method", "<anonymous class>", "#hidden() { return 2; }", []),
+    (11, "pair_{k}", "function", None, "function pair_{k}(a: any) { return join_{s}(a, new Thing_{k}(a)); }", [("join_{s}", None)]),
+    (12, "outer_{k}", "function", None,
+     "function outer_{k}(list) {\n  function inner_{s}(item) { return item?.touch_{k}(); }\n  return list.map((item) => inner_{s}(item));\n}",
+     [("touch_{k}", "item"), ("map", "list"), ("inner_{s}", None)]),
+    (12, "inner_{s}", "function", None, "function inner_{s}(item) { return item?.touch_{k}(); }", [("touch_{k}", "item")]),
+    (12, "<anonymous>", "arrow", None, "(item) => inner_{s}(item)", [("inner_{s}", None)]),
+    (13, "tag_{k}", "arrow", None,
+     "async (value) => {\n  await html`<p>${value}</p>`;\n  api?.load_{s}?.(value);\n  super_{k}.a.b.run(value);\n}", [("load_{s}", "api"), ("run", None)]),
+    (14, "typed_{k}", "arrow", None, "(x: number): string => fmt_{s}(x)", [("fmt_{s}", None)]),
+    (15, "items", "method", None, "async *items() { yield* list_{s}<Map<string, () => void>>(this); }", [("list_{s}", None)]),
+    (15, "done", "arrow", None, "value => close_{k}(value)", [("close_{k}", None)]),
 )
 
 
@@ -207,9 +230,9 @@ def _filled(text: str) -> str:
     return f"replace(replace({_form(text)}, '{{k}}', p_partkey::VARCHAR), '{{s}}', p_size::VARCHAR)"
 
 
-_FORMS = "CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN {_filled(t)}" for i, t in enumerate(SOURCE_FORMS)) + " END"
+_FORMS = f"CASE p_partkey % {len(SOURCE_FORMS)} " + " ".join(f"WHEN {i} THEN {_filled(t)}" for i, t in enumerate(SOURCE_FORMS)) + " END"
 _CHUNKS = f"""chunks AS (
-  SELECT p_partkey, p_size, p_partkey % 5 AS form, 'src/' || (p_partkey // 40) || '.ts' AS file_path, {_FORMS} AS chunk FROM part),
+  SELECT p_partkey, p_size, p_partkey % {len(SOURCE_FORMS)} AS form, 'src/' || (p_partkey // 40) || '.ts' AS file_path, {_FORMS} AS chunk FROM part),
 placed AS (
   SELECT *, coalesce(sum(length(chunk) + {len(SOURCE_SEPARATOR)}) OVER w, 0) AS base,
     coalesce(sum(length(chunk) - length(replace(chunk, chr(10), '')) + 2) OVER w, 0) AS base_line
@@ -217,33 +240,25 @@ placed AS (
 
 
 def _form_units() -> str:
-    """Ranges inside a chunk: the last text is the first one found after the last call or line of the unit."""
-    parts = []
-    for form, name, kind, owner, first, last in _FORM_UNITS:
-        anchor = {0: "helper_", 1: "step_", 2: "}\"); }", 3: "load_", 4: "return"}[form] if name != "on_{k}" else "fn_{k}(value)"
-        parts.append(
-            f"SELECT *, {_filled(name)} AS name, '{kind}' AS kind, {_filled(owner) if owner else 'NULL'} AS class_name, "
-            f"strpos(chunk, {_filled(first)}) - 1 AS s, "
-            f"strpos(chunk, {_filled(anchor)}) + length({_filled(anchor)}) - 1 AS a, {_filled(last)} AS l FROM placed WHERE form = {form}")
-    return " UNION ALL ".join(parts)
+    """Functions by the place of their text in the chunk."""
+    return " UNION ALL ".join(
+        f"SELECT *, {n} AS unit, {_filled(name)} AS name, '{kind}' AS kind, {_filled(owner) if owner else 'NULL'} AS class_name, "
+        f"strpos(chunk, {_filled(code)}) - 1 AS s, {_filled(code)} AS code FROM placed WHERE form = {form}"
+        for n, (form, name, kind, owner, code, _) in enumerate(_FORM_UNITS))
 
 
 _UNITS = f"""{_CHUNKS},
 marked AS ({_form_units()}),
-found AS (SELECT *, a + strpos(substr(chunk, a + 1), l) - 1 + length(l) AS e FROM marked),
+found AS (SELECT *, s + length(code) AS e FROM marked),
 fns AS (SELECT file_path, name, kind, class_name, (base + s)::INTEGER AS start_offset, (base + e)::INTEGER AS end_offset,
   (base_line + 1 + length(substr(chunk, 1, s)) - length(replace(substr(chunk, 1, s), chr(10), '')))::INTEGER AS start_line,
   (base_line + 1 + length(substr(chunk, 1, e)) - length(replace(substr(chunk, 1, e), chr(10), '')))::INTEGER AS end_line,
-  substr(chunk, s + 1, e - s) AS code, p_partkey, p_size, form FROM found)"""
+  code, p_partkey, p_size, unit FROM found)"""
 ORACLES["q_extract_functions"] = f"""WITH {_UNITS}
 SELECT file_path, name, kind, class_name, start_offset, end_offset, start_line, end_line, code FROM fns"""
-ORACLES["q_extract_calls"] = f"""WITH {_UNITS}
-SELECT file_path, start_offset, 'helper_' || p_size AS name, NULL AS receiver FROM fns WHERE form = 0
-UNION ALL SELECT file_path, start_offset, 'step_' || p_size, 'this' FROM fns WHERE form = 1
-UNION ALL SELECT file_path, start_offset, 'trace', NULL FROM fns WHERE form = 2
-UNION ALL SELECT file_path, start_offset, 'write', 'log' FROM fns WHERE form = 2
-UNION ALL SELECT file_path, start_offset, 'load_' || p_size, NULL FROM fns WHERE form = 3
-UNION ALL SELECT file_path, start_offset, 'fn_' || p_partkey, NULL FROM fns WHERE form = 4 AND kind = 'function'"""
+ORACLES["q_extract_calls"] = f"WITH {_UNITS} " + " UNION ALL ".join(
+    f"SELECT file_path, start_offset, {_filled(name)} AS name, {_form(receiver) if receiver else 'NULL'} AS receiver FROM fns WHERE unit = {n}"
+    for n, (*_, calls) in enumerate(_FORM_UNITS) for name, receiver in calls)
 
 ORACLES["q_rejected_sources"] = """SELECT DISTINCT 'src/' || (p_partkey // 40) || '.ts' AS path, 1 AS open_brackets, 0 AS lowest
 FROM part WHERE (p_partkey // 40) % 2 = 1"""

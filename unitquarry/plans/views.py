@@ -183,7 +183,7 @@ def part_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.top_k(ranked, "query_id", [F.desc("score"), F.asc("id")], 3)
 
 
-# Source text of a part, by p_partkey % 5.  {k} is the part's key, {s} its size.
+# Source text of a part, by p_partkey modulo the number of forms.  {k} is the part's key, {s} its size.
 SOURCE_FORMS = (
     "function fn_{k}(value) {\n  return helper_{s}(value);\n}",
     "export const arrow_{k} = async (value) => {\n  // not a brace: {\n  return this.step_{s}(value);\n};",
@@ -191,6 +191,21 @@ SOURCE_FORMS = (
     "    if (value > {s}) { log.write(\"}\"); }\n  }\n}",
     "export const pick_{k} = (value) => load_{s}(value) + {s};",
     "const table_{k} = {\n  get size() { return {s}; },\n  on_{k}: function (value) { return fn_{k}(value); }\n};",
+    "export function over_{k}(done: () => void): () => void {\n  watch_{s}(done);\n  return stop;\n}",
+    "function scan_{k}(text) {\n  if (text) /[{]/.test(text);\n  return text / {s} / 2;\n}",
+    "const nest_{k} = {\n  [key_{s}]: (value) => deep_{s}(`${`${inner_{k}(value)}`}}`),\n};",
+    "export default async function (value) {\n  return await boot_{s}(value);\n}",
+    "Store_{k}.prototype.save = function (value) { this.put_{s}(value); };",
+    "const Box{k} = class {\n  constructor(private size = start_{s}()) { this.size = size; }\n  get area() { return this.size * {s}; }\n"
+    "  set area(value) { check_{k}(value); }\n  [Symbol.iterator]() { return each_{k}(this); }\n  'quoted name'() { return 1; }\n"
+    "  #hidden() { return 2; }\n};",
+    "function pair_{k}(a: string): string;\nfunction pair_{k}(a: number): number;\n"
+    "function pair_{k}(a: any) { return join_{s}(a, new Thing_{k}(a)); }",
+    "function outer_{k}(list) {\n  function inner_{s}(item) { return item?.touch_{k}(); }\n  return list.map((item) => inner_{s}(item));\n}",
+    "const tag_{k} = async (value) => {\n  await html`<p>${value}</p>`;\n  api?.load_{s}?.(value);\n  super_{k}.a.b.run(value);\n};",
+    "type Fn{k} = (value: number) => void;\ninterface Shape{k} { area(value: string): void; pick: (x: number) => string }\n"
+    "const typed_{k}: (x: number) => string = (x: number): string => fmt_{s}(x);",
+    "const view_{k} = {\n  async *items() { yield* list_{s}<Map<string, () => void>>(this); },\n  done: value => close_{k}(value),\n};",
 )
 SOURCE_SEPARATOR = "\n\n"
 
@@ -204,7 +219,7 @@ def damaged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content``: source files written from the parts, forty parts to a file."""
-    form = F.element_at(F.array(*map(F.lit, SOURCE_FORMS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    form = F.element_at(F.array(*map(F.lit, SOURCE_FORMS)), (F.col("p_partkey") % len(SOURCE_FORMS) + 1).cast("int"))
     filled = F.replace(
         F.replace(form, F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string"))
     parts = table(spark, sf_dir, "part").select(
