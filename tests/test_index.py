@@ -150,3 +150,50 @@ def test_plan_reads_no_content_for_metadata(spark, tmp_path):
     plan = trees.binary_sources(spark, root).select("path", "size")._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
+
+
+def test_ignored_names_leave_out_a_file_or_what_is_below_a_folder(spark, tmp_path):
+    root = str(tmp_path)
+    for path in ["a.ts", "b/c.ts", "d/b/e.ts", "d/x.ts", "x/y.ts", "_app/f.tsx"]:
+        write(root, path, "x")
+
+    def listed(ignore):
+        found = {r.path for r in trees.list_tree(spark, root, ignore).collect()}
+        table = spark.createDataFrame([(f"{root}/{p}",) for p in ["a.ts", "b/c.ts", "d/b/e.ts", "d/x.ts", "x/y.ts", "_app/f.tsx"]], "path string")
+        assert found == {r.path for r in trees.scan_files(table, root, ignore).collect()}
+        return found
+
+    assert listed(["**/x"]) == {"a.ts", "b/c.ts", "d/b/e.ts", "d/x.ts", "_app/f.tsx"}
+    assert listed(["b"]) == {"a.ts", "d/b/e.ts", "d/x.ts", "x/y.ts", "_app/f.tsx"}
+    assert listed(["**/b/**", "_app/**"]) == {"a.ts", "d/x.ts", "x/y.ts"}
+    assert {r.path for r in trees.list_tree(spark, "file://" + root, ["d"]).collect()} == {"a.ts", "b/c.ts", "x/y.ts", "_app/f.tsx"}
+
+
+def test_the_reader_of_spark_takes_bad_bytes_too(spark, tmp_path):
+    with open(tmp_path / "a.js", "wb") as f:
+        f.write(b"f(\xff)")
+    assert trees.binary_sources(spark, str(tmp_path)).select("content").first().content == "f(�)"
+
+
+def test_an_unclosed_file_does_not_stop_incremental_runs(spark, tmp_path):
+    root, folder = str(tmp_path / "p"), str(tmp_path / "index")
+    write(root, "open.js", "function f() { if (x) {")
+    write(root, "b.js", "function g() { f() }")
+    first = idx.index_project(spark, root, folder, with_vectors=False)
+    assert first.units.filter("code IS NULL OR end_offset IS NULL").isEmpty()
+    again = idx.index_project(spark, root, folder, with_vectors=False)
+    assert again.stats.first().files_scanned == 0 and again.version == 1
+    queries = spark.createDataFrame([(1, "what is f")], "query_id bigint, text string")
+    with pytest.raises(ValueError, match="whole bodies"):
+        from unitquarry.operators import search
+        search.keyword_search(again.units, queries, body_cap=500, index=again.postings)
+
+
+def test_a_word_far_down_a_body_is_found(spark, tmp_path):
+    from unitquarry.operators import search
+    units = spark.createDataFrame([(1, "f", None, "plain " * 800 + "needle needle needle needle needle"), (2, "g", None, "plain")],
+                                  "id bigint, name string, class_name string, code string")
+    queries = spark.createDataFrame([(1, "needle")], "query_id bigint, text string")
+    assert [r.id for r in search.keyword_search(units, queries).collect()] == [1]
+    assert [r.id for r in search.keyword_search(units, queries, index=search.postings(units)).collect()] == [1]
+    assert search.keyword_search(units, queries, body_cap=500).isEmpty()

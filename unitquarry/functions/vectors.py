@@ -48,15 +48,16 @@ def hashed_embeddings(df: DataFrame, key: str, text: Column, dim: int = HASHED_D
     A deterministic stand-in for a language model: it says how many hashed
     tokens two texts share and nothing about meaning.
     """
-    hashed = F.xxhash64("token")
+    hashed = F.md5(F.col("token").cast("binary"))
     counts = (
         df.select(key, text.alias("_text"))
         .repartition(key)
         .select(key, F.explode_outer(tokenize(F.col("_text"))).alias("token"))
         .select(
             key,
-            F.pmod(hashed, F.lit(dim)).cast("int").alias("slot"),
-            F.when(F.shiftright(hashed, 62).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1).alias("sign"),
+            # The first eight hex digits name the slot, the next one the sign.
+            F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int").alias("slot"),
+            F.when(F.substring(hashed, 9, 1) < "8", 1).otherwise(-1).alias("sign"),
             F.col("token").isNotNull().alias("has"))
         .groupBy(key, "slot").agg(F.sum(F.when(F.col("has"), F.col("sign")).otherwise(0)).alias("weight"))
     )

@@ -67,12 +67,11 @@ def expand(results: DataFrame, edges: DataFrame, units: DataFrame, depth: int =
         found = runtime.skew_join(found, ids, ["id"], "left_semi", F.col("query_id"), hubs)
         before = seen.groupBy("query_id").agg(F.max("pos").alias("before"))
         ranked = runtime.number_rows(found, "query_id", ["code", "id"], rows, into="rank")
-        level = runtime.lookup_join(ranked, before, ["query_id"], "inner", F.col("id")).select(
-            "query_id", (F.col("before") + F.col("rank")).alias("pos"), "id", "code")
+        # Settled before it is used twice, so no later step ranks it again.
+        level = runtime.cut(runtime.lookup_join(ranked, before, ["query_id"], "inner", F.col("id")).select(
+            "query_id", (F.col("before") + F.col("rank")).alias("pos"), "id", "code"))
         seen = seen.unionByName(level.select(
             "query_id", "pos", "id", F.lit(0.0).alias("score"),
             F.when(F.col("code") % 2 == CALLS, "calls").otherwise("called-by").alias("relationship"),
             F.lit(step).alias("expansion_depth")))
-        if step < depth:
-            level = runtime.cut(level)
     return seen.select(*EXPANDED)

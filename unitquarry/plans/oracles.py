@@ -122,6 +122,26 @@ FROM (SELECT *, unnest(range(1, len(v) + 1)) AS nth FROM normed)"""
 ORACLES["q_embed_text"] = f"""WITH {_DOCS}
 SELECT id, CASE WHEN class_name <> '' THEN class_name || '.' ELSE '' END || name || chr(10) || code AS embedded FROM docs"""
 
+
+
+def _embedded(rows: str, key: str) -> str:
+    """The stand-in embedder over ``rows`` (key, embedded), 64 slots."""
+    return f"""hashed AS (SELECT {key}, md5(token) AS h FROM (SELECT {key}, unnest({_tokens('embedded')}) AS token FROM {rows})),
+weights AS (
+  SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS slot, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS w
+  FROM hashed GROUP BY ALL),
+norms AS (SELECT {key}, sqrt(sum(w * w)) AS norm FROM weights GROUP BY {key})
+SELECT r.{key}, s.nth::INTEGER AS nth, round(CASE WHEN norm > 0 THEN coalesce((w / norm)::FLOAT::DOUBLE, 0) ELSE 0 END, 6) AS x
+FROM {rows} r CROSS JOIN (SELECT unnest(range(0, 64)) AS nth) s
+LEFT JOIN weights w ON w.{key} = r.{key} AND w.slot = s.nth LEFT JOIN norms n ON n.{key} = r.{key}"""
+
+
+ORACLES["q_embed_units"] = f"""WITH {_DOCS}, texts AS (
+  SELECT id, CASE WHEN class_name <> '' THEN class_name || '.' ELSE '' END || name || chr(10) || code AS embedded FROM docs),
+{_embedded('texts', 'id')}"""
+ORACLES["q_embed_queries"] = f"""WITH {_ITEMS}, texts AS (SELECT query_id, text AS embedded FROM items),
+{_embedded('texts', 'query_id')}"""
+
 # --- index maintenance ----------------------------------------------------
 
 _FILES = """cur AS (
@@ -346,6 +366,12 @@ brands AS (SELECT DISTINCT regexp_extract(p_brand, '(\\d+)', 1)::BIGINT AS query
 ORACLES["q_result_lines"] = f"""WITH {_DOCS}, {_ITEMS}, {_keyword('docs', 'items')}, {_top('kw', 5, 'best')}, {_BEST}
 SELECT query_id, pos, {_LABEL} || ' — ' || file_path || ':' || start_line || ' ' || {_PROVENANCE} AS line
 FROM plain JOIN docs USING (id)"""
+ORACLES["q_result_summary"] = f"""WITH {_DOCS}, {_ITEMS}, {_keyword('docs', 'items')}, {_top('kw', 5, 'best')}, {_BEST},
+lines AS (
+  SELECT query_id, string_agg({_LABEL} || ' — ' || file_path || ':' || start_line || ' ' || {_PROVENANCE}, chr(10) ORDER BY pos) AS t
+  FROM plain JOIN docs USING (id) GROUP BY query_id)
+SELECT query_id, coalesce(t, 'No matches found for "' || text || '". Has the index been built?') AS summary
+FROM items LEFT JOIN lines USING (query_id)"""
 ORACLES["q_result_listing"] = f"""WITH {_DOCS}, {_ITEMS}, {_keyword('docs', 'items')}, {_top('kw', 5, 'best')},
 entries AS (
   SELECT query_id, string_agg({_LABEL} || chr(10) || file_path || ':' || start_line || '-' || end_line || chr(10)

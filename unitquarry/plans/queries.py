@@ -113,9 +113,15 @@ def q_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def q_embed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the stand-in embedder; its hash has no SQL counterpart."""
-    return vectors.embed_units(views.document_units(spark, sf_dir), dim=64).select(
-        "id", F.posexplode("embedding").alias("nth", "x"))
+    """Vectors of the stand-in embedder."""
+    found = vectors.embed_units(views.document_units(spark, sf_dir), dim=64)
+    return _rounded(found.select("id", F.posexplode(F.col("embedding").cast("array<double>")).alias("nth", "x")), "x")
+
+
+@registered
+def q_embed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.embed_queries(views.text_queries(spark, sf_dir), dim=64)
+    return _rounded(found.select("query_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("nth", "x")), "x")
 
 
 @registered
@@ -144,7 +150,7 @@ def q_forced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def q_stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units whose language is not set count as lacking a range, so every file is due."""
+    """One language's units lack the end of their range, so every file is due."""
     units = views.document_units(spark, sf_dir).withColumn(
         "end_offset", F.when(F.col("class_name") != "fr", F.col("end_offset")))
     return maintain.file_status(
@@ -268,6 +274,12 @@ def q_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.result_lines(search.keyword_search(units, queries), units)
 
 
+@registered
+def q_result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, queries = views.document_units(spark, sf_dir), views.text_queries(spark, sf_dir)
+    return context.result_summary(search.keyword_search(units, queries), units, queries)
+
+
 @registered
 def q_result_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, queries = views.document_units(spark, sf_dir), views.text_queries(spark, sf_dir)

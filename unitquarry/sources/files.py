@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import runtime
@@ -82,11 +83,20 @@ def scan_files(table: DataFrame, root: str = "", ignore: Sequence[str] = ()) ->
     return named.filter(is_source(F.col("path"), ignore))
 
 
+def filesystem(root: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder and the folder's path in it; plain paths and ``file:``, ``s3:``, ``gs:`` or ``hdfs:`` URIs."""
+    if "://" in root or root.startswith("file:"):
+        store, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+    else:
+        store, base = fs.LocalFileSystem(), os.path.abspath(root)
+    return store, base.rstrip("/")
+
+
 _ENTRIES = "path string, is_dir boolean, mtime_ms bigint, size bigint"
 
 
 def list_tree(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """``path, mtime_ms, size`` of the source files under a folder all executors can reach.
+    """``path, mtime_ms, size`` of the source files under a folder or store URI all executors can reach.
 
     Spark's own listing hides names that start with ``_``, which are ordinary
     source files here, so folders are listed by the executors, one level per
@@ -95,20 +105,23 @@ def list_tree(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> Dat
     patterns = [re.compile(p) for p in ignore_patterns(ignore)]
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = filesystem(root)
+        local = isinstance(store, fs.LocalFileSystem)
         for batch in batches:
             rows = []
             for folder in batch["path"]:
-                for entry in os.scandir(os.path.join(root, folder)):
-                    path = f"{folder}/{entry.name}" if folder else entry.name
-                    is_dir = entry.is_dir()
-                    if entry.name.startswith(".") or any(p.match(path) for p in patterns):
+                here = f"{base}/{folder}" if folder else base
+                for entry in store.get_file_info(fs.FileSelector(here)):
+                    path = f"{folder}/{entry.base_name}" if folder else entry.base_name
+                    is_dir = entry.type == fs.FileType.Directory
+                    if entry.base_name.startswith(".") or any(p.match(path) for p in patterns):
                         continue
-                    if not is_dir and not entry.is_file():
+                    if not is_dir and entry.type != fs.FileType.File:
                         continue
-                    if is_dir and os.path.realpath(root + "/" + folder).startswith(os.path.realpath(entry.path) + "/"):
+                    # A link to a folder above would be entered again and again.
+                    if is_dir and local and os.path.realpath(here).startswith(os.path.realpath(entry.path) + "/"):
                         continue
-                    stat = entry.stat()
-                    rows.append((path, is_dir, stat.st_mtime_ns // 1_000_000, stat.st_size))
+                    rows.append((path, is_dir, (entry.mtime_ns or 0) // 1_000_000, entry.size or 0))
             yield pd.DataFrame(rows, columns=["path", "is_dir", "mtime_ms", "size"])
 
     parts = spark.sparkContext.defaultParallelism
@@ -127,10 +140,11 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
     schema = "path string, mtime_ms bigint, size bigint, content string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = filesystem(root)
         for batch in batches:
             # One file at a time, so a batch of large files is never held together.
             for row in batch.itertuples(index=False):
-                with open(os.path.join(root, row.path), "rb") as f:
+                with store.open_input_stream(f"{base}/{row.path}") as f:
                     content = f.read().decode("utf-8", "replace")
                 yield pd.DataFrame([(row.path, row.mtime_ms, row.size, content)], columns=["path", "mtime_ms", "size", "content"])
 
