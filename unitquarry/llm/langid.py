@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from unitquarry.llm.common import attach, lower_ascii, written
+from unitquarry.llm.common import attach, lower_ascii, slices, written
 
 LANGUAGES = 16
 CELLS = 1 << 14
@@ -88,7 +88,7 @@ def train(examples: DataFrame, most: int = LANGUAGES) -> TextModel:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(top), CELLS), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             of = batch.column(1).to_numpy()
             texts = _bytes(batch.column(0))
             for a, b in chunks(texts):
@@ -122,7 +122,7 @@ def with_text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     at, count = rows.columns.index("text"), len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             log, letters = text_evidence(_bytes(batch.column(at)), sent.value)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, log.size + 1, count, dtype=np.int32)), pa.array(log.ravel()))
             rest = [i for i in range(batch.num_columns) if i != at]
@@ -244,7 +244,7 @@ def fuse(rows: DataFrame, stats: Statistics, model: TextModel) -> DataFrame:
     kept = [f for f in rows.schema.fields if not f.name.startswith("_lid_") or f.name == "_lid_row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             of = {name: i for i, name in enumerate(batch.schema.names)}
             if read:
                 log, letters = text_evidence(_bytes(batch.column(of["_lid_source"])), sent.value)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from unitquarry.llm.common import slices
 from unitquarry.runtime import cut
 
 # Labelled documents that the field is fitted on: at most so many, and of at most so many bytes each. Scoring has no bounds.
@@ -264,7 +265,7 @@ def with_score(docs: DataFrame, model: dict[str, np.ndarray], name: str = "score
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = pa.array(scores(_bytes(batch.column(at)), sent.value), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from unitquarry.llm.common import slices
 from unitquarry.llm.graph import components
 from unitquarry.runtime import cut
 
@@ -112,7 +113,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long), digest (hash of id and text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["doc_id", "fp", "digest"])
