@@ -81,10 +81,7 @@ def test_scores_against_a_plain_model(spark):
     a, r = PlainModel(good), PlainModel(bad)
     for s in shapes:
         marks = [math.log(r.p(s[max(0, i - 3) : i], s[i]) / a.p(s[max(0, i - 3) : i], s[i])) for i in range(1, len(s))]
-        if s in got:
-            known = [m for m, c in zip(marks, s[1:]) if any(c in t for t, *_ in rows)]
-            assert len(known) < len(marks) or got[s] == pytest.approx(sum(marks) / len(marks))
-    assert set(shapes) - set(got) <= {"^*$"}
+        assert got[s] == pytest.approx(sum(marks) / len(marks)), s
 
 
 def test_empty_table_and_plan(spark, pages):

@@ -53,10 +53,10 @@ def shape_of(host: Column, path: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(plain, r"[^a-z0./_-]", "*"), F.lit(r"$"))
 
 
-def _grams(shapes: DataFrame, longest: int) -> DataFrame:
-    """(..., at, size, gram): for each position after the first its grams of 1 to ``longest`` symbols ending there."""
-    ends = shapes.withColumn("at", F.explode(F.sequence(F.lit(2), F.length("shape"))))
-    sized = ends.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("at")))))
+def _grams(shapes: DataFrame, first: int, least: int) -> DataFrame:
+    """(..., at, size, gram): for each position from ``first`` its grams of ``least`` to ORDER + 1 symbols ending there."""
+    ends = shapes.withColumn("at", F.explode(F.sequence(F.lit(first), F.length("shape"))))
+    sized = ends.withColumn("size", F.explode(F.sequence(F.lit(least), F.least(F.lit(ORDER + 1), F.col("at")))))
     return sized.withColumn("gram", F.substring("shape", F.col("at") - F.col("size") + 1, F.col("size")))
 
 
@@ -67,7 +67,7 @@ def train(examples: DataFrame) -> DataFrame:
     probabilities after the others) and back (log of the ratio of the weights
     that unseen symbols after the gram leave to the shorter context).
     """
-    counts = cut(_grams(examples, ORDER + 1).groupBy("size", "gram").agg(
+    counts = cut(_grams(examples, 2, 1).groupBy("size", "gram").agg(
         F.sum("accepted").alias("a"), F.sum("rejected").alias("r")))
     lower, parts = None, []
     for size in range(1, ORDER + 2):
@@ -89,9 +89,8 @@ def train(examples: DataFrame) -> DataFrame:
             contexts = contexts.withColumn(f"w{c}", left)
         lower = cut(full.select("gram", "pa", "pr"))
         parts.append(lower.select("gram", F.log(F.col("pr") / F.col("pa")).alias("gain"), F.lit(0.0).alias("back")))
-        if size > 1:
-            parts.append(contexts.select(
-                F.col("context").alias("gram"), F.lit(None).cast("double").alias("gain"), F.log(F.col("wr") / F.col("wa")).alias("back")))
+        parts.append(contexts.select(
+            F.col("context").alias("gram"), F.lit(None).cast("double").alias("gain"), F.log(F.col("wr") / F.col("wa")).alias("back")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -100,24 +99,25 @@ def train(examples: DataFrame) -> DataFrame:
 
 def ratio(shapes: DataFrame, model: DataFrame) -> DataFrame:
     """shape and its log-likelihood difference per symbol; ``shapes`` are distinct."""
-    looked = _grams(shapes.select("shape"), ORDER + 1).select("shape", "at", "size", "gram")
+    looked = _grams(shapes.select("shape"), 1, 0).select("shape", "at", "size", "gram")
     known = attach(looked, model, ["gram"], "inner", "gram")
     # A gram predicts the symbol it ends with, and is the context of the next one.
     roles = known.select(
         "shape", "size", "gain", "back",
         F.explode(F.array(F.struct(F.col("at").alias("at"), F.lit(True).alias("predicts")),
                           F.struct((F.col("at") + 1).alias("at"), F.lit(False).alias("predicts")))).alias("role"))
-    hits = roles.filter(F.col("role.at") <= F.length("shape"))
+    # The start is given, nothing predicts it.
+    hits = roles.filter((F.col("role.at") >= 2) & (F.col("role.at") <= F.length("shape")))
     predicts = F.col("role.predicts") & F.col("gain").isNotNull()
     backs = [F.coalesce(F.max(F.when(~F.col("role.predicts") & (F.col("size") == s), F.col("back"))), F.lit(0.0)).alias(f"b{s}")
-             for s in range(1, ORDER + 1)]
+             for s in range(ORDER + 1)]
     at = hits.groupBy("shape", F.col("role.at").alias("at")).agg(
         F.max(F.when(predicts, F.struct("size", "gain"))).alias("best"), *backs)
     size = F.coalesce(F.col("best.size"), F.lit(0))
     gain = F.coalesce(F.col("best.gain"), F.lit(0.0))
-    for s in range(1, ORDER + 1):
+    for s in range(ORDER + 1):
         gain = gain + F.when(size <= s, F.col(f"b{s}")).otherwise(F.lit(0.0))
-    return at.groupBy("shape").agg((F.sum(gain) / F.count("*")).alias("score"))
+    return at.groupBy("shape").agg(F.sum(gain).alias("score")).withColumn("score", F.col("score") / (F.length("shape") - 1))
 
 
 def judge_urls(
