@@ -48,7 +48,8 @@ def hashed_embeddings(df: DataFrame, key: str, text: Column, dim: int = HASHED_D
     A deterministic stand-in for a language model: it says how many hashed
     tokens two texts share and nothing about meaning.
     """
-    hashed = F.md5(F.col("token").cast("binary"))
+    # A text without tokens leaves one row without a token and weight 0.
+    hashed = F.md5(F.coalesce("token", F.lit("")).cast("binary"))
     counts = (
         df.select(key, text.alias("_text"))
         .repartition(key)
