@@ -20,8 +20,14 @@ ORDER = 3
 # Symbols of a URL's shape: letters, digit run, . - / _, anything else, start, end. A model has at most SYMBOLS^(ORDER+1) grams
 # of full length, which bounds what is broadcast.
 SYMBOLS = 26 + 8
-# Fixed words whose presence in a host marks a URL as an example of a rejected one.
-REJECT_TERMS = ("adult", "bets", "casino", "escort", "gambl", "jackpot", "lottery", "poker", "porn", "slots", "viagra", "xxx")
+# Fixed words of the usual filter categories (adult, gambling, pharmacy, advertising and tracking, spam and fraud) that mark a
+# URL as an example of a rejected one: long ones anywhere in its host, short ones as a whole part between dots and hyphens.
+REJECT_TERMS = (
+    "adult", "escort", "porn", "casino", "gambl", "jackpot", "lottery", "poker", "sportsbook", "cialis", "viagra", "pharma", "adserv",
+    "doubleclick", "malware", "phishing", "warez")
+REJECT_PARTS = (
+    "sex", "xxx", "bet", "bets", "betting", "slots", "pill", "pills", "drugs", "ad", "ads", "advert", "banner", "banners", "popup",
+    "track", "tracker", "tracking", "spam", "scam", "linkfarm", "torrent")
 
 Rule = tuple[str, str, str]
 
@@ -121,12 +127,14 @@ def ratio(shapes: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[Rule], reject_terms: Sequence[str] = REJECT_TERMS, accepted_lost: float = 0.001
+    pages: DataFrame, rules: Sequence[Rule], reject_terms: Sequence[str] = REJECT_TERMS, reject_parts: Sequence[str] = REJECT_PARTS,
+    accepted_lost: float = 0.001,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every row of ``pages`` (page_id, url).
 
-    Rejected examples are URLs whose host contains one of ``reject_terms``,
-    accepted ones all others that no rule blocks.  A fifth of the shapes, by
+    Rejected examples are URLs whose host contains one of ``reject_terms`` or
+    has one of ``reject_parts`` between its dots and hyphens, accepted ones all
+    others that no rule blocks.  A fifth of the shapes, by
     hash, is held out of the counts to calibrate the threshold: at most
     ``accepted_lost`` of the accepted ones held out lie above it, and it is
     not below 0.  Null URLs and those without ``://`` have empty host and path
@@ -139,7 +147,7 @@ def judge_urls(
         pages.select("page_id", host.alias("host"), path.alias("path"))
         .withColumn("rule", rule).withColumn("_action", action)
         .withColumn("shape", shape_of(F.col("host"), F.col("path"))))
-    bad = F.lit(False)
+    bad = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(p) for p in reject_parts])) if reject_parts else F.lit(False)
     for term in reject_terms:
         bad = bad | F.contains(F.col("host"), F.lit(term))
     good = ~bad & ~(F.coalesce(F.col("_action"), F.lit("")) == "block")
