@@ -10,7 +10,7 @@ from unitquarry.llm import ppm
 
 
 class PlainTrie:
-    """PPM with update exclusion, escape method C and symbol exclusion, byte by byte."""
+    """PPM with update exclusion, escape method D and symbol exclusion, byte by byte."""
 
     def __init__(self, words):
         longest = Counter()
@@ -32,12 +32,12 @@ class PlainTrie:
             out, context = set(), coded[max(0, i - ppm.ORDER) : i]
             while True:
                 left = {b: n for b, n in self.follow.get(context, {}).items() if b not in out}
-                room = sum(left.values()) + len(left)
+                room = sum(left.values())
                 if coded[i] in left:
-                    total += math.log10(left[coded[i]] / room)
+                    total += math.log10((left[coded[i]] - 0.5) / room)
                     break
                 if left:
-                    total += math.log10(len(left) / room)
+                    total += math.log10(len(left) / 2 / room)
                 out |= set(left)
                 if not context:
                     total -= math.log10(256 - len(out))

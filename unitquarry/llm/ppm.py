@@ -2,8 +2,8 @@
 
 A byte-context trie holds, for every context of up to ``ORDER`` bytes, how
 often each byte followed it.  A byte is coded in the longest known context;
-if it never followed there, an escape (method C: as likely as there are kinds
-of followers) leads to the next shorter one, where the bytes that the longer
+if it never followed there, an escape (method D: every kind of follower gives
+half a count to it) leads to the next shorter one, where the bytes that the longer
 one could have coded are excluded.  Contexts reach back to the start of a
 word, so a word's code length depends on the word alone: it is computed once
 per distinct word, and documents only add up what their words cost.
@@ -203,12 +203,12 @@ class Tries:
             at, want, node = at[known], want[known], node[known]
             child = came[at]
             kinds = np.where(child < 0, self.kinds[node], self.left_kinds[child])
-            room = np.where(child < 0, self.total[node], self.left_total[child]) + kinds
+            room = np.where(child < 0, self.total[node], self.left_total[child])
             gram = np.minimum(np.searchsorted(self.gram, want), len(self.gram) - 1)
             hit = self.gram[gram] == want
-            out[left[at[hit]]] += np.log10(self.n[gram[hit]] / room[hit])
+            out[left[at[hit]]] += np.log10((self.n[gram[hit]] - 0.5) / room[hit])
             miss = ~hit & (kinds > 0)
-            out[left[at[miss]]] += np.log10(kinds[miss] / room[miss])
+            out[left[at[miss]]] += np.log10(kinds[miss] / 2 / room[miss])
             came[at] = node
             rest = np.ones(len(left), dtype=bool)
             rest[at[hit]] = False
