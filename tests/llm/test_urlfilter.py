@@ -71,6 +71,14 @@ def test_parts_rules_and_verdicts(spark, pages):
             assert r.verdict == "allow"
 
 
+def test_short_words_count_as_whole_parts_only(spark):
+    good = [f"https://{h}.example.com/en/{i}" for i in range(40) for h in ("uploads", "roads", "alphabets")]
+    bad = [f"https://www.{h}.example.org/en/{i}" for i in range(40) for h in ("spam-farm", "cheap-pills", "x.ads")]
+    pages = spark.createDataFrame(list(enumerate(good + bad)), "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge_urls(pages, URL_RULES).collect()}
+    assert [got[i] for i in range(len(good + bad))] == ["allow"] * len(good) + ["block"] * len(bad)
+
+
 def test_scores_against_a_plain_model(spark):
     good = [("^blog.abc/en/0$", 5), ("^www.site0.org/fr/0$", 7), ("^a-b.com/$", 1)]
     bad = [("^casino-win0.com/x/0$", 4), ("^free-bets.org/$", 2)]
