@@ -4,9 +4,10 @@ A byte-context trie holds, for every context of up to ``ORDER`` bytes, how
 often each byte followed it.  A byte is coded in the longest known context;
 if it never followed there, an escape (method D: every kind of follower gives
 half a count to it) leads to the next shorter one, where the bytes that the longer
-one could have coded are excluded.  Contexts reach back to the start of a
+one could have coded are excluded.  Here contexts reach back to the start of a
 word, so a word's code length depends on the word alone: it is computed once
 per distinct word, and documents only add up what their words cost.
+``ppm_text`` has the coder whose contexts run over whole texts.
 
 There is one pretrained trie per training class (the documents' language), and
 a document's probability is that of the mixture of them.
@@ -99,7 +100,7 @@ def _stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return keys, depth[use], starts - np.arange(len(words)), sizes - 1
 
 
-def _shorter(keys: np.ndarray, size: int) -> np.ndarray:
+def shorter(keys: np.ndarray, size: int) -> np.ndarray:
     """Keys with their contexts cut to ``size`` bytes (class bits stay)."""
     return (keys & ~((1 << 51) - 1)) | (size << 48) | (keys & ((1 << (8 * size + 8)) - 1))
 
@@ -142,16 +143,16 @@ def grams(words: DataFrame, classes: int) -> DataFrame:
     return words.filter("n > 0").select(*columns).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def all_orders(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of every context length from those of the longest contexts.
+def all_orders(gram: np.ndarray, n: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of every context length, from ``least`` on, from those of the longest contexts.
 
     With update exclusion: a byte counts in a shorter context once for each
     longer context it was seen in.
     """
     size = (gram >> 48) & 7
     keys, counts = [gram[size == ORDER]], [n[size == ORDER].astype(np.float64)]
-    for s in range(ORDER - 1, -1, -1):
-        up, kinds = np.unique(_shorter(keys[-1], s), return_counts=True)
+    for s in range(ORDER - 1, least - 1, -1):
+        up, kinds = np.unique(shorter(keys[-1], s), return_counts=True)
         keys.append(np.concatenate([up, gram[size == s]]))
         counts.append(np.concatenate([kinds, n[size == s]]).astype(np.float64))
     return np.concatenate(keys), np.concatenate(counts)
@@ -171,13 +172,13 @@ class Tries:
         other = np.zeros(len(self.gram))
         for s in range(1, ORDER + 1):
             on = size == s
-            other[on] = self.n[np.searchsorted(self.gram, _shorter(self.gram[on], s - 1))]
+            other[on] = self.n[np.searchsorted(self.gram, shorter(self.gram[on], s - 1))]
         size = (self.context >> 40) & 7
         self.left_total, self.left_kinds = np.zeros(len(first)), np.zeros(len(first))
         excluded = np.add.reduceat(other, first) if len(first) else other
         for s in range(1, ORDER + 1):
             on = size == s
-            up = np.searchsorted(self.context, _shorter(self.context[on] << 8, s - 1) >> 8)
+            up = np.searchsorted(self.context, shorter(self.context[on] << 8, s - 1) >> 8)
             self.left_total[on] = self.total[up] - excluded[on]
             self.left_kinds[on] = self.kinds[up] - self.kinds[on]
 
@@ -197,7 +198,7 @@ class Tries:
             at = np.flatnonzero(depth[left] >= size)
             if not len(at) or not len(self.gram):
                 continue
-            want = _shorter(keys[left[at]], size) | (cls << 51)
+            want = shorter(keys[left[at]], size) | (cls << 51)
             node = np.minimum(np.searchsorted(self.context, want >> 8), len(self.context) - 1)
             known = self.context[node] == want >> 8
             at, want, node = at[known], want[known], node[known]
@@ -244,6 +245,13 @@ def fit(words: DataFrame, classes: int, most: int = MODEL_GRAMS) -> Tries:
     return Tries(*all_orders(model.column("gram").to_numpy(), model.column("n").to_numpy()))
 
 
+def mixture(priors: list[float]) -> Column:
+    """log10 probability under the mixture of classes from those under each of them (s0..)."""
+    weighted = [F.col(f"s{m}") + F.lit(float(np.log10(p))) for m, p in enumerate(priors) if p > 0]
+    best = F.greatest(*weighted) if len(weighted) > 1 else weighted[0]
+    return best + F.log10(sum((F.pow(F.lit(10.0), w - best) for w in weighted[1:]), F.pow(F.lit(10.0), weighted[0] - best)))
+
+
 def score(docs: DataFrame, held_out: Column, by: str = "lang") -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text, and ``by``, the training class).
 
@@ -323,12 +331,9 @@ def score(docs: DataFrame, held_out: Column, by: str = "lang") -> DataFrame:
     joined = parts.join(costs, parts["word"] == costs["_word"], "left")
     sums = [F.sum(F.col(c) + F.col("times") * F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in columns]
     whole = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held").alias("held_out"), F.sum("tokens").alias("n_tokens"), *sums)
-    weighted = [F.col(f"s{m}") + F.lit(float(np.log10(p))) for m, p in enumerate(priors) if p > 0]
-    best = F.greatest(*weighted) if len(weighted) > 1 else weighted[0]
-    mixture = best + F.log10(sum((F.pow(F.lit(10.0), w - best) for w in weighted[1:]), F.pow(F.lit(10.0), weighted[0] - best)))
     return whole.select(
         "doc_id", "held_out", "n_tokens", F.round("known").cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        F.col("base").alias("base_score"), mixture.alias("score"))
+        F.col("base").alias("base_score"), mixture(priors).alias("score"))
 
 
 def bucket_of(doc_id: Column, buckets: int) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from unitquarry.llm import ann, capfilter, html, langid, mixing, packing, ppm, quality, simhash, urlfilter
+from unitquarry.llm import ann, capfilter, html, langid, mixing, packing, ppm, ppm_text, quality, simhash, urlfilter
 
 # Fixed rules of the URL query: (action, host, path).
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -23,7 +23,7 @@ def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by the tries of those that are not held out."""
-    return ppm.score(table(spark, sf_dir, "documents"), ppm.bucket_of(F.col("doc_id"), 7) == 2)
+    return ppm_text.score(table(spark, sf_dir, "documents"), ppm.bucket_of(F.col("doc_id"), 7) == 2)
 
 
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
