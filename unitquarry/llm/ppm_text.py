@@ -190,6 +190,9 @@ def score(docs: DataFrame, held_out: Column, by: str = "lang") -> DataFrame:
     mixed = np.zeros(classes)
     for r in learning.groupBy(number.alias("cls")).count().collect():
         mixed[r["cls"]] = r["count"]
+    if classes > 1 and not mixed[-1]:
+        # No learning row is in the class of rarer values and nulls.
+        classes, mixed = classes - 1, mixed[:-1]
     priors = [float(p) for p in (mixed / mixed.sum() if mixed.sum() else np.full(classes, 1 / classes))]
 
     words = written(word_counts(plain.select("text", F.when(F.col("held"), F.lit(-1)).otherwise(0).cast("int").alias("cls")), 1).select("word", "n"))
@@ -245,10 +248,15 @@ def score(docs: DataFrame, held_out: Column, by: str = "lang") -> DataFrame:
             for key, of in text_grams(texts, PIECE):
                 unique, count = runs((key << OF) | of)
                 key, of = unique >> OF, unique & ((1 << OF) - 1)
-                at = np.minimum(np.searchsorted(gram, key), max(0, len(gram) - 1))
-                hit = gram[at] == key if len(gram) else np.zeros(len(key), dtype=bool)
+                # Each distinct gram is looked up once; its texts follow one another.
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                several = np.diff(np.append(first, len(key)))
+                at = np.minimum(np.searchsorted(gram, key[first]), max(0, len(gram) - 1))
+                hit = gram[at] == key[first] if len(gram) else np.zeros(len(first), dtype=bool)
+                at, hit = np.repeat(at[hit], several[hit]), np.repeat(hit, several)
+                text, weight = of[hit], count[hit].astype(np.float64)
                 for m in range(classes):
-                    sums[:, 2 + m] += np.bincount(of[hit], weights=count[hit] * cost[m, at[hit]], minlength=len(texts))
+                    sums[:, 2 + m] += np.bincount(text, weights=weight * cost[m][at], minlength=len(texts))
                 # No word begins with a blank.
                 yield from joined(rows[of[~hit]], [b"  " + g.to_bytes(8, "big") for g in key[~hit].tolist()], count[~hit])
             # A key that is of this row alone, so that these rows do not meet in one task.
