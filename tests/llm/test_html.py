@@ -52,3 +52,16 @@ def test_table(spark):
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", len(BODY[0]))] * 2 + [("2", 0), ("3", sum(len(BODY[i % 3]) + 2 for i in range(5000)) - 2), ("None", 0)]
     assert all(r.n_chars == len(r.text) for r in got)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("card", ["<article class=card><h3>Boats</h3><p>Short teaser.</p></article>", "<main class=card><p>Short teaser.</p></main>"])
+def test_a_card_article_does_not_drop_the_body(card):
+    body = f"<div id=content><h1>The old harbour</h1><p>{BODY[0]}</p><p>Yes.</p><p>{BODY[1].replace('&', '&amp;')}</p><p>{BODY[2]}</p></div>"
+    for page in (f"<nav><a href=/>Home</a></nav>{body}{card}", f"{card}{body}<footer>All rights</footer>"):
+        got = html.main_text(page).split("\n\n")
+        assert [t for t in got if t not in ("Boats", "Short teaser.")] == ["The old harbour", BODY[0], "Yes.", BODY[1], BODY[2]]
+
+
+def test_short_blocks_around_an_article_stay_outside():
+    page = f"<div>Town news</div><article><p>{BODY[0]}</p></article><div>Printed in the town</div>"
+    assert html.main_text(page) == BODY[0]

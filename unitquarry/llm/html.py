@@ -186,17 +186,17 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def _label(block: Block, text: str, marked_main: bool) -> int:
-    """First pass: one block alone."""
-    if block.bad or marked_main and not block.main:
+def _label(block: Block, text: str) -> int:
+    """First pass: one block alone.  Being in the article or main element speaks for a block, being outside does not condemn it."""
+    if block.bad:
         return BAD
     links = min(1.0, block.linked / max(1, len(text)))
-    if block.main:
-        return GOOD if links <= LINKS else OPEN
     if links > LINKS:
-        return BAD
+        return OPEN if block.main else BAD
+    if block.main and links <= FEW_LINKS:
+        return GOOD
     if len(text) < SHORT or block.heading:
-        return BAD if links > FEW_LINKS else OPEN
+        return BAD if links > FEW_LINKS and not block.main else OPEN
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOPS:
@@ -236,6 +236,25 @@ def _settle(labels: list[int], headings: list[bool]) -> list[int]:
     return out
 
 
+def _decide(blocks: list[Block], texts: list[str]) -> list[int]:
+    """Both passes over the blocks of a page.
+
+    On a page with an article or main element an ambiguous block outside it,
+    other than a heading, is judged by the blocks outside alone, so that good
+    ones inside do not draw in what surrounds them.
+    """
+    first = [_label(b, t) for b, t in zip(blocks, texts, strict=True)]
+    labels = _settle(first, [b.heading for b in blocks])
+    if any(b.main and not b.bad for b in blocks):
+        outside = [i for i, b in enumerate(blocks) if not b.main]
+        apart = [first[i] for i in outside]
+        apart = _settle(apart, [blocks[i].heading for i in outside]) if GOOD in apart else [BAD] * len(apart)
+        for i, x in zip(outside, apart, strict=True):
+            if not blocks[i].heading:
+                labels[i] = x
+    return labels
+
+
 def main_text(page: str | None) -> str:
     """Main text of a page: its good blocks in order, joined by an empty line."""
     blocks, texts = [], []
@@ -244,9 +263,7 @@ def main_text(page: str | None) -> str:
         if text:
             blocks.append(block)
             texts.append(text)
-    marked = any(b.main and not b.bad for b in blocks)
-    labels = _settle([_label(b, t, marked) for b, t in zip(blocks, texts, strict=True)], [b.heading for b in blocks])
-    return "\n\n".join(t for t, x in zip(texts, labels, strict=True) if x == GOOD)
+    return "\n\n".join(t for t, x in zip(texts, _decide(blocks, texts), strict=True) if x == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:
