@@ -103,3 +103,14 @@ def test_empty_tables(spark, docs):
     nothing = langid.train(docs.select("text", F.lit(None).cast("string").alias("lang")))
     assert nothing.languages == ["und"]
     assert langid.keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).count() == docs.count() - 3
+
+
+def test_every_declared_language_has_a_model(spark):
+    letters = "bcdfghjklmnpqrstvwxz"
+    rows = [(100 * m + i, " ".join(f"{letters[m]}{'aeiou'[(i + j) % 5]}{letters[m]}{'eo'[j % 2]}" for j in range(12)), f"l{m:02}", None) for m in range(20) for i in range(25 - m)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    model = langid.train(docs.select("text", "lang"))
+    assert model.languages == [f"l{m:02}" for m in range(20)]
+    found = langid.identify(langid.document_evidence(docs), model).collect()
+    assert all(r.language == f"l{r.doc_id // 100:02}" and r.kept for r in found)
+    assert langid.keep_identified(docs).count() == len(rows)

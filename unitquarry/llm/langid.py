@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from unitquarry.llm.common import attach, lower_ascii, slices, written
 
-LANGUAGES = 16
 CELLS = 1 << 14
 # Trigrams overlap: a text's log-likelihood counts with this share.
 TEMPER = 0.3
 STRENGTH = 20.0
 SURE = 0.5
 CHUNK_BYTES = 1 << 20
+HELD_CELLS = 1 << 19
 
 
 def _folded() -> np.ndarray:
@@ -78,31 +78,44 @@ class TextModel:
     weights: np.ndarray
 
 
-def train(examples: DataFrame, most: int = LANGUAGES) -> TextModel:
-    """Trigram model of the ``most`` most frequent languages of (text, lang), counted over all rows that name one."""
-    named = examples.filter(F.col("lang").isNotNull())
-    top = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
-    number = F.lit(None).cast("int")
-    for i, lang in enumerate(top):
-        number = F.when(F.col("lang") == F.lit(lang), i).otherwise(number)
+def train(examples: DataFrame) -> TextModel:
+    """Trigram model of every language that a row of (text, lang) names, the most frequent first, counted over all these rows."""
+    named = examples.filter(F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+    languages = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(top), CELLS), dtype=np.int64)
+        number: dict[str, int] = {}
+        keys, counts, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+            names = pa.array(list(number), pa.string()).take(pa.array(unique // CELLS))
+            return pa.RecordBatch.from_arrays([names, pa.array((unique % CELLS).astype(np.int32)), pa.array(n)], ["lang", "cell", "n"])
+
         for batch in slices(batches):
-            of = batch.column(1).to_numpy()
+            of = np.array([number.setdefault(x, len(number)) for x in batch.column(1).to_pylist()], dtype=np.int64)
             texts = _bytes(batch.column(0))
             for a, b in chunks(texts):
                 cell, size, _ = cells(texts[a:b])
-                counts += np.bincount(np.repeat(of[a:b], size) * CELLS + cell, minlength=counts.size).reshape(counts.shape)
-        lang, cell = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(counts[lang, cell])], ["lang", "cell", "n"])
-
-    numbered = named.select("text", number.alias("lang")).filter("lang is not null")
-    found = numbered.mapInArrow(run, "lang int, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((max(1, len(top)), CELLS), 0.5)
-    counts[found.column("lang").to_numpy(), found.column("cell").to_numpy()] += found.column("n").to_numpy()
-    return TextModel(top or ["und"], np.log(counts / counts.sum(axis=1, keepdims=True)))
+                used, at = np.unique(of[a:b], return_inverse=True)
+                n = np.bincount(np.repeat(at, size) * CELLS + cell, minlength=1)
+                there = np.flatnonzero(n)
+                keys.append(used[there // CELLS] * CELLS + there % CELLS)
+                counts.append(n[there])
+                held += len(there)
+                if held > HELD_CELLS:
+                    yield flush()
+                    keys, counts, held = [], [], 0
+        if held:
+            yield flush()
+
+    found = named.mapInArrow(run, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    number = {x: i for i, x in enumerate(languages)}
+    counts = np.full((max(1, len(languages)), CELLS), 0.5)
+    rows = np.fromiter((number[x] for x in found.column("lang").to_pylist()), dtype=np.int64, count=found.num_rows)
+    counts[rows, found.column("cell").to_numpy()] += found.column("n").to_numpy()
+    return TextModel(languages or ["und"], np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
 def text_evidence(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
