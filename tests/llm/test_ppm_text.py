@@ -100,3 +100,14 @@ def test_empty_table_and_nothing_to_learn_from(spark, docs):
     r = ppm_text.score(docs.filter("doc_id = 203"), F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
     assert r.score == pytest.approx(-math.log10(256) * 9)
+
+
+def test_trie_as_a_table_leaves_nothing_out(spark, docs, monkeypatch):
+    monkeypatch.setattr(ppm_text, "BLOCK_GRAMS", 10)
+    counted = ppm_text.gram_counts(docs.select("text", F.lit(0).cast("int").alias("cls")), 1)
+    whole = PlainTrie([t for _, t, _ in TEXTS])
+    costs = {r.gram: r.s0 for r in ppm_text.prices(counted, 1).collect()}
+    assert len(costs) == len({g for _, t, _ in TEXTS for g in grams(t)}) > 60
+    for _, text, _ in TEXTS[:20] + TEXTS[-9:]:
+        got = sum(costs[int.from_bytes(context + bytes((byte,)), "big")] for context, byte in grams(text))
+        assert got == pytest.approx(whole.log10(text))

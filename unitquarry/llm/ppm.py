@@ -32,8 +32,6 @@ CLASSES = 8
 START, STOP, END = 0x0D, 0x20, 0x0A
 # Words that every task knows by heart: the most frequent ones, at most so many.
 HOT_WORDS = 1 << 17
-# Memory bound of the tries in grams of 16 bytes, as in any PPM coder: beyond it the rarest contexts are merged into shorter ones.
-MODEL_GRAMS = 1 << 22
 HELD_WORDS = 300_000
 
 
@@ -226,9 +224,12 @@ class Tries:
         return np.stack([np.add.reduceat(self.log10(unique, m)[at], first) for m in range(classes)])
 
 
-def fit(words: DataFrame, classes: int, most: int = MODEL_GRAMS) -> Tries:
-    """Tries of all counted words, within the memory bound ``most``."""
+def fit(words: DataFrame, classes: int, most: int | None = None) -> Tries:
+    """Tries of all counted words; with ``most``, the rarest contexts are left out so that at most so many grams stay."""
     counted = written(grams(words, classes))
+    if most is None:
+        model = counted.toArrow()
+        return Tries(*all_orders(model.column("gram").to_numpy(), model.column("n").to_numpy()))
     contexts = counted.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     # Grams by the number of bits of their context's total, most frequent contexts first: the bound cuts at a power of two.
     sizes = contexts.groupBy(F.length(F.bin("total")).alias("bits")).agg(F.sum("kinds").alias("grams")).orderBy(F.desc("bits")).collect()
