@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from unitquarry.llm import ann, capfilter, html, langid, mixing, packing, ppm, ppm_text, quality, simhash, urlfilter
+from unitquarry.llm import ann, capfilter, html, langid, mixing, packing, ppm, ppm_text, quality, simhash, urlfilter, winnow
 
 # Fixed rules of the URL query: (action, host, path).
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -82,8 +82,14 @@ def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the fingerprints of their texts and of their edited texts."""
+    return winnow.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_length_buckets, op2_ppm_score, op3_simhash_golay, op4_collision_neighbours, op5_block_text, op6_evidence_fusion, op7_crf_quality, op8_cap_filters, op9_pivotal_mix, op10_url_ratio)
+    f.__name__: f for f in (op1_length_buckets, op2_ppm_score, op3_simhash_golay, op4_collision_neighbours, op5_block_text, op6_evidence_fusion, op7_crf_quality, op8_cap_filters, op9_pivotal_mix, op10_url_ratio,
+                                op11_winnowing)
 }
 
 ORACLES: dict[str, str] = {
