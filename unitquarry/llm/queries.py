@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from unitquarry.llm import ann, capfilter, html, langid, mixing, packing, ppm, ppm_text, quality, simhash, urlfilter, winnow
+from unitquarry.llm import ann, capfilter, html, langid, lexical, mixing, packing, ppm, ppm_text, quality, simhash, urlfilter, winnow
 
 # Fixed rules of the URL query: (action, host, path).
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -87,12 +87,42 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op12_geometric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_length_buckets, op2_ppm_score, op3_simhash_golay, op4_collision_neighbours, op5_block_text, op6_evidence_fusion, op7_crf_quality, op8_cap_filters, op9_pivotal_mix, op10_url_ratio,
-                                op11_winnowing)
+                                op11_winnowing, op12_geometric_search)
 }
 
+# Fixed pattern of a search term, for DuckDB.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
+    "op12_geometric_search": f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS terms
+  FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs WHERE len(terms) > 0),
+held AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM docs),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM benchmark),
+reps AS (SELECT item_id, term, count(*) AS reps FROM asked GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(
+    reps * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM reps JOIN tf USING (term) JOIN df USING (term) CROSS JOIN counted GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+""",
     "op8_cap_filters": """
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
