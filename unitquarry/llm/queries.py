@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from unitquarry.llm import ann, capfilter, html, langid, lexical, mixing, packing, ppm, ppm_text, quality, simhash, urlfilter, winnow
+from unitquarry.llm import ann, capfilter, html, langid, lexical, mixing, packing, ppm, ppm_text, quality, simhash, trie, urlfilter, winnow
 
 # Fixed rules of the URL query: (action, host, path).
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -92,15 +92,58 @@ def op12_geometric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_euler_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_length_buckets, op2_ppm_score, op3_simhash_golay, op4_collision_neighbours, op5_block_text, op6_evidence_fusion, op7_crf_quality, op8_cap_filters, op9_pivotal_mix, op10_url_ratio,
-                                op11_winnowing, op12_geometric_search)
+                                op11_winnowing, op12_geometric_search, op13_euler_trie)
 }
 
 # Fixed pattern of a search term, for DuckDB.
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLES: dict[str, str] = {
+    "op13_euler_trie": """
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(flatten(list_prepend([4294967295], list_transform(
+    string_split(CAST(c AS VARCHAR), ''), lambda k: [CAST(ascii(k) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda s, e: xor(xor(s, e) >> 1, 3988292384 * (xor(s, e) & 1))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM own)),
+taken AS (
+  SELECT v.c, v.h, count(o.c) AS n FROM convs v LEFT JOIN own o ON o.c = v.base AND o.at <= v.h GROUP BY v.c, v.h),
+turns AS (
+  SELECT v.c, o.at AS d, o.role, o.text FROM convs v JOIN own o ON o.c = v.base AND o.at <= v.h
+  UNION ALL
+  SELECT t.c, o.at - t.h + t.n, o.role, o.text FROM taken t JOIN own o ON o.c = t.c AND o.at > t.h),
+steps AS (
+  SELECT c, d, octet_length(encode(text)) AS bytes,
+    list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY d) AS path
+  FROM turns),
+every AS (
+  SELECT c, d, bytes, array_to_string(path, '/') AS key, array_to_string(path[:-2], '/') AS up FROM steps
+  UNION ALL SELECT c, 0, 0, '', NULL FROM convs),
+lengths AS (SELECT c, max(d) AS d FROM every GROUP BY c),
+nodes AS (
+  SELECT e.d, e.key, min(e.up) AS up, min(e.c) AS conv_id, count(*) AS n_convs, max(e.bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(l.c AS VARCHAR), ',' ORDER BY l.c), '')) AS ends_sha256
+  FROM every e LEFT JOIN lengths l ON l.c = e.c AND l.d = e.d GROUP BY e.d, e.key),
+family AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(k.n, 0) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.key = n.up AND p.d = n.d - 1
+  LEFT JOIN (SELECT d - 1 AS d, up, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL) k ON k.up = n.key AND k.d = n.d),
+sums AS (
+  SELECT a.d, a.key, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.bytes) AS BIGINT) AS saved_tokens
+  FROM family a JOIN family b ON b.d >= a.d AND (a.d = 0 OR b.key = a.key OR starts_with(b.key, a.key || '/')) GROUP BY a.d, a.key)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM family JOIN sums USING (d, key)
+""",
     "op12_geometric_search": f"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS terms
