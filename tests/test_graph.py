@@ -111,3 +111,42 @@ def test_depth_must_be_a_number():
     for bad in (float("nan"), "2", None, True):
         with pytest.raises(ValueError):
             expand.check_depth(bad)
+
+
+def test_incremental_edges_equal_a_full_rebuild(spark, hot):
+    """Random edits: files change, appear and disappear; edges to untouched names are never resolved again."""
+    rng = random.Random(11)
+    fresh_id, units, calls = 0, {}, {}
+
+    def made(path):
+        nonlocal fresh_id
+        for _ in range(rng.randint(0, 5)):
+            fresh_id += 1
+            units[fresh_id] = (fresh_id, f"n{rng.randint(0, 9)}", rng.choice([None, "A", "B"]), path)
+            calls[fresh_id] = [(fresh_id, f"n{rng.randint(0, 11)}", rng.choice([None, "this", "A", "B"])) for _ in range(rng.randint(0, 4))]
+
+    def frame(of, ids):
+        if of is units:
+            return spark.createDataFrame([units[i] for i in ids], UNITS)
+        return spark.createDataFrame([c for i in ids for c in calls[i]], "caller_id bigint, name string, receiver string")
+
+    for f in range(8):
+        made(f"f{f}")
+    alive = list(units)
+    edges = callgraph.named_edges(callgraph.resolve_calls(frame(units, alive), frame(calls, alive)))
+    for edit in range(2 if runtime.BROADCAST_ROWS == 0 else 4):
+        path = f"f{rng.randint(0, 9)}"
+        gone = [i for i in alive if units[i][3] == path]
+        before = fresh_id
+        if edit != 2:
+            made(path)
+        stayed, added = [i for i in alive if i not in gone], [i for i in units if i > before]
+        names = callgraph.changed_names(frame(units, gone), frame(units, added))
+        again = runtime.cut(callgraph.edges_again(frame(units, stayed + added), frame(calls, stayed), frame(calls, added), names))
+        touched = {units[i][1] for i in gone + added} | {c[1] for i in added for c in calls[i]}
+        assert {r.name for r in again.collect()} <= touched
+        edges = runtime.cut(callgraph.merge_edges(edges, again, names, frame(units, gone)))
+        alive = stayed + added
+        got = [(r.caller_id, r.callee_id) for r in edges.collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == graph(spark, [units[i] for i in alive], [c for i in alive for c in calls[i]])

@@ -197,3 +197,64 @@ def test_a_word_far_down_a_body_is_found(spark, tmp_path):
     assert [r.id for r in search.keyword_search(units, queries).collect()] == [1]
     assert [r.id for r in search.keyword_search(units, queries, index=search.postings(units)).collect()] == [1]
     assert search.keyword_search(units, queries, body_cap=500).isEmpty()
+
+
+def test_a_touched_file_writes_only_its_rows(spark, tmp_path, monkeypatch):
+    root, folder = tree(tmp_path), str(tmp_path / "index")
+    first = idx.index_project(spark, root, folder, with_vectors=False)
+    assert os.listdir(os.path.join(folder, "staging")) == []
+    write(root, "mail.js", corpus.SOURCES["mail.js"] + "\nfunction added() { return highest(); }\n")
+    second = idx.index_project(spark, root, folder, with_vectors=False)
+    assert len(second.runs) == 2 and second.runs[0] == first.runs[0]
+    at = f"{folder}/runs/{second.runs[1]['run']}"
+    rows = spark.read.parquet(f"{at}/units")
+    assert {r.file_path for r in rows.collect()} == {"mail.js"}
+    ids, names = {r.id for r in rows.collect()}, {r.name for r in spark.read.parquet(f"{at}/names").collect()}
+    assert {r.id for r in spark.read.parquet(f"{at}/postings").collect()} <= ids
+    assert {r.caller_id for r in spark.read.parquet(f"{at}/calls").collect()} <= ids
+    assert all(r.caller_id in ids or r.name in names for r in spark.read.parquet(f"{at}/edges").collect())
+    assert [r.path for r in spark.read.parquet(f"{at}/files").collect()] == ["mail.js"]
+
+    full = idx.index_project(spark, root, str(tmp_path / "other"), with_vectors=False)
+    packed = idx.compact(spark, folder)
+    assert len(packed.runs) == 1 and packed.version == second.version
+    for index in (second, packed):
+        assert units_of(index) == units_of(full) and edges_of(index) == edges_of(full)
+        assert index.files.exceptAll(full.files).isEmpty() and index.files.count() == full.files.count()
+        names = {r.id: (r.file_path, r.start_offset) for r in index.units.collect()}
+        other = {r.id: (r.file_path, r.start_offset) for r in full.units.collect()}
+        tokens = lambda i, n: sorted((r.token, n[r.id], r.tf) for r in i.postings.collect())
+        assert tokens(index, names) == tokens(full, other) and index.calls.count() == full.calls.count()
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    """The run that commits second raises, and its rows are never seen."""
+    root, folder = tree(tmp_path), str(tmp_path / "index")
+    idx.index_project(spark, root, folder, with_vectors=False)
+    write(root, "a.ts", "function fromOuter() { return 1 }")
+    listed = trees.list_tree(spark, root)
+    inner = []
+
+    def read(due):
+        # The other run starts and ends while this one reads.
+        if not inner:
+            inner.append(idx.index_project(spark, root, folder, with_vectors=False))
+        return trees.read_contents(due, root)
+
+    with pytest.raises(idx.ConcurrentRun):
+        idx.build_index(listed, folder, read, with_vectors=False)
+    now = idx.load_index(spark, folder)
+    assert now.commit == inner[0].commit and units_of(now) == units_of(inner[0])
+    assert "fromOuter" in {u[1] for u in units_of(now)} and now.units.select("id").distinct().count() == now.units.count()
+    again = idx.build_index(listed, folder, read, with_vectors=False)
+    assert again.stats.first().files_scanned == 0
+
+
+def test_many_runs_are_compacted(spark, tmp_path, monkeypatch):
+    from unitquarry.sources import snapshot
+    monkeypatch.setattr(snapshot, "MAX_RUNS", 1)
+    root, folder = tree(tmp_path), str(tmp_path / "index")
+    idx.index_project(spark, root, folder, with_vectors=False)
+    write(root, "b.ts", "function late() { return deliver() }")
+    index = idx.index_project(spark, root, folder, with_vectors=False)
+    assert len(index.runs) == 1 and index.version == 2 and ("late", "deliver") in edges_of(index)

@@ -16,10 +16,10 @@ from . import runtime
 from .functions.vectors import EmbedderFactory, embed_queries, embed_units
 from .operators import callgraph, context, evaluate, expand, extract, maintain, search as ranking
 from .sources import files as trees, snapshot
-from .sources.snapshot import Index, load_index
+from .sources.snapshot import ConcurrentRun, Index, compact, load_index
 
 __all__ = [
-    "Index", "load_index", "index_project", "build_index", "search", "search_keyword", "build_context", "run_benchmark"]
+    "ConcurrentRun", "Index", "compact", "load_index", "index_project", "build_index", "search", "search_keyword", "build_context", "run_benchmark"]
 
 
 def build_index(
@@ -30,63 +30,83 @@ def build_index(
 
     ``current`` has ``path, mtime_ms, size``.  ``read`` turns the rows that are
     due into ``path, content``; unchanged files are never read.  Rows of
-    changed files are replaced and get new, larger ids; edges are resolved
-    again for the whole index, from stored calls where a file did not change.
-    Files that disappeared stay unless ``prune_missing`` is set.
+    changed files are replaced and get new, larger ids.  A run writes only its
+    own rows: calls are resolved again where the definitions of their name
+    changed, all other rows and edges stay where they are.  Files that
+    disappeared stay unless ``prune_missing`` is set.  Raises
+    ``ConcurrentRun`` if another run committed meanwhile.
     """
-    spark = current.sparkSession
+    spark, run = current.sparkSession, snapshot.new_run()
     before = load_index(spark, folder)
-    version = before.version + 1
-    at = snapshot.version_folder(folder, version)
+    with snapshot.staging(spark, folder, run) as stage:
+        made = _write_run(before, current, run, stage, read, force, make_embedder, prune_missing, with_vectors)
+    index = load_index(spark, folder)
+    return snapshot.compact(spark, folder) if made and snapshot.crowded(index) else index
 
+
+def _write_run(
+    before: Index, current: DataFrame, run: str, stage: str, read: Callable[[DataFrame], DataFrame], force: bool,
+    make_embedder: EmbedderFactory | None, prune_missing: bool, with_vectors: bool,
+) -> bool:
+    """Write and commit the rows of one run; False if nothing was due.
+
+    Counts are observed while the tables are written, so no job runs for them.
+    """
+    spark, folder = current.sparkSession, before.folder
+    put, at = snapshot.put, lambda name: snapshot.run_table(folder, run, name)
     stale = before.units if before.version else None
-    status = runtime.cut(maintain.file_status(current, before.files, stale, force))
+    status, seen = put(
+        maintain.file_status(current, before.files, stale, force), f"{stage}/status", due=F.count_if("reindex"))
     due = status.filter("reindex")
-    paths, stored = due.select("path"), before.files
+    paths, missing = due.select("path"), None
+    gone_files = 0
     if prune_missing:
-        gone = maintain.prune_missing(stored, status)
-        paths = paths.unionByName(gone.select("path"))
-        stored = stored.join(gone.select("path"), "path", "left_anti")
-
-    if before.version and paths.isEmpty():
-        # Nothing is due: the tables stay as they are, only the run is recorded.
-        functions = maintain.index_stats(status, before.units).first()["functions_indexed"]
-        snapshot.finish(spark, folder, before.version, before.last_id, 0, functions)
-        return load_index(spark, folder)
+        missing, found = put(maintain.prune_missing(before.files, status), f"{stage}/missing", n=F.count("*"))
+        paths, gone_files = paths.unionByName(missing.select("path")), found["n"]
+    functions = sum(r["units"] - r["gone"] for r in before.runs)
+    if before.version and not seen["due"] and not gone_files:
+        # The tables stay as they are, only the run is recorded.
+        snapshot.commit(spark, before, list(before.runs), before.last_id, 0, functions, changed=False)
+        return False
 
     found = extract.extract_functions(read(due.select("path", "mtime_ms", "size")).select("path", "content"))
     # Sorting by range samples its input first; it should not extract twice.
-    found = snapshot.write_table(found, f"{at}/found")
+    found, _ = put(found, f"{stage}/found")
     # A file's functions in reading order, outer before inner.
     order = ["file_path", "start_offset", F.desc("end_offset")]
     staged = found.repartitionByRange("file_path", "start_offset").sortWithinPartitions(*order)
-    fresh = snapshot.number_new(staged, f"{at}/staged", before.last_id)
+    fresh = snapshot.number_new(staged, f"{stage}/staged", before.last_id)
     if with_vectors:
         fresh = fresh.join(embed_units(fresh, make_embedder), "id", "left")
     else:
         fresh = fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
-    columns = before.units.columns
-    kept = maintain.delete_by_file(before.units, paths) if before.version else before.units
-    units = snapshot.write_table(kept.select(columns).unionByName(fresh.select(columns)), f"{at}/units")
+    units, added = put(fresh.select(before.units.columns), at("units"), n=F.count("*"), last=F.max("id"))
+    calls, _ = put(extract.unit_calls(units), at("calls"))
+    # In token order, a search of a few words skips the row groups without them.
+    put(ranking.postings(units).sortWithinPartitions("token"), at("postings"))
+    entry = {"run": run, "units": added["n"], "gone": 0, "names": 0, "name_bytes": 0}
 
-    new_units = units.filter(F.col("id") > before.last_id)
-    calls, postings = extract.unit_calls(new_units), ranking.postings(new_units)
     if before.version:
-        old_ids = units.filter(F.col("id") <= before.last_id).select("id")
-        calls = before.calls.join(
-            old_ids.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi").unionByName(calls)
-        postings = before.postings.join(old_ids, "id", "left_semi").unionByName(postings)
-    # In token order, a search of a few words skips the row groups without them.
-    snapshot.write_table(postings.sortWithinPartitions("token"), f"{at}/postings")
-    calls = snapshot.write_table(calls, f"{at}/calls")
-    snapshot.write_table(callgraph.build_call_graph(units, calls), f"{at}/edges")
-    snapshot.write_table(maintain.upsert_files(stored, due), f"{at}/files")
-
-    stats = maintain.index_stats(status, units).first()
-    last_id = units.agg(F.max("id").alias("id")).first()["id"]
-    snapshot.finish(
-        spark, folder, version, max(before.last_id, last_id or 0), stats["files_scanned"], stats["functions_indexed"])
-    return load_index(spark, folder)
+        narrow = before.units.select("id", "name", "class_name", "file_path")
+        replaced, n = put(maintain.of_files(narrow, paths).select("id", "name"), f"{stage}/replaced", n=F.count("*"))
+        gone, _ = put(replaced.select("id"), at("gone"))
+        names, m = put(
+            callgraph.changed_names(replaced, units), at("names"), n=F.count("*"), bytes=F.coalesce(F.sum(F.octet_length("name")), F.lit(0)))
+        entry |= {"gone": n["n"], "names": m["n"], "name_bytes": m["bytes"]}
+        stayed = runtime.lookup_join(narrow, gone, ["id"], "left_anti", F.col("id"))
+        stayed_calls = runtime.lookup_join(
+            before.calls, gone.withColumnRenamed("id", "caller_id"), ["caller_id"], "left_anti", F.col("at"))
+        edges = callgraph.edges_again(stayed.unionByName(units.select(stayed.columns)), stayed_calls, calls, names)
+    else:
+        edges = callgraph.named_edges(callgraph.resolve_calls(units, calls))
+    put(edges, at("edges"))
+    files = due.select("path", "mtime_ms", "size").withColumn("dropped", F.lit(False))
+    if missing is not None:
+        files = files.unionByName(missing.select("path", "mtime_ms", "size").withColumn("dropped", F.lit(True)))
+    put(files, at("files"))
+    snapshot.commit(
+        spark, before, [*before.runs, entry], max(before.last_id, added["last"] or 0), seen["due"], functions + entry["units"] - entry["gone"])
+    return True
 
 
 def index_project(

@@ -44,6 +44,12 @@ def delete_by_file(units: DataFrame, paths: DataFrame) -> DataFrame:
     return runtime.lookup_join(units, gone, ["file_path"], "left_anti", F.col("id"), "file_path")
 
 
+def of_files(units: DataFrame, paths: DataFrame) -> DataFrame:
+    """``units`` of the given ``path`` rows."""
+    wanted = paths.select(F.col("path").alias("file_path")).distinct()
+    return runtime.lookup_join(units, wanted, ["file_path"], "left_semi", F.col("id"), "file_path")
+
+
 def replace_by_file(units: DataFrame, new_units: DataFrame, paths: DataFrame) -> DataFrame:
     """``units`` with the rows of ``paths`` exchanged for ``new_units``."""
     return delete_by_file(units, paths).unionByName(new_units, allowMissingColumns=True)

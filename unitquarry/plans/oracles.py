@@ -311,6 +311,18 @@ resolved AS (
   ON c.caller_id = k.caller_id AND c.name = k.name AND c.receiver IS NOT DISTINCT FROM k.receiver)"""
 ORACLES["q_resolve_calls"] = f"WITH {_CALLS} SELECT caller_id, name, receiver, callee_id, rule::INTEGER AS rule, n FROM resolved"
 ORACLES["q_call_edges"] = f"WITH {_CALLS} SELECT DISTINCT caller_id, callee_id FROM resolved WHERE callee_id <> caller_id"
+# All calls resolved from scratch after the change.
+_EDITED = _CALLS.replace("asked AS (", """olds AS (SELECT * FROM units),
+edited AS (
+  SELECT CASE WHEN touched THEN -id - 1 ELSE id END AS id,
+    CASE WHEN touched AND end_line % 2 = 0 THEN name || ' new' ELSE name END AS name, class_name, file_path
+  FROM (SELECT *, regexp_matches(file_path, '[13579]$') AS touched FROM olds)),
+asked AS (""").replace(
+    "SELECT caller_id, name, CASE order_id", "SELECT CASE WHEN regexp_matches(c.file_path, '[13579]$') THEN -caller_id - 1 ELSE caller_id END AS caller_id, u.name, CASE order_id").replace(
+    "WHEN 0 THEN class_name", "WHEN 0 THEN u.class_name").replace(
+    "FROM nexts JOIN units ON id = callee_id", "FROM nexts JOIN units u ON u.id = callee_id JOIN units c ON c.id = caller_id").replace(
+    "FROM kinds k JOIN units u ON u.id = k.caller_id JOIN units c", "FROM kinds k JOIN edited u ON u.id = k.caller_id JOIN edited c")
+ORACLES["q_update_edges"] = f"WITH {_EDITED} SELECT DISTINCT caller_id, callee_id, name FROM resolved WHERE callee_id <> caller_id"
 
 _MATCHES = """matches AS (
   SELECT * FROM (

@@ -238,6 +238,19 @@ def q_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callgraph.build_call_graph(views.part_units(spark, sf_dir), views.part_calls(spark, sf_dir))
 
 
+@registered
+def q_update_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that end in an odd digit were indexed again, some of their units under another name."""
+    units, calls = views.part_units(spark, sf_dir), views.part_calls(spark, sf_dir)
+    now, now_calls = views.edited_parts(units), views.edited_calls(units, calls)
+    gone = maintain.of_files(units, views.touched_paths(units))
+    stayed, fresh = now.filter("id >= 0"), now.filter("id < 0")
+    names = callgraph.changed_names(gone, fresh)
+    edges = callgraph.named_edges(callgraph.resolve_calls(units, calls))
+    again = callgraph.edges_again(stayed.unionByName(fresh), now_calls.filter("caller_id >= 0"), now_calls.filter("caller_id < 0"), names)
+    return callgraph.merge_edges(edges, again, names, gone)
+
+
 def _expanded(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
     return expand.expand(
         views.part_matches(spark, sf_dir), views.part_edges(spark, sf_dir), views.part_units(spark, sf_dir), depth)

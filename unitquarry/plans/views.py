@@ -164,6 +164,23 @@ def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "caller_id", "name", F.when(kind == 0, F.col("class_name")).when(kind == 1, "this").alias("receiver"))
 
 
+def edited_parts(units: DataFrame) -> DataFrame:
+    """``part_units`` after files that end in an odd digit changed: new ids, and every second unit has a new name."""
+    touched = F.col("file_path").rlike("[13579]$")
+    return units.select(
+        F.when(touched, -F.col("id") - 1).otherwise(F.col("id")).alias("id"),
+        F.when(touched & (F.col("end_line") % 2 == 0), F.concat("name", F.lit(" new"))).otherwise(F.col("name")).alias("name"),
+        "class_name", "file_path")
+
+
+def edited_calls(units: DataFrame, calls: DataFrame) -> DataFrame:
+    """``part_calls`` after the same change; what is called keeps its name."""
+    touched = units.filter(F.col("file_path").rlike("[13579]$")).select(F.col("id").alias("caller_id"), F.lit(True).alias("touched"))
+    [hot] = runtime.hot_keys(calls, ["caller_id"])
+    marked = runtime.skew_join(calls, touched, ["caller_id"], "left", F.xxhash64("name", "receiver"), hot)
+    return marked.select(F.when(F.col("touched"), -F.col("caller_id") - 1).otherwise(F.col("caller_id")).alias("caller_id"), "name", "receiver")
+
+
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_parts(spark, sf_dir).filter("caller_id <> callee_id").select("caller_id", "callee_id").distinct()
 
