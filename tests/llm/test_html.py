@@ -1,3 +1,7 @@
+import random
+import time
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +69,103 @@ def test_a_card_article_does_not_drop_the_body(card):
 def test_short_blocks_around_an_article_stay_outside():
     page = f"<div>Town news</div><article><p>{BODY[0]}</p></article><div>Printed in the town</div>"
     assert html.main_text(page) == BODY[0]
+
+
+def plain_first(length, links, stops, inside, heading):
+    if links > 0.5:
+        return 0 if inside and heading else -1
+    if length < 70 or heading:
+        return -1 if links > 0.2 and not inside else 0
+    enough = stops >= (0.1 if inside else 0.3)
+    return 1 if enough and (length >= 200 or links <= 0.2) else 0
+
+
+def plain_second(labels, headings):
+    """Every ambiguous block looks at all others."""
+    out = []
+    for i, x in enumerate(labels):
+        if x:
+            out.append(x)
+            continue
+        if 1 not in labels:
+            out.append(1)
+            continue
+        up = [(i - j, labels[j]) for j in range(i) if labels[j]]
+        down = [(j - i, labels[j]) for j in range(i + 1, len(labels)) if labels[j]]
+        a, b = min(up, default=(10**9, 0)), min(down, default=(10**9, 0))
+        if not up or not down:
+            out.append(a[1] or b[1])
+        elif headings[i]:
+            out.append(b[1] if b[0] <= a[0] else a[1])
+        else:
+            out.append(a[1] if a[0] < b[0] else b[1] if b[0] < a[0] else max(a[1], b[1]))
+    return out
+
+
+def plain_decide(blocks):
+    """``blocks``: length, links, stops, inside, heading, aside."""
+    first = [-1 if b[5] else plain_first(*b[:5]) for b in blocks]
+    pick = lambda ids: plain_second([first[i] for i in ids], [blocks[i][4] for i in ids])
+    out = pick(range(len(blocks)))
+    inside = [i for i, b in enumerate(blocks) if b[3] and not b[5]]
+    if inside:
+        for i, x in zip(inside, pick(inside)):
+            out[i] = x
+        outside = [i for i, b in enumerate(blocks) if not b[3]]
+        apart = pick(outside) if 1 in [first[i] for i in outside] else [-1] * len(outside)
+        for i, x in zip(outside, apart):
+            if not blocks[i][4]:
+                out[i] = x
+    return out
+
+
+def test_both_passes_equal_a_plain_version(monkeypatch):
+    rnd = random.Random(9)
+    for _ in range(3000):
+        made = [(rnd.choice([5, 69, 70, 150, 200, 900]), rnd.choice([0, 0.2, 0.21, 0.5, 0.51, 1]), rnd.choice([0, 0.1, 0.29, 0.3]),
+                 rnd.random() < 0.5, rnd.random() < 0.2, rnd.random() < 0.15) for _ in range(rnd.randint(0, 9))]
+        blocks, texts = [], []
+        for i, (length, links, stops, inside, heading, aside) in enumerate(made):
+            block = html.Block(aside, inside, heading)
+            block.linked = links * length
+            blocks.append(block)
+            texts.append(str(i) + "x" * (length - 1))
+        monkeypatch.setattr(html, "stop_share", lambda t, made=made: made[int(t[0])][2])
+        assert html._decide(blocks, texts) == plain_decide(made)
+
+
+def test_link_lists_of_an_article_are_left_out():
+    page = f"<article><h1><a href=#t>Title</a></h1><p>{BODY[0]}</p><ul><li><a href=/1>More on the boats of the town</a><li><a href=/2>The sea</a></ul><p>{BODY[2]}</p></article>"
+    assert html.main_text(page) == "\n\n".join(["Title", BODY[0], BODY[2]])
+
+
+@pytest.mark.parametrize("name", ["werbung", "kommentare", "publicite", "commentaires", "publicidad", "comentarios"])
+def test_names_of_other_languages(name):
+    assert html.main_text(f"<article><p>{BODY[0]}</p><div class='{name}'><p>{BODY[1]}</p></div></article>") == BODY[0]
+
+
+def test_stop_words_length_and_links_decide_blocks_of_the_tables(monkeypatch):
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column(0).to_pylist()
+
+    def decided():
+        labels = []
+        for page in pages:
+            blocks = [(b, " ".join("".join(b.parts).split())) for b in html.blocks_of(page or "") if not b.bad]
+            labels += [html._label(b, t) for b, t in blocks]
+        return labels.count(html.GOOD), labels.count(html.OPEN)
+
+    good, open_ = decided()
+    assert good > 0 and open_ > 0
+    monkeypatch.setattr(html, "STOP_WORDS", frozenset())
+    assert decided() == (0, good + open_)
+
+
+@pytest.mark.parametrize("piece", ["<a href='", "<a ", "<script>", "<div></p>", "<script x>", "<!--", "<b class=ad>", "<a '>", '<a ">"'])
+def test_time_grows_with_the_page(piece):
+    def took(n):
+        start = time.perf_counter()
+        html.main_text(piece * n)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(80_000) < 8 * took(20_000) + 0.5

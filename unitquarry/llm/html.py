@@ -1,15 +1,18 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass looks at each
-block alone: its surroundings in the markup, its link density, its length and
-its share of stop words make it good, bad or ambiguous.  The second pass
-settles ambiguous blocks by their nearest decided neighbours.  Pages are
-independent, so the work is one pass over the table.
+A page is cut into blocks at block-level tags; what the markup itself names as
+menu, form, notice, advert or comment is set aside.  The first pass looks at
+each other block alone: its link density, its length and its share of stop
+words make it good, bad or ambiguous, inside the article element as outside it
+(inside, fewer stop words do).  The second pass settles ambiguous blocks by
+their nearest decided neighbours.  Pages are independent, so the work is one
+pass over the table; a page takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,8 +40,13 @@ MARKS = frozenset(
     """ad ads advert advertisement advertising banner promo promotion sponsor sponsored sidebar rail menu nav navbar navigation breadcrumb breadcrumbs
     footer header masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup
     login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies discussion widget
-    pagination pager toolbar searchbox copyright legal disclaimer skip hidden teaser outbrain taboola""".split())
-TALK = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+    pagination pager toolbar searchbox copyright legal disclaimer skip hidden teaser outbrain taboola
+    werbung anzeige anzeigen kommentar kommentare leserkommentare seitenleiste kopfzeile fusszeile hinweis teilen verwandte
+    publicite annonce annonces commentaire commentaires partager avis pied menus
+    publicidad anuncio anuncios comentario comentarios compartir aviso cabecera pie""".split())
+TALK = frozenset(
+    """comment comments commentlist disqus respond reply replies discussion kommentar kommentare leserkommentare commentaire commentaires
+    comentario comentarios""".split())
 ABOUT_PAGE = frozenset("content main page wrap wrapper container layout body post article entry has with".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -48,7 +56,7 @@ _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 SHORT, LONG = 70, 200
-STOPS, LINKS, FEW_LINKS = 0.3, 0.5, 0.2
+STOPS, STOPS_INSIDE, LINKS, FEW_LINKS = 0.3, 0.1, 0.5, 0.2
 GOOD, BAD, OPEN = 1, -1, 0
 
 
@@ -96,7 +104,17 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int, bool]] = []
     bad, main, link, block = 0, False, -1, None
     at, size = 0, len(page)
-    lower = ""
+    # Behind the last ">" no tag ends, and an end tag that is not there is looked for once.
+    last = page.rfind(">")
+    lower, missing, open_tags = "", set(), Counter()
+
+    def leave(tag: str) -> None:
+        nonlocal bad, main
+        while stack:
+            name, bad, main = stack.pop()
+            open_tags[name] -= 1
+            if name == tag:
+                break
 
     def text(piece: str) -> None:
         nonlocal block
@@ -126,7 +144,7 @@ def blocks_of(page: str) -> list[Block]:
             end = page.find(">", mark)
             at = size if end < 0 else end + 1
             continue
-        m = _TAG.match(page, mark) or _LOOSE_TAG.match(page, mark)
+        m = _TAG.match(page, mark) or _LOOSE_TAG.match(page, mark) if mark < last else None
         if not m:
             text("<")
             at = mark + 1
@@ -134,7 +152,7 @@ def blocks_of(page: str) -> list[Block]:
         at = m.end()
         closes, tag, attributes = m[1], m[2].lower(), m[3]
         if tag in UNSEEN:
-            if not closes and not attributes.endswith("/"):
+            if not closes and not attributes.endswith("/") and tag not in missing:
                 lower = lower or page.lower()
                 end = lower.find(f"</{tag}", at) if len(lower) == size else -1
                 if end < 0:
@@ -143,6 +161,8 @@ def blocks_of(page: str) -> list[Block]:
                 close = page.find(">", end) if end >= 0 else -1
                 if close >= 0:
                     at = close + 1
+                else:
+                    missing.add(tag)
             continue
         if tag == "a":
             link = -1 if closes else len(stack)
@@ -156,54 +176,58 @@ def blocks_of(page: str) -> list[Block]:
                 if inner > bad:
                     # A hidden or marked inline element stands apart like a block.
                     stack.append((tag, bad, main))
+                    open_tags[tag] += 1
                     bad, main, block = inner, inner_main, None
-            elif closes and any(t == tag for t, _, _ in stack):
-                while stack:
-                    name, bad, main = stack.pop()
-                    if name == tag:
-                        break
+            elif closes and open_tags[tag]:
+                leave(tag)
                 block = None
             continue
         block = None
         if closes:
-            if any(t == tag for t, _, _ in stack):
-                while stack:
-                    name, bad, main = stack.pop()
-                    if name == tag:
-                        break
+            if open_tags[tag]:
+                leave(tag)
                 if link > len(stack):
                     link = -1
             continue
         # A new block ends an open paragraph; items end items of their kind.
         while stack and (stack[-1][0] in ("p", "head") and tag != "html" or stack[-1][0] == tag and tag in OWN_END):
-            _, bad, main = stack.pop()
+            leave(stack[-1][0])
         if link > len(stack):
             link = -1
         if tag in VOID:
             continue
         stack.append((tag, bad, main))
+        open_tags[tag] += 1
         bad, main = _surroundings(tag, attributes, bad, main)
     return found
 
 
-def _label(block: Block, text: str) -> int:
-    """First pass: one block alone.  Being in the article or main element speaks for a block, being outside does not condemn it."""
-    if block.bad:
-        return BAD
-    links = min(1.0, block.linked / max(1, len(text)))
-    if links > LINKS:
-        return OPEN if block.main else BAD
-    if block.main and links <= FEW_LINKS:
-        return GOOD
-    if len(text) < SHORT or block.heading:
-        return BAD if links > FEW_LINKS and not block.main else OPEN
+def stop_share(text: str) -> float:
     words = text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOPS:
-        return GOOD if len(text) >= LONG or links <= FEW_LINKS else OPEN
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def label(length: int, links: float, stops: float, inside: bool, heading: bool) -> int:
+    """First pass: one block alone, by its length, its share of linked text and its share of stop words.
+
+    Mostly linked text is bad, but for headings inside, which often link to
+    themselves.  Short blocks and headings are ambiguous, and bad with some
+    links outside.  Other blocks are good with stop words enough and few
+    links, or much text.
+    """
+    if links > LINKS:
+        return OPEN if inside and heading else BAD
+    if heading or length < SHORT:
+        return BAD if links > FEW_LINKS and not inside else OPEN
+    if stops >= (STOPS_INSIDE if inside else STOPS):
+        return GOOD if length >= LONG or links <= FEW_LINKS else OPEN
     return OPEN
 
 
+def _label(block: Block, text: str) -> int:
+    return BAD if block.bad else label(len(text), min(1.0, block.linked / max(1, len(text))), stop_share(text), block.main, block.heading)
+
+
 def _settle(labels: list[int], headings: list[bool]) -> list[int]:
     """Second pass: an ambiguous block takes the label of the nearest decided block.
 
@@ -239,18 +263,23 @@ def _settle(labels: list[int], headings: list[bool]) -> list[int]:
 def _decide(blocks: list[Block], texts: list[str]) -> list[int]:
     """Both passes over the blocks of a page.
 
-    On a page with an article or main element an ambiguous block outside it,
-    other than a heading, is judged by the blocks outside alone, so that good
-    ones inside do not draw in what surrounds them.
+    On a page with an article or main element ambiguous blocks inside take
+    their neighbours from inside, where blocks set aside by the markup are
+    gone, and ambiguous ones outside, other than headings, from outside, so
+    that neither draws in the other.
     """
     first = [_label(b, t) for b, t in zip(blocks, texts, strict=True)]
-    labels = _settle(first, [b.heading for b in blocks])
-    if any(b.main and not b.bad for b in blocks):
+    headings = [b.heading for b in blocks]
+    inside = [i for i, b in enumerate(blocks) if b.main and not b.bad]
+    labels = _settle(first, headings)
+    if inside:
+        for i, x in zip(inside, _settle([first[i] for i in inside], [headings[i] for i in inside]), strict=True):
+            labels[i] = x
         outside = [i for i, b in enumerate(blocks) if not b.main]
         apart = [first[i] for i in outside]
-        apart = _settle(apart, [blocks[i].heading for i in outside]) if GOOD in apart else [BAD] * len(apart)
+        apart = _settle(apart, [headings[i] for i in outside]) if GOOD in apart else [BAD] * len(apart)
         for i, x in zip(outside, apart, strict=True):
-            if not blocks[i].heading:
+            if not headings[i]:
                 labels[i] = x
     return labels
 
@@ -270,7 +299,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
     A null or empty page, and one without main text, gives the empty text and
-    0; ids and URLs may be null or repeat; malformed markup is read as far as
+    0; long pages are read whole, in time that grows with their length; ids and URLs may be null or repeat; malformed markup is read as far as
     it goes; an empty table gives no rows; further columns are ignored.
     """
 
