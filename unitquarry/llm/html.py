@@ -59,6 +59,9 @@ SHORT, LONG = 70, 200
 STOPS, STOPS_INSIDE, LINKS, FEW_LINKS = 0.3, 0.1, 0.5, 0.2
 GOOD, BAD, OPEN = 1, -1, 0
 
+# After so many tags with open quotes a page's quotes are not followed any more: each had to be read to the page's end.
+BROKEN = 64
+
 
 class Block:
     __slots__ = ("parts", "linked", "bad", "main", "heading")
@@ -106,7 +109,7 @@ def blocks_of(page: str) -> list[Block]:
     at, size = 0, len(page)
     # Behind the last ">" no tag ends, and an end tag that is not there is looked for once.
     last = page.rfind(">")
-    lower, missing, open_tags = "", set(), Counter()
+    lower, missing, open_tags, broken = "", set(), Counter(), 0
 
     def leave(tag: str) -> None:
         nonlocal bad, main
@@ -144,7 +147,10 @@ def blocks_of(page: str) -> list[Block]:
             end = page.find(">", mark)
             at = size if end < 0 else end + 1
             continue
-        m = _TAG.match(page, mark) or _LOOSE_TAG.match(page, mark) if mark < last else None
+        m = _TAG.match(page, mark) if mark < last and broken < BROKEN else None
+        if not m and mark < last:
+            m = _LOOSE_TAG.match(page, mark)
+            broken += m is not None
         if not m:
             text("<")
             at = mark + 1
