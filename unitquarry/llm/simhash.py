@@ -214,10 +214,11 @@ def linked_fingerprints(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, digest, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, fp, digest, component_id, root of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id among the texts reachable over links
-    of at most four bits, null only if all their ids are null.  Texts are
+    of at most four bits, null only if all their ids are null; root is the
+    component's smallest fingerprint.  Texts are
     whole, upper-case A-Z counts as lower case; null and empty texts and those
     of white space have fingerprint 0, which links like any other.  Rows may
     repeat; an empty table gives no rows; further columns are ignored.  Equal
@@ -228,8 +229,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     roots = cut(components(linked_fingerprints(classes.select("fp"))))
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(heads, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "digest", "component_id")
+    named = placed.join(heads, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "digest", "component_id", "root")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -243,9 +244,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     A null id comes after all others.  Columns are those of ``docs``.
     """
     found = near_duplicates(docs, shingle)
-    group = F.coalesce(F.col("component_id"), F.col("fp"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("digest").alias("g"))
-    best = found.groupBy(F.col("component_id").isNull().alias("_no_id"), group.alias("_group")).agg(F.min(order).alias("o"))
+    best = found.groupBy("root").agg(F.min(order).alias("o"))
     kept = cut(best.select(F.col("o.d").alias("_kept_doc"), F.col("o.g").alias("_kept_digest")))
     marked = docs.withColumn("_row_digest", F.xxhash64(docs["doc_id"], docs["text"]))
     same = marked["doc_id"].eqNullSafe(kept["_kept_doc"]) & (marked["_row_digest"] == kept["_kept_digest"])
