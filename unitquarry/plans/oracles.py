@@ -111,6 +111,7 @@ ORACLES["q_semantic_topk"] = f"""WITH vec AS (
   SELECT q.item_id AS query_id, u.vec_id AS id, list_dot_product(v.embedding::DOUBLE[], u.embedding::DOUBLE[]) AS score
   FROM benchmark q JOIN embeddings v ON v.vec_id = q.item_id CROSS JOIN embeddings u), {_top('vec', 5, 'best')}
 SELECT query_id, pos, id, round(score, 6) AS score FROM best"""
+ORACLES["q_semantic_clusters"] = ORACLES["q_semantic_topk"]
 ORACLES["q_hybrid_topk"] = f"""WITH {_DOCS}, {_ITEMS}, {_keyword('docs', 'items')}, {_HYBRID}, {_top('hy', 5, 'best')}
 SELECT query_id, pos, id, round(score, 6) AS score FROM best"""
 ORACLES["q_similarity"] = """SELECT u.vec_id, round(list_dot_product(v.embedding::DOUBLE[], u.embedding::DOUBLE[]), 6) AS similarity

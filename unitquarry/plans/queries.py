@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import runtime
 from ..functions import text, vectors
-from ..operators import callgraph, context, evaluate, expand, extract, maintain, search
+from ..operators import callgraph, clusters, context, evaluate, expand, extract, maintain, search
 from ..sources import files, report
 from . import views
 
@@ -88,6 +88,14 @@ def q_semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.semantic_search(units, views.embedded_queries(spark, sf_dir)), "score")
 
 
+@registered
+def q_semantic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matches through clusters that are skipped by their bounds."""
+    units = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = clusters.clustered_search(clusters.cluster_units(units, centres=32), views.embedded_queries(spark, sf_dir))
+    return _rounded(found, "score")
+
+
 @registered
 def q_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, queries = views.embedded_units(spark, sf_dir), views.embedded_queries(spark, sf_dir)
