@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import runtime
-from .search import MIN_SCORE, SCORE_CELLS, _RANKED, _best, _matrix, _Ranker, check_k
+from .search import MIN_SCORE, SCORE_CELLS, _RANKED, _best, _matrix, _Ranker, check_k, query_blocks
 
 # Centres: bounded, and small against the units of a large index.
 CENTRES = 256
@@ -115,13 +115,7 @@ def clustered_search(clusters: Clusters, queries: DataFrame, k: int = 5) -> Data
     table = clusters.table.toPandas()
     if k and len(table):
         numbers, centres = table["cluster"].to_numpy(), _matrix(table["centre"])
-        _, size = runtime.measure(asked, "embedding")
-        blocks = -(-size // runtime.BROADCAST_BYTES)
-        for block in range(blocks):
-            known = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toPandas()
-            if not len(known):
-                continue
-            ids, vectors = known["query_id"].to_numpy(np.int64), _matrix(known["embedding"])
+        for ids, vectors, alone in query_blocks(asked):
             above = bounds(vectors, centres, table["radius"].to_numpy())
             nearest = np.zeros(above.shape, bool)
             nearest[np.arange(len(ids)), np.argmax(np.nan_to_num(vectors @ centres.T, nan=-np.inf), axis=1)] = True
@@ -133,7 +127,7 @@ def clustered_search(clusters: Clusters, queries: DataFrame, k: int = 5) -> Data
             rest = _scan(clusters.rows, (above >= least[:, None]) & ~nearest, numbers, ids, vectors, k)
             if rest is not None:
                 # Settled block by block, so the driver holds one block of queries.
-                found = found.unionByName(runtime.cut(rest) if blocks > 1 else rest)
+                found = found.unionByName(rest if alone else runtime.cut(rest))
     return _best(found, k)
 
 
