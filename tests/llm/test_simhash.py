@@ -117,3 +117,12 @@ def test_keep_one_leaves_one_row_of_each_group(spark, docs):
 def test_empty_table(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_linked_texts_without_ids_stays(spark):
+    """Texts a few bits apart, all without an id, are one component."""
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(None, base), (None, base + " tail"), (None, base + " end"), (None, "other words in a short text of its own")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = simhash.near_duplicates(frame).toPandas()
+    assert simhash.keep_one(frame).count() == found.root.nunique() == 2
