@@ -114,3 +114,46 @@ def test_every_declared_language_has_a_model(spark):
     found = langid.identify(langid.document_evidence(docs), model).collect()
     assert all(r.language == f"l{r.doc_id // 100:02}" and r.kept for r in found)
     assert langid.keep_identified(docs).count() == len(rows)
+
+
+def test_model_in_lists_and_tables(spark, docs, monkeypatch):
+    """Whatever has a full table, the model is the plain one."""
+    rows = [(r.text or "", r.lang) for r in docs.select("text", "lang").collect() if r.lang is not None]
+    plain = {}
+    for text, lang in rows:
+        f = langid._folded()[np.frombuffer(b" " + text.encode() + b" ", dtype=np.uint8)]
+        counts = plain.setdefault(lang, np.full(langid.CELLS, 0.5))
+        for a, b, c in zip(f, f[1:], f[2:]):
+            if not (a == 32 and b == 32):
+                counts[((a << 10) ^ (b << 5) ^ c) & (langid.CELLS - 1)] += 1
+    texts = [r[0].encode() for r in rows[::7]] + [b"", "schön über".encode() * 300]
+    found = []
+    for dense in (1, 60, langid.CELLS):
+        monkeypatch.setattr(langid, "DENSE_CELLS", dense)
+        model = langid.train(docs.select("text", "lang"))
+        for m, lang in enumerate(model.languages):
+            assert np.allclose(model.weights[m], np.log(plain[lang] / plain[lang].sum()))
+        for held in (1 << 21, 50):
+            monkeypatch.setattr(langid, "HELD_NUMBERS", held)
+            found.append(langid.text_evidence(texts, model)[0])
+    assert all(np.allclose(found[0], x) for x in found[1:])
+
+
+def test_sums_that_do_not_fit_a_task_at_once(spark, docs, monkeypatch):
+    model = langid.train(docs.select("text", "lang"))
+    once = {r.doc_id: r.posterior for r in langid.identify(langid.document_evidence(docs), model).collect()}
+    monkeypatch.setattr(langid, "HELD_NUMBERS", 8)
+    parts = {r.doc_id: r.posterior for r in langid.identify(langid.document_evidence(docs), model).collect()}
+    assert parts == pytest.approx(once)
+
+
+def test_two_thousand_declared_values(spark):
+    """Every value has its model; cost and memory stay bounded."""
+    rows = [(i, " ".join(f"w{(i % 2000) * 7 + j}x{chr(97 + i % 26)}" for j in range(6)), f"v{i % 2000}", f"h{i % 9}.example.org") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(8)
+    model = langid.train(docs.select("text", "lang"))
+    assert len(model.languages) == 2000
+    assert model.table.size == 0 and len(model.gain) < 200 * 2000
+    assert langid.keep_identified(docs).columns == docs.columns
+    found = langid.identify(langid.document_evidence(docs), model)
+    assert found.count() == 6000

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from unitquarry.llm.common import attach, lower_ascii, slices, written
@@ -27,6 +28,10 @@ STRENGTH = 20.0
 SURE = 0.5
 CHUNK_BYTES = 1 << 20
 HELD_CELLS = 1 << 19
+# A language with this many distinct cells has a full table, any other a list of the cells it has.
+DENSE_CELLS = CELLS // 4
+# Numbers that a task holds at a time in one matrix or one flush of sums.
+HELD_NUMBERS = 1 << 21
 
 
 def _folded() -> np.ndarray:
@@ -74,8 +79,49 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 @dataclass
 class TextModel:
+    """Log-probability of every cell in every language; its size grows with the cells that were seen, not with languages by cells.
+
+    ``dense`` numbers the languages with a full table ``table`` (cells by
+    languages).  The others, numbered by ``sparse``, have a probability for
+    cells never seen, ``base``, and ``gain`` over it for the cells they have:
+    those of a cell stand from ``begin[cell]`` on, of the language ``of``.
+    """
+
     languages: list[str]
-    weights: np.ndarray
+    dense: np.ndarray
+    table: np.ndarray
+    sparse: np.ndarray
+    base: np.ndarray
+    begin: np.ndarray
+    of: np.ndarray
+    gain: np.ndarray
+
+    @property
+    def weights(self) -> np.ndarray:
+        """The whole matrix, languages by cells."""
+        out = np.empty((len(self.languages), CELLS))
+        out[self.dense] = self.table.T
+        rest = np.repeat(self.base[:, None], CELLS, axis=1)
+        rest[self.of, np.repeat(np.arange(CELLS), np.diff(self.begin))] += self.gain
+        out[self.sparse] = rest
+        return out
+
+
+def _model(languages: list[str], lang: np.ndarray, cell: np.ndarray, n: np.ndarray) -> TextModel:
+    """From one entry per language and cell that were seen together."""
+    languages = languages or ["und"]
+    total = np.bincount(lang, weights=n, minlength=len(languages)) + 0.5 * CELLS
+    full = np.bincount(lang, minlength=len(languages)) >= DENSE_CELLS
+    dense, sparse = np.flatnonzero(full), np.flatnonzero(~full)
+    at = np.where(full, np.cumsum(full), np.cumsum(~full)) - 1
+    table = np.full((CELLS, len(dense)), 0.5)
+    use = full[lang]
+    table[cell[use], at[lang[use]]] += n[use]
+    rest = np.flatnonzero(~use)
+    rest = rest[np.argsort(cell[rest], kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(cell[rest], minlength=CELLS))])
+    return TextModel(
+        languages, dense, np.log(table / total[dense]), sparse, np.log(0.5 / total[sparse]), begin, at[lang[rest]].astype(np.int32), np.log1p(2 * n[rest]))
 
 
 def train(examples: DataFrame) -> TextModel:
@@ -112,30 +158,67 @@ def train(examples: DataFrame) -> TextModel:
 
     found = named.mapInArrow(run, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     number = {x: i for i, x in enumerate(languages)}
-    counts = np.full((max(1, len(languages)), CELLS), 0.5)
-    rows = np.fromiter((number[x] for x in found.column("lang").to_pylist()), dtype=np.int64, count=found.num_rows)
-    counts[rows, found.column("cell").to_numpy()] += found.column("n").to_numpy()
-    return TextModel(languages or ["und"], np.log(counts / counts.sum(axis=1, keepdims=True)))
-
-
-def text_evidence(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tempered log-likelihood of each text in each language (weights: cells by languages), and its letters."""
-    log, letters = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), dtype=np.int64)
+    names = found.column("lang").combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+    lang = np.array([number[x] for x in names.dictionary.to_pylist()], dtype=np.int64)[names.indices.to_numpy()]
+    return _model(languages, lang, found.column("cell").to_numpy(), found.column("n").to_numpy())
+
+
+def _rows_held(languages: int) -> int:
+    """Rows whose evidence a task holds at a time."""
+    return max(16, min(1024, HELD_NUMBERS // languages))
+
+
+def _dense_evidence(log: np.ndarray, cell: np.ndarray, of: np.ndarray, model: TextModel) -> None:
+    """Adds what the full tables say of the cells of text ``of`` (ascending) to ``log``."""
+    step = max(1024, HELD_NUMBERS // len(model.dense))
+    for at in range(0, len(cell), step):
+        text = of[at : at + step]
+        starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        log[np.ix_(text[starts], model.dense)] += np.add.reduceat(model.table[cell[at : at + step]], starts, axis=0)
+
+
+def _sparse_evidence(log: np.ndarray, cell: np.ndarray, of: np.ndarray, model: TextModel) -> None:
+    """The same of the languages with lists: each distinct cell of a text meets the languages that have it."""
+    pair, count = np.unique(of * CELLS + cell, return_counts=True)
+    text, cell = pair // CELLS, pair % CELLS
+    found = model.begin[cell + 1] - model.begin[cell]
+    size = np.bincount(text, weights=count, minlength=len(log))
+    log[:, model.sparse] += size[:, None] * model.base
+    ends = np.cumsum(found)
+    at = 0
+    while at < len(pair):
+        # At least one cell at a time, which every language may have.
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_NUMBERS, "right")))
+        some = found[at:stop]
+        first = np.cumsum(some) - some
+        entry = np.repeat(model.begin[cell[at:stop]] - first, some) + np.arange(some.sum())
+        low, high = text[at], text[stop - 1] + 1
+        place = np.repeat(text[at:stop] - low, some) * len(model.sparse) + model.of[entry]
+        gain = np.bincount(place, weights=model.gain[entry] * np.repeat(count[at:stop], some), minlength=(high - low) * len(model.sparse))
+        log[low:high, model.sparse] += gain.reshape(high - low, len(model.sparse))
+        at = stop
+
+
+def text_evidence(texts: list[bytes], model: TextModel) -> tuple[np.ndarray, np.ndarray]:
+    """Tempered log-likelihood of each text in each language, and its letters."""
+    log, letters = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), dtype=np.int64)
     for a, b in chunks(texts):
         cell, size, letters[a:b] = cells(texts[a:b])
-        full = np.flatnonzero(size)
-        if len(full):
-            log[a + full] = np.add.reduceat(weights[cell], (np.cumsum(size) - size)[full], axis=0)
+        of = np.repeat(np.arange(b - a), size)
+        if len(cell) and len(model.dense):
+            _dense_evidence(log[a:b], cell, of, model)
+        if len(cell) and len(model.sparse):
+            _sparse_evidence(log[a:b], cell, of, model)
     return log * TEMPER, letters
 
 
 def with_text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     """``rows`` without ``text``, with _lid_text (log-likelihood per language) and _lid_letters; nothing is shuffled."""
-    sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.weights.T))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
     at, count = rows.columns.index("text"), len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, _rows_held(count)):
             log, letters = text_evidence(_bytes(batch.column(at)), sent.value)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, log.size + 1, count, dtype=np.int32)), pa.array(log.ravel()))
             rest = [i for i in range(batch.num_columns) if i != at]
@@ -148,9 +231,9 @@ def with_text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     return rows.mapInArrow(run, kind)
 
 
-def _softmax(logs: Column) -> Column:
-    scaled = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(scaled, lambda x: x / F.aggregate(scaled, F.lit(0.0), lambda a, b: a + b))
+def _share(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def _domain(host: Column) -> Column:
@@ -161,13 +244,12 @@ def _suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def _sums(count: int) -> list[Column]:
-    return [F.sum(F.get("_lid_own", F.lit(m))).alias(f"_{m}") for m in range(count)]
-
-
 @dataclass
 class Statistics:
-    """Weighted counts by language of declarations, address suffixes and hosts with the levels above them."""
+    """Weighted counts by language of declarations, address suffixes and hosts with the levels above them.
+
+    Counts are arrays of (lang, mass): only languages that have any.
+    """
 
     declared: DataFrame
     address: DataFrame
@@ -177,24 +259,72 @@ class Statistics:
     addresses: int
 
 
+KEYS = ("declared", "address", "host")
+COUNTED = "kind int, key string, lang int, mass double"
+
+
+def masses(rows: DataFrame, count: int) -> DataFrame:
+    """kind (number in KEYS, or their number for all rows), key, lang, mass: what the texts of the rows of a key say, summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[tuple, int] = {}
+        # One line of sums per key, as many as fit the bound.
+        lines = max(2 * len(KEYS) + 2, HELD_NUMBERS // count)
+        sums = np.zeros((lines, count))
+
+        def flush() -> pa.RecordBatch:
+            line, lang = np.nonzero(sums[: len(number)])
+            kinds = np.fromiter((k for k, _ in number), dtype=np.int32, count=len(number))
+            keys = pa.array([key for _, key in number], pa.string())
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(kinds[line]), keys.take(pa.array(line)), pa.array(lang.astype(np.int32)), pa.array(sums[line, lang])], ["kind", "key", "lang", "mass"])
+            number.clear()
+            sums[:] = 0
+            return out
+
+        for batch in slices(batches, _rows_held(count)):
+            own = _share(_matrix(batch.column(0), count)[0])
+            for kind in range(len(KEYS) + 1):
+                values = batch.column(1 + kind).to_pylist() if kind < len(KEYS) else [""] * len(own)
+                known = [i for i, v in enumerate(values) if v is not None]
+                # Rows go in parts that find room for all their keys.
+                for a in range(0, len(known), lines):
+                    part = known[a : a + lines]
+                    if len(number) + len({values[i] for i in part}) > lines:
+                        yield flush()
+                    at = np.array([number.setdefault((kind, values[i]), len(number)) for i in part], dtype=np.int64)
+                    np.add.at(sums, at, own[part])
+        if number:
+            yield flush()
+
+    # Python sums rows of one task, Spark those of all.
+    parts = rows.select("_lid_text", *[F.col(k).cast("string") for k in KEYS]).mapInArrow(run, COUNTED)
+    return parts.groupBy("kind", "key", "lang").agg(F.sum("mass").alias("mass"))
+
+
 def statistics(rows: DataFrame, count: int) -> Statistics:
     """From rows with _lid_text, declared, address, host."""
-    own = rows.select("declared", "address", "host", _softmax(F.col("_lid_text")).alias("_lid_own"))
-    packed = F.array(*[F.col(f"_{m}") for m in range(count)])
-
-    def by(key: str, name: str) -> DataFrame:
-        return written(own.filter(F.col(key).isNotNull()).groupBy(key).agg(*_sums(count)).select(key, packed.alias(name)))
-
-    hosts = own.filter(F.col("host").isNotNull()).groupBy("host").agg(*_sums(count))
-    hosts = hosts.withColumns({"_domain": _domain(F.col("host")), "_suffix": _suffix(F.col("host"))})
-    sums = [F.sum(f"_{m}").alias(f"_{m}") for m in range(count)]
-    domains = hosts.groupBy("_domain").agg(*sums).select("_domain", packed.alias("_lid_domain"))
-    suffixes = hosts.groupBy("_suffix").agg(*sums).select("_suffix", packed.alias("_lid_suffix"))
-    full = hosts.select("host", "_domain", "_suffix", packed.alias("_lid_host")).join(domains, "_domain").join(suffixes, "_suffix")
-    total = own.agg(*_sums(count)).first()
-    declared, address = by("declared", "_lid_declared"), by("address", "_lid_address")
+    every = written(masses(rows, count))
+    listed = F.array_sort(F.collect_list(F.struct("lang", "mass")))
+
+    def of(kind: int) -> DataFrame:
+        return every.filter(F.col("kind") == kind)
+
+    def by(kind: int, name: str) -> DataFrame:
+        return written(of(kind).groupBy(F.col("key").alias(KEYS[kind])).agg(listed.alias(name)))
+
+    def level(key: str, name: str) -> DataFrame:
+        return lines.groupBy(key, "lang").agg(F.sum("mass").alias("mass")).groupBy(key).agg(listed.alias(name))
+
+    lines = of(2).select(F.col("key").alias("host"), _domain(F.col("key")).alias("_domain"), _suffix(F.col("key")).alias("_suffix"), "lang", "mass")
+    hosts = lines.groupBy("host", "_domain", "_suffix").agg(listed.alias("_lid_host"))
+    full = hosts.join(level("_domain", "_lid_domain"), "_domain").join(level("_suffix", "_lid_suffix"), "_suffix")
+    total = np.zeros(count)
+    for r in of(len(KEYS)).collect():
+        total[r["lang"]] = r["mass"]
+    declared, address = by(0, "_lid_declared"), by(1, "_lid_address")
     return Statistics(
-        declared, address, written(full.select("host", "_lid_host", "_lid_domain", "_lid_suffix")), [float(t or 0.0) for t in total],
+        declared, address, written(full.select("host", "_lid_host", "_lid_domain", "_lid_suffix")), total.tolist(),
         declared.count(), address.count())
 
 
@@ -203,18 +333,22 @@ COUNTS = ("_lid_declared", "_lid_address", "_lid_host", "_lid_domain", "_lid_suf
 
 def with_counts(rows: DataFrame, stats: Statistics) -> DataFrame:
     """``rows`` (declared, address, host) with the counts of their evidence; null where there is none."""
-    joined = attach(rows, stats.declared, ["declared"], "left", "declared", "_lid_declared")
-    joined = attach(joined, stats.address, ["address"], "left", "address", "_lid_address")
-    return attach(joined, stats.hosts, ["host"], "left", "host", "_lid_host", "_lid_domain", "_lid_suffix")
+    # An entry of a list takes 16 bytes, so a list counts twice in the size that is measured.
+    joined = attach(rows, stats.declared, ["declared"], "left", "declared", *["_lid_declared"] * 2)
+    joined = attach(joined, stats.address, ["address"], "left", "address", *["_lid_address"] * 2)
+    return attach(joined, stats.hosts, ["host"], "left", "host", *["_lid_host", "_lid_domain", "_lid_suffix"] * 2)
 
 
 def _matrix(column: pa.Array, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """A list column as a matrix, with zeros where it is null, and where it is not."""
-    known = np.flatnonzero(~column.is_null().to_numpy(zero_copy_only=False))
+    """A column of lists (of numbers, or of lang and mass) as a matrix, with zeros where it is null, and where it is not."""
+    has = ~column.is_null().to_numpy(zero_copy_only=False)
     out = np.zeros((len(column), count))
-    out[known] = column.drop_null().flatten().to_numpy().reshape(len(known), count)
-    has = np.zeros(len(column), dtype=bool)
-    has[known] = True
+    flat = column.drop_null().flatten()
+    if pa.types.is_struct(flat.type):
+        size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        out[np.repeat(np.arange(len(column)), size), flat.field("lang").to_numpy()] = flat.field("mass").to_numpy()
+    else:
+        out[has] = flat.to_numpy().reshape(-1, count)
     return out, has
 
 
@@ -222,11 +356,7 @@ def posteriors(log: np.ndarray, counts: dict[str, pa.Array], total: np.ndarray,
     """Posterior of each row and language from the text's log-likelihoods and the counts of the other evidence."""
     n, languages = log.shape
 
-    def share(x: np.ndarray) -> np.ndarray:
-        e = np.exp(x - x.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    own = share(log)
+    own = _share(log)
     found = {name: _matrix(column, languages) for name, column in counts.items()}
     # Each row's own share is taken out of what it is judged by.
     rest = np.maximum(total - own, 0)
@@ -240,7 +370,7 @@ def posteriors(log: np.ndarray, counts: dict[str, pa.Array], total: np.ndarray,
     for name, several in kinds.items():
         count, has = found[name]
         log = log + np.where(has[:, None], np.log((np.maximum(count - own, 0) + 1) / (rest + several + 1)), 0.0)
-    return share(log)
+    return _share(log)
 
 
 def fuse(rows: DataFrame, stats: Statistics, model: TextModel) -> DataFrame:
@@ -252,12 +382,12 @@ def fuse(rows: DataFrame, stats: Statistics, model: TextModel) -> DataFrame:
     languages = model.languages
     names = pa.array(languages)
     read = "_lid_source" in rows.columns
-    sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.weights.T) if read else None)
+    sent = rows.sparkSession.sparkContext.broadcast(model if read else None)
     total, kinds = np.array(stats.total), {"_lid_declared": stats.declarations, "_lid_address": stats.addresses}
     kept = [f for f in rows.schema.fields if not f.name.startswith("_lid_") or f.name == "_lid_row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, _rows_held(len(languages))):
             of = {name: i for i, name in enumerate(batch.schema.names)}
             if read:
                 log, letters = text_evidence(_bytes(batch.column(of["_lid_source"])), sent.value)
@@ -286,7 +416,9 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     posterior and kept.  Null or empty texts leave the decision to the other
     evidence and are not kept, as they have no letters; null declarations,
     addresses and hosts say nothing; repeated rows are judged alike; an empty
-    table gives no rows.  Ids must not be called declared, address, host,
+    table gives no rows.  Very long texts are read whole, as one text at a
+    time.  Work grows with rows by languages that a trigram has been seen in,
+    a row's evidence is one number per language.  Ids must not be called declared, address, host,
     language, posterior, kept or begin with _lid_.
     """
     seen = written(with_text_evidence(rows, model))
