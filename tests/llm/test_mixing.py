@@ -87,3 +87,20 @@ def test_empty_table(spark, docs):
 def test_plan_holds_no_python(spark, docs):
     plan = mixing.mixed_words(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_rows_are_settled_one_by_one(spark):
+    """However many rows repeat, a source ends within one document of its target."""
+    rows = [(None, "a", "x " * 10)] * 1000 + [(5, "b", "y " * 7)] * 3000 + [(i, "c", "z " * (1 + i % 5)) for i in range(200)] + [(7, "c", "k " * 3), (7, "c", "l " * 3)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, source string, text string, no int").repartition(8)
+    found = mixing.mixed_words(docs.drop("no"))
+    assert found.count() == len(rows)
+    sums = found.groupBy("target").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).collect()
+    assert len(sums) == 3 and all(abs(r.taken - r.target) <= r.size for r in sums)
+    assert found.filter("taken > 2 * size").count() == 0
+    mixed = mixing.mix(docs)
+    per = mixed.groupBy("no").count().collect()
+    assert max(r["count"] for r in per) <= 2
+    words = mixed.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n"))
+    want = sorted(r.taken for r in sums)
+    assert sorted(r.n for r in words.collect()) == want
