@@ -120,6 +120,24 @@ def test_lines(spark):
     assert all(text[r.start_offset:r.end_offset] == r.code for r in rows)
 
 
+def test_lines_of_many_texts_move_nothing(spark):
+    texts = [None, "", "\n", "a", "a\n\nb\r\n", "\u00e9\U0001f600\n" * 3000, *[f"x{i}\n" * (i % 4) for i in range(700)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string").coalesce(1)
+    found = extract.segment_lines(df, "doc", "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc, []).append((r.line, r.start_offset, r.end_offset, r.code))
+    for i, text in enumerate(texts):
+        lines = [] if text is None else text.split("\n")
+        want, at = [], 0
+        for n, line in enumerate(lines, 1):
+            want.append((n, at, at + len(line), line))
+            at += len(line) + 1
+        assert got.get(i, []) == want
+    assert extract.segment_lines(df.limit(0), "doc", "text").count() == 0
+
+
 MORE = {
     "returned.ts": ("function over(cb: () => void): () => void { go(cb); return () => cb(); }", [("over", "function", None), ("<anonymous>", "arrow", None)], ["go", "cb"]),
     "typeargs.ts": ("x = new Map<string, () => void>();\nsubscribe(cb: Listener): () => void { on(cb) }", [], ["on"]),

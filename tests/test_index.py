@@ -258,3 +258,59 @@ def test_many_runs_are_compacted(spark, tmp_path, monkeypatch):
     write(root, "b.ts", "function late() { return deliver() }")
     index = idx.index_project(spark, root, folder, with_vectors=False)
     assert len(index.runs) == 1 and index.version == 2 and ("late", "deliver") in edges_of(index)
+
+
+def test_a_text_is_embedded_once(spark, tmp_path):
+    """Over all units and runs, until a run is forced; copies share the vector."""
+    root, folder, seen = tree(tmp_path), str(tmp_path / "index"), str(tmp_path / "seen")
+    os.makedirs(seen)
+
+    def counting():
+        import uuid
+        import numpy as np
+
+        def embed(texts):
+            with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\0".join(texts))
+            return np.array([[len(t), sum(map(ord, t)) % 97, 1.0] for t in texts])
+        return embed
+
+    def handed():
+        out = []
+        for name in sorted(os.listdir(seen)):
+            with open(os.path.join(seen, name)) as f:
+                out += f.read().split("\0")
+            os.remove(os.path.join(seen, name))
+        return sorted(out)
+
+    def texts_of(index):
+        rows = index.units.collect()
+        assert all(r.embedding is not None and abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in rows)
+        names = {r.id: (f"{r.class_name}.{r.name}" if r.class_name else r.name) + "\n" + r.code for r in rows}
+        vectors = {}
+        for r in rows:
+            assert vectors.setdefault(names[r.id], r.embedding) == r.embedding
+        return set(vectors)
+
+    copy = "function twin() { return 1 }\n"
+    write(root, "p.js", copy)
+    write(root, "q.js", copy * 2)
+    first = idx.index_project(spark, root, folder, make_embedder=counting)
+    assert handed() == sorted(texts_of(first))
+    write(root, "q.js", copy * 3 + "function fresh() { return 2 }\n")
+    second = idx.index_project(spark, root, folder, make_embedder=counting)
+    assert [t.split("\n")[0] for t in handed()] == ["fresh"]
+    assert second.units.filter("name = 'twin'").count() == 4 and second.vectors.count() == len(texts_of(second))
+    # Another embedder's vectors are its own, also of a text that is known.
+    write(root, "r.js", copy)
+    assert idx.index_project(spark, root, folder).units.filter("file_path = 'r.js'").first().embedding is not None
+    write(root, "r.js", "function last() { return 3 }")
+    packed = idx.compact(spark, idx.index_project(spark, root, folder, make_embedder=counting).folder)
+    assert [t.split("\n")[0] for t in handed()] == ["last"]
+    # The text of twin has a vector of either embedder.
+    assert packed.vectors.count() == len(texts_of(packed)) + 1
+    write(root, "s.js", copy + "function last() { return 3 }")
+    idx.index_project(spark, root, folder, make_embedder=counting)
+    assert handed() == []
+    forced = idx.index_project(spark, root, folder, force=True, make_embedder=counting)
+    assert handed() == sorted(texts_of(forced)) and forced.vectors.count() == len(texts_of(forced))

@@ -93,6 +93,19 @@ def embed_units(units: DataFrame, make_embedder: EmbedderFactory | None = None,
     return model_embeddings(units, "id", text, make_embedder)
 
 
+def embedder_name(make_embedder: EmbedderFactory | None) -> str:
+    """Name that the vectors of an embedder are stored under."""
+    if make_embedder is None:
+        return f"hashed-{HASHED_DIM}"
+    return f"{getattr(make_embedder, '__module__', '')}.{getattr(make_embedder, '__qualname__', type(make_embedder).__qualname__)}"
+
+
+def vector_keys(units: DataFrame, name: str) -> DataFrame:
+    """``(id, key)``: units of one key hand the same text to the embedder of that name."""
+    text = embedding_text(F.col("class_name"), F.col("name"), F.col("code"))
+    return units.select("id", F.sha2(F.concat(F.lit(name + "\0"), text).cast("binary"), 256).alias("key"))
+
+
 def embed_queries(queries: DataFrame, make_embedder: EmbedderFactory | None = None, dim: int = HASHED_DIM) -> DataFrame:
     """``queries`` with an ``embedding`` column from the same embedder as the units."""
     text = F.col("text")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import runtime
-from .functions.vectors import EmbedderFactory, embed_queries, embed_units
+from .functions.vectors import EmbedderFactory, embed_queries, embed_units, embedder_name, vector_keys
 from .operators import callgraph, context, evaluate, expand, extract, maintain, search as ranking
 from .sources import files as trees, snapshot
 from .sources.snapshot import ConcurrentRun, Index, compact, load_index
@@ -33,7 +33,9 @@ def build_index(
     changed files are replaced and get new, larger ids.  A run writes only its
     own rows: calls are resolved again where the definitions of their name
     changed, all other rows and edges stay where they are.  Files that
-    disappeared stay unless ``prune_missing`` is set.  Raises
+    disappeared stay unless ``prune_missing`` is set.  Texts that an earlier run
+    embedded by the same embedder (told by its name) keep their vectors;
+    ``force`` embeds all anew.  Raises
     ``ConcurrentRun`` if another run committed meanwhile.
     """
     spark, run = current.sparkSession, snapshot.new_run()
@@ -76,15 +78,19 @@ def _write_run(
     order = ["file_path", "start_offset", F.desc("end_offset")]
     staged = found.repartitionByRange("file_path", "start_offset").sortWithinPartitions(*order)
     fresh = snapshot.number_new(staged, f"{stage}/staged", before.last_id)
+    vectors, name = 0, embedder_name(make_embedder)
     if with_vectors:
-        fresh = fresh.join(embed_units(fresh, make_embedder), "id", "left")
+        known = before.vectors.limit(0) if force else before.vectors
+        fresh, vectors = _with_vectors(fresh, known, stage, at("vectors"), name, make_embedder)
     else:
         fresh = fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
     units, added = put(fresh.select(before.units.columns), at("units"), n=F.count("*"), last=F.max("id"))
     calls, _ = put(extract.unit_calls(units), at("calls"))
     # In token order, a search of a few words skips the row groups without them.
     put(ranking.postings(units).sortWithinPartitions("token"), at("postings"))
-    entry = {"run": run, "units": added["n"], "gone": 0, "names": 0, "name_bytes": 0}
+    entry = {
+        "run": run, "units": added["n"], "gone": 0, "names": 0, "name_bytes": 0, "forced": force, "vectors": vectors,
+        "embedders": [name] if with_vectors else []}
 
     if before.version:
         narrow = before.units.select("id", "name", "class_name", "file_path")
@@ -109,6 +115,29 @@ def _write_run(
     return True
 
 
+def _with_vectors(
+    fresh: DataFrame, known: DataFrame, stage: str, path: str, name: str, make_embedder: EmbedderFactory | None
+) -> tuple[DataFrame, int]:
+    """``fresh`` with the vector of its text, and how many vectors were made for that.
+
+    A text is embedded once, whichever units and runs have it: ``known`` are
+    the vectors of earlier runs, ``path`` takes the new ones.
+    """
+    put = snapshot.put
+    keyed, _ = put(vector_keys(fresh, name), f"{stage}/keys")
+    # One unit stands for all of its key.
+    asked, _ = put(keyed.groupBy("key").agg(F.min("id").alias("id")), f"{stage}/asked")
+    held, _ = put(
+        runtime.lookup_join(known, asked.select("key"), ["key"], "left_semi", F.col("key"), "key").select("key", "embedding"), f"{stage}/held")
+    unseen, _ = put(asked.join(held.select("key"), "key", "left_anti"), f"{stage}/unseen")
+    chosen = runtime.lookup_join(fresh, unseen.select("id"), ["id"], "left_semi", F.col("id"))
+    made, counted = put(embed_units(chosen, make_embedder).join(unseen, "id").select("key", "embedding"), path, n=F.count("*"))
+    # A copied text may be a large share of all units.
+    [hot] = runtime.hot_keys(keyed, ["key"])
+    found = runtime.skew_join(keyed, held.unionByName(made), ["key"], "inner", F.col("id"), hot).select("id", "embedding")
+    return fresh.join(found, "id", "left"), counted["n"]
+
+
 def index_project(
     spark: SparkSession, root: str, folder: str, force: bool = False, ignore: Sequence[str] = (), **options
 ) -> Index:

@@ -15,11 +15,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .lexer import Outline, line_of, line_starts
 
+# Texts that are cut into lines at a time.
+SEGMENT_ROWS = 256
+
 _FUNCTION = pa.struct([
     ("name", pa.string()), ("kind", pa.string()), ("class_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
     ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("code", pa.string())])
@@ -111,10 +116,29 @@ def rejected_sources(sources: DataFrame) -> DataFrame:
 
 
 def segment_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, line, start_offset, end_offset, code``: the lines of a text with their exact ranges."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "code"))
-    order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("code") + 1).over(order), F.lit(0)).cast("int")
-    return lines.withColumn("start_offset", start).select(
-        key, (F.col("at") + 1).alias("line"), "start_offset",
-        (F.col("start_offset") + F.length("code")).alias("end_offset"), "code")
+    """``key, line, start_offset, end_offset, code``: the lines of a text with their exact ranges.
+
+    Offsets are running sums over the lines of one row, so nothing is shuffled.
+    A null text has no lines, an empty one has one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SEGMENT_ROWS):
+                keys, texts = batch.slice(at, SEGMENT_ROWS).columns
+                lines = pc.split_pattern(texts, "\n")
+                count = pc.list_value_length(lines).fill_null(0).to_numpy(zero_copy_only=False)
+                code = lines.flatten()
+                of = np.repeat(np.arange(len(texts)), count)
+                first = np.cumsum(count) - count
+                size = pc.utf8_length(code).to_numpy().astype(np.int64)
+                start = np.cumsum(size + 1) - (size + 1)
+                start -= start[first[of]]
+                yield pa.RecordBatch.from_arrays([
+                    keys.take(pa.array(of)), pa.array((np.arange(len(of)) - first[of] + 1).astype(np.int32)),
+                    pa.array(start.astype(np.int32)), pa.array((start + size).astype(np.int32)), code], ["key", "line", "start_offset", "end_offset", "code"])
+
+    kind = T.StructType([
+        T.StructField("key", df.schema[key].dataType), T.StructField("line", T.IntegerType()), T.StructField("start_offset", T.IntegerType()),
+        T.StructField("end_offset", T.IntegerType()), T.StructField("code", T.StringType())])
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, kind).withColumnRenamed("key", key)

@@ -16,6 +16,7 @@ Object stores without an atomic rename need one writer at a time.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import uuid
@@ -29,6 +30,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from .. import runtime
+from ..functions.vectors import vector_keys
 
 SCHEMAS = {
     "units": (
@@ -40,6 +42,7 @@ SCHEMAS = {
     "edges": "caller_id bigint, callee_id bigint, name string",
     "gone": "id bigint",
     "names": "name string",
+    "vectors": "key string, embedding array<float>",
 }
 
 # Runs that an index lists at the most before it is compacted.
@@ -69,6 +72,7 @@ class Index(NamedTuple):
     named_edges: DataFrame
     edges: DataFrame
     stats: DataFrame
+    vectors: DataFrame
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -200,7 +204,14 @@ def _load(spark: SparkSession, folder: str, commit: int, manifest: dict) -> Inde
         [(manifest["files_scanned"], manifest["functions_indexed"])], "files_scanned bigint, functions_indexed bigint")
     return Index(
         folder, commit, manifest["version"], manifest["last_id"], tuple(runs), files, units, postings, calls, edges,
-        edges.select("caller_id", "callee_id"), stats)
+        edges.select("caller_id", "callee_id"), stats, _vectors(spark, folder, runs))
+
+
+def _vectors(spark: SparkSession, folder: str, runs: list[dict]) -> DataFrame:
+    """Stored vectors, one row per key: those since the last forced run, which made its own."""
+    since = max((i for i, r in enumerate(runs) if r.get("forced")), default=0)
+    holding = [r for r in runs[since:] if r.get("vectors")]
+    return _tables(spark, folder, holding, "vectors") if holding else spark.createDataFrame([], SCHEMAS["vectors"])
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -221,7 +232,7 @@ def load_index(spark: SparkSession, folder: str) -> Index:
     edges = empty["edges"]
     return Index(
         folder, 0, 0, 0, (), empty["files"].drop("dropped"), empty["units"], empty["postings"], empty["calls"], edges,
-        edges.select("caller_id", "callee_id"), stats)
+        edges.select("caller_id", "callee_id"), stats, empty["vectors"])
 
 
 def commit(
@@ -234,6 +245,11 @@ def commit(
     _publish(spark, before.folder, before.commit + 1, json.dumps(manifest))
 
 
+def embedders(index: Index) -> list[str]:
+    """Names of the embedders that the index has stored vectors of."""
+    return sorted({n for r in index.runs for n in r.get("embedders", ())})
+
+
 def crowded(index: Index) -> bool:
     """Does the index list many runs, or more replaced units than others?"""
     made, gone = (sum(r[k] for r in index.runs) for k in ("units", "gone"))
@@ -251,8 +267,11 @@ def compact(spark: SparkSession, folder: str) -> Index:
     put(index.calls, run_table(folder, run, "calls"))
     put(index.named_edges, run_table(folder, run, "edges"))
     put(index.files.withColumn("dropped", F.lit(False)), run_table(folder, run, "files"))
+    # Vectors of texts that no unit has any more are left behind.
+    used = functools.reduce(DataFrame.unionByName, [vector_keys(index.units, n).select("key") for n in embedders(index)], index.vectors.select("key").limit(0))
+    _, kept = put(index.vectors.join(used.distinct(), "key", "left_semi"), run_table(folder, run, "vectors"), n=F.count("*"))
     stats = index.stats.first()
-    entry = {"run": run, "units": sum(r["units"] - r["gone"] for r in index.runs), "gone": 0, "names": 0, "name_bytes": 0}
+    entry = {"run": run, "units": sum(r["units"] - r["gone"] for r in index.runs), "gone": 0, "names": 0, "name_bytes": 0, "vectors": kept["n"], "embedders": embedders(index)}
     commit(spark, index, [entry], index.last_id, stats["files_scanned"], stats["functions_indexed"], changed=False)
     return load_index(spark, folder)
 
