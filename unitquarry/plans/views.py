@@ -84,7 +84,10 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels ``query_id, key``: units that repeat a sentence of the query word for word."""
+    """Labels ``query_id, key``: units that repeat a sentence of the query word for word.
+
+    The label rule asks for 20 characters, as shorter pieces are no statements.
+    """
     def sentences(df: DataFrame, text: str, *keep: str) -> DataFrame:
         cut = df.select(*keep, F.explode(F.split(text, "[.\n]")).alias("sentence"))
         return cut.withColumn("sentence", F.trim("sentence")).filter(F.length("sentence") >= 20).distinct()

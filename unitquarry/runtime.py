@@ -124,7 +124,7 @@ def checkpoint_ready(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
+    elif context.master.split("[")[0] == "local":
         context.setCheckpointDir(tempfile.mkdtemp(prefix="unitquarry-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
