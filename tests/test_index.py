@@ -295,22 +295,29 @@ def test_a_text_is_embedded_once(spark, tmp_path):
     copy = "function twin() { return 1 }\n"
     write(root, "p.js", copy)
     write(root, "q.js", copy * 2)
-    first = idx.index_project(spark, root, folder, make_embedder=counting)
+    first = idx.index_project(spark, root, folder, make_embedder=counting, embedder="counting")
     assert handed() == sorted(texts_of(first))
     write(root, "q.js", copy * 3 + "function fresh() { return 2 }\n")
-    second = idx.index_project(spark, root, folder, make_embedder=counting)
+    second = idx.index_project(spark, root, folder, make_embedder=counting, embedder="counting")
     assert [t.split("\n")[0] for t in handed()] == ["fresh"]
     assert second.units.filter("name = 'twin'").count() == 4 and second.vectors.count() == len(texts_of(second))
     # Another embedder's vectors are its own, also of a text that is known.
     write(root, "r.js", copy)
     assert idx.index_project(spark, root, folder).units.filter("file_path = 'r.js'").first().embedding is not None
     write(root, "r.js", "function last() { return 3 }")
-    packed = idx.compact(spark, idx.index_project(spark, root, folder, make_embedder=counting).folder)
+    packed = idx.compact(spark, idx.index_project(spark, root, folder, make_embedder=counting, embedder="counting").folder)
     assert [t.split("\n")[0] for t in handed()] == ["last"]
     # The text of twin has a vector of either embedder.
     assert packed.vectors.count() == len(texts_of(packed)) + 1
     write(root, "s.js", copy + "function last() { return 3 }")
-    idx.index_project(spark, root, folder, make_embedder=counting)
+    idx.index_project(spark, root, folder, make_embedder=counting, embedder="counting")
     assert handed() == []
-    forced = idx.index_project(spark, root, folder, force=True, make_embedder=counting)
+    forced = idx.index_project(spark, root, folder, force=True, make_embedder=counting, embedder="counting")
     assert handed() == sorted(texts_of(forced)) and forced.vectors.count() == len(texts_of(forced))
+
+
+def test_only_plain_functions_name_their_vectors():
+    import functools
+    from unitquarry.functions.vectors import embedder_name
+    assert embedder_name(tree) == f"{tree.__module__}.tree" and embedder_name(None)
+    assert [embedder_name(f) for f in (lambda: None, functools.partial(tree, 1), (lambda n: functools.wraps(embedder_name)(lambda: n))(1).__wrapped__.__get__(1))] == [None] * 3

@@ -93,11 +93,16 @@ def embed_units(units: DataFrame, make_embedder: EmbedderFactory | None = None,
     return model_embeddings(units, "id", text, make_embedder)
 
 
-def embedder_name(make_embedder: EmbedderFactory | None) -> str:
-    """Name that the vectors of an embedder are stored under."""
+def embedder_name(make_embedder: EmbedderFactory | None) -> str | None:
+    """Name that the vectors of an embedder are stored under.
+
+    None for closures, lambdas and objects, whose name does not tell which
+    model they hold.
+    """
     if make_embedder is None:
         return f"hashed-{HASHED_DIM}"
-    return f"{getattr(make_embedder, '__module__', '')}.{getattr(make_embedder, '__qualname__', type(make_embedder).__qualname__)}"
+    name = getattr(make_embedder, "__qualname__", "<object>")
+    return None if "<" in name or hasattr(make_embedder, "__self__") else f"{make_embedder.__module__}.{name}"
 
 
 def vector_keys(units: DataFrame, name: str) -> DataFrame:

@@ -25,6 +25,7 @@ __all__ = [
 def build_index(
     current: DataFrame, folder: str, read: Callable[[DataFrame], DataFrame], force: bool = False,
     make_embedder: EmbedderFactory | None = None, prune_missing: bool = False, with_vectors: bool = True,
+    embedder: str | None = None,
 ) -> Index:
     """Bring the index in ``folder`` up to date with the files of ``current``.
 
@@ -34,21 +35,23 @@ def build_index(
     own rows: calls are resolved again where the definitions of their name
     changed, all other rows and edges stay where they are.  Files that
     disappeared stay unless ``prune_missing`` is set.  Texts that an earlier run
-    embedded by the same embedder (told by its name) keep their vectors;
-    ``force`` embeds all anew.  Raises
+    embedded by the same embedder keep their vectors; ``force`` embeds all anew.
+    ``embedder`` names the model and its version.  Without it the name of a
+    plain function is taken; vectors of closures, lambdas and objects are then
+    not taken over by later runs.  Raises
     ``ConcurrentRun`` if another run committed meanwhile.
     """
     spark, run = current.sparkSession, snapshot.new_run()
     before = load_index(spark, folder)
     with snapshot.staging(spark, folder, run) as stage:
-        made = _write_run(before, current, run, stage, read, force, make_embedder, prune_missing, with_vectors)
+        made = _write_run(before, current, run, stage, read, force, make_embedder, prune_missing, with_vectors, embedder)
     index = load_index(spark, folder)
     return snapshot.compact(spark, folder) if made and snapshot.crowded(index) else index
 
 
 def _write_run(
     before: Index, current: DataFrame, run: str, stage: str, read: Callable[[DataFrame], DataFrame], force: bool,
-    make_embedder: EmbedderFactory | None, prune_missing: bool, with_vectors: bool,
+    make_embedder: EmbedderFactory | None, prune_missing: bool, with_vectors: bool, embedder: str | None,
 ) -> bool:
     """Write and commit the rows of one run; False if nothing was due.
 
@@ -78,10 +81,10 @@ def _write_run(
     order = ["file_path", "start_offset", F.desc("end_offset")]
     staged = found.repartitionByRange("file_path", "start_offset").sortWithinPartitions(*order)
     fresh = snapshot.number_new(staged, f"{stage}/staged", before.last_id)
-    vectors, name = 0, embedder_name(make_embedder)
+    vectors, name = 0, embedder or embedder_name(make_embedder)
     if with_vectors:
-        known = before.vectors.limit(0) if force else before.vectors
-        fresh, vectors = _with_vectors(fresh, known, stage, at("vectors"), name, make_embedder)
+        known = before.vectors if name and not force else before.vectors.limit(0)
+        fresh, vectors = _with_vectors(fresh, known, stage, at("vectors"), name or run, make_embedder)
     else:
         fresh = fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
     units, added = put(fresh.select(before.units.columns), at("units"), n=F.count("*"), last=F.max("id"))
@@ -89,8 +92,8 @@ def _write_run(
     # In token order, a search of a few words skips the row groups without them.
     put(ranking.postings(units).sortWithinPartitions("token"), at("postings"))
     entry = {
-        "run": run, "units": added["n"], "gone": 0, "names": 0, "name_bytes": 0, "forced": force, "vectors": vectors,
-        "embedders": [name] if with_vectors else []}
+        "run": run, "units": added["n"], "gone": 0, "names": 0, "name_bytes": 0, "forced": force, "vectors": vectors if name else 0,
+        "embedders": [name] if with_vectors and name else []}
 
     if before.version:
         narrow = before.units.select("id", "name", "class_name", "file_path")
