@@ -16,19 +16,26 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from unitquarry.llm.common import slices
 from unitquarry.runtime import cut
 
 # Labelled documents that the field is fitted on: at most so many, and of at most so many bytes each. Scoring has no bounds.
+# The first of them in the order of their ids' hashes are taken whose lines together are at most SAMPLE_LINES.
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 100_000
+SAMPLE_LINES = 300_000
 KINDS = 14
 BASE = 23
 NEIGHBOUR = 3 * BASE
 FEATURES = NEIGHBOUR + 2
 CHUNK_BYTES = 1 << 20
+# What a line adds to a chunk's size; a chain of more than WALK_LINES lines is walked in pieces of PIECE_LINES.
+LINE_BYTES = 64
+WALK_LINES = 1 << 15
+PIECE_LINES = 1 << 10
 
 
 def _byte_kinds() -> np.ndarray:
@@ -43,8 +50,11 @@ def _byte_kinds() -> np.ndarray:
     return table
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines of the texts, the lines' bytes, and each text's number of lines (at least one)."""
+def line_features(texts: list[bytes], repeated: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines of the texts, the lines' bytes, and each text's number of lines (at least one).
+
+    ``repeated`` tells of every line if its text had it before, where the texts are pieces of a longer one.
+    """
     kinds = _byte_kinds()
     lines = [t.split(b"\n") for t in texts]
     count = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
@@ -77,14 +87,17 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for some in lines:
         known: set[bytes] = set()
         for line in some:
-            if line and line in known:
-                seen[repeat] = 1.0
-            known.add(line)
+            if repeated is None:
+                if line and line in known:
+                    seen[repeat] = 1.0
+                known.add(line)
             found = line.split()
             if len(found) > 1:
                 again[repeat] = sum(map(eq, found, islice(found, 1, None))) / (len(found) - 1)
                 kept[repeat] = len(set(found)) / len(found)
             repeat += 1
+    if repeated is not None:
+        seen = repeated.astype(np.float64)
     of_bytes, of_words = np.maximum(size, 1)[:, None], np.maximum(words, 1)
     letters = np.maximum(share[:, 0] + share[:, 1] + share[:, 13], 1)
     base = np.column_stack([
@@ -149,6 +162,86 @@ def good_share(features: np.ndarray, size: np.ndarray, count: np.ndarray, weight
     return np.add.reduceat(lines[:, 1] * weight, first) / np.add.reduceat(weight, first)
 
 
+def _transfers(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log weight of every pair of a label before a piece and a label of its last line; ``scores`` (pieces, lines, 2)."""
+    out = np.where(np.eye(2, dtype=bool), 0.0, -np.inf)[None].repeat(len(scores), axis=0)
+    for t in range(scores.shape[1]):
+        out = np.logaddexp(out[:, :, :1] + moves[0], out[:, :, 1:] + moves[1]) + scores[:, t, None, :]
+    return out
+
+
+def long_marginals(scores: np.ndarray, moves: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Marginals of one long chain, as (first line, marginals) of some lines after the other.
+
+    The chain is cut into pieces.  The pieces' transfer weights give the
+    messages that enter them from both sides; with these added to its first
+    and last line, a piece is a chain of its own, and pieces advance together.
+    """
+    n, held = len(scores), WALK_LINES // PIECE_LINES
+    whole = n // PIECE_LINES
+    cuts = [*range(0, whole * PIECE_LINES, PIECE_LINES), *([whole * PIECE_LINES] if n % PIECE_LINES else [])]
+    bodies = scores[: whole * PIECE_LINES].reshape(whole, PIECE_LINES, 2)
+    # The first line of all has no move before it: its piece needs no weights on the way from it, only on the way to it.
+    found = [_transfers(bodies[at : at + held], moves) for at in range(0, whole, held)]
+    if n % PIECE_LINES:
+        found.append(_transfers(scores[None, whole * PIECE_LINES :], moves))
+    weights = np.concatenate(found)
+    pieces = len(cuts)
+    enter, leave = np.zeros((pieces, 2)), np.zeros((pieces, 2))
+    first = _transfers(scores[None, 1 : min(n, PIECE_LINES)], moves)[0]
+    ahead = np.logaddexp(scores[0, 0] + first[0], scores[0, 1] + first[1])
+    for k in range(1, pieces):
+        ahead = ahead - ahead.max()
+        enter[k] = np.logaddexp(ahead[0] + moves[0], ahead[1] + moves[1])
+        ahead = np.logaddexp(ahead[0] + weights[k, 0], ahead[1] + weights[k, 1])
+    for k in range(pieces - 1, 0, -1):
+        back = np.logaddexp(weights[k, :, 0] + leave[k, 0], weights[k, :, 1] + leave[k, 1])
+        leave[k - 1] = back - back.max()
+    for at in range(0, pieces, held):
+        begin, end = cuts[at], cuts[at + held] if at + held < pieces else n
+        count = np.diff([*cuts[at : at + held], end])
+        own = np.array(scores[begin:end])
+        starts = np.cumsum(count) - count
+        own[starts] += enter[at : at + held]
+        own[starts + count - 1] += leave[at : at + held]
+        yield begin, marginals(own, moves, count)[0]
+
+
+def long_share(text: bytes, weights: np.ndarray, moves: np.ndarray) -> float:
+    """``good_share`` of one text of many lines, whose features are made for some lines at a time.
+
+    Kept for all lines are where they end, a hash (which tells lines that
+    the text had before) and two scores: 40 bytes a line.
+    """
+    ends = np.append(np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 10), len(text))
+    starts = np.append(0, ends[:-1] + 1)
+    n, step = len(ends), WALK_LINES
+    hashes = np.empty(n, dtype=np.uint64)
+    for at in range(0, n, step):
+        some = text[starts[at] : ends[min(at + step, n) - 1]].split(b"\n")
+        hashes[at : at + len(some)] = np.fromiter(map(xxhash.xxh3_64_intdigest, some), dtype=np.uint64, count=len(some))
+    repeated = np.ones(n, dtype=bool)
+    repeated[np.unique(hashes, return_index=True)[1]] = False
+    repeated &= ends > starts
+    del hashes
+    scores = np.empty((n, 2))
+    at = 0
+    while at < n:
+        # Some lines, fewer of long ones, with a neighbour on either side.
+        to = min(n, at + step, max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, side="right"))))
+        low, high = max(0, at - 1), min(n, to + 1)
+        features, _, _ = line_features([text[starts[low] : ends[high - 1]]], repeated[low:high])
+        features[at - low, NEIGHBOUR] = float(at == 0)
+        features[to - 1 - low, NEIGHBOUR + 1] = float(to == n)
+        scores[at:to] = _with_one(features[at - low : to - low]) @ weights
+        at = to
+    good = 0.0
+    size = np.maximum(ends - starts, 1)
+    for at, lines in long_marginals(scores, moves):
+        good += float(lines[:, 1] @ size[at : at + len(lines)])
+    return good / float(size.sum())
+
+
 def fit(features: np.ndarray, size: np.ndarray, count: np.ndarray, label: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> dict[str, np.ndarray]:
     """Weights by gradient ascent (Adam) on the likelihood of chains that carry their document's label."""
     mean = features.mean(axis=0, dtype=np.float64).astype(features.dtype)
@@ -202,13 +295,14 @@ def _calibrate(share: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of bounded bytes together; a longer text is a range of its own."""
+    """Ranges of texts of bounded bytes and lines together; a longer text is a range of its own."""
     begin, held = 0, 0
     for i, text in enumerate(texts):
-        if held and held + len(text) > CHUNK_BYTES:
+        size = len(text) + LINE_BYTES * (text.count(b"\n") + 1)
+        if held and held + size > CHUNK_BYTES:
             yield begin, i
             begin, held = i, 0
-        held += len(text) + 64
+        held += size
     if begin < len(texts):
         yield begin, len(texts)
 
@@ -220,6 +314,9 @@ def _bytes(column: pa.Array) -> list[bytes]:
 def train(docs: DataFrame, labels: DataFrame, learns: Column, target: str = "quality", most: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
     """Model from at most ``most`` labelled documents, those whose ids have the smallest hashes.
 
+    Texts over ``SAMPLE_BYTES`` are not learned from, and only the first
+    documents whose lines together are at most ``SAMPLE_LINES``.
+
     ``labels`` has doc_id and ``target`` (0 or 1; others and null are left
     out); ids that are null, repeated among the documents or labelled both
     ways teach nothing.  Without both kinds of labels the model is constant.
@@ -227,8 +324,13 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, target: str = "qua
     told = labels.select("doc_id", F.col(target).alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     told = told.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).filter("label = _most").drop("_most")
     usable = docs.select("doc_id", "text").filter(learns & (F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES))
-    ids = usable.select("doc_id").join(told, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("label").alias("label"))
-    picked = cut(ids.filter("n = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "label"))
+    lines = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
+    ids = usable.select("doc_id", lines.alias("lines")).join(told, "doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.min("label").alias("label"), F.max("lines").alias("lines"))
+    # At most ``most`` rows are in the window.
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = ids.filter("n = 1").orderBy(*order).limit(most)
+    picked = cut(first.withColumn("held", F.sum("lines").over(Window.orderBy(*order))).filter(F.col("held") <= SAMPLE_LINES).select("doc_id", "label"))
     rows = usable.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").toArrow()
     if not rows.num_rows or len(set(rows.column("label").to_pylist())) < 2:
         only = float(rows.column("label")[0].as_py()) if rows.num_rows else 0.5
@@ -248,8 +350,11 @@ def scores(texts: list[bytes], model: dict[str, np.ndarray]) -> np.ndarray:
     """Probability of each text to be good."""
     out = np.zeros(len(texts))
     for a, b in chunks(texts):
-        features, size, count = line_features(texts[a:b])
-        share = good_share(_with_one(features), size, count, model["weights"], model["moves"])
+        if b == a + 1 and texts[a].count(b"\n") >= WALK_LINES:
+            share = np.array([long_share(texts[a], model["weights"], model["moves"])])
+        else:
+            features, size, count = line_features(texts[a:b])
+            share = good_share(_with_one(features), size, count, model["weights"], model["moves"])
         out[a:b] = 1 / (1 + np.exp(-np.clip(model["curve"][0] * _logit(share) + model["curve"][1], -30, 30)))
     return out
 
@@ -259,8 +364,11 @@ def with_score(docs: DataFrame, model: dict[str, np.ndarray], name: str = "score
 
     Null texts count as empty; an empty text is one empty line and is scored
     like any other; repeated rows are scored alike; an empty table gives no
-    rows.  Only ``text`` is an input of a score.
+    rows.  Texts of any number of lines are scored whole, in pieces; a single
+    line is held in memory at some 60 times its bytes.  A column already
+    called ``name`` is replaced.  Only ``text`` is an input of a score.
     """
+    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
