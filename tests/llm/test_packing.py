@@ -1,9 +1,11 @@
-from itertools import combinations
+import random
+import re
+from itertools import accumulate, combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from unitquarry.llm import packing
+from unitquarry.llm import packing, queries
 
 
 def least_padding(lengths, buckets):
@@ -17,22 +19,48 @@ def least_padding(lengths, buckets):
     return best
 
 
+def padding_of(lengths, ends):
+    return sum(min(b for b in ends if b >= n) - n for n in lengths)
+
+
 @pytest.mark.parametrize("buckets", [1, 2, 3, 4, 9])
-def test_boundaries_are_optimal(buckets):
-    lengths = [1, 1, 2, 5, 5, 6, 9, 14, 14, 14, 15, 30, 31, 90]
+@pytest.mark.parametrize("lengths", [
+    [1, 1, 2, 5, 5, 6, 9, 14, 14, 14, 15, 30, 31, 90], [0], [0, 0, 7], [4, 5, 6, 7], [1001, 1002, 1003, 5000, 5001, 5003, 5003, 100_000, 100_003],
+    [10**15, 10**15 + 1, 10**15 + 3, 2 * 10**15, 2 * 10**15 + 1]])
+def test_boundaries_are_optimal(buckets, lengths):
     distinct = sorted(set(lengths))
-    counts = [lengths.count(n) for n in distinct]
-    ends, padding = packing.optimal_boundaries(distinct, counts, [n * c for n, c in zip(distinct, counts)], buckets)
-    assert padding == least_padding(lengths, buckets)
-    assert padding == sum(min(b for b in ends if b >= n) - n for n in lengths)
+    ends, padding = packing.optimal_boundaries(distinct, [lengths.count(n) for n in distinct], buckets)
+    assert padding == least_padding(lengths, buckets) == padding_of(lengths, ends)
     assert len(ends) <= buckets
 
 
-def test_cells_cover_their_lengths(spark):
-    lengths = [0, 1, 511, 512, 513, 1023, 1024, 5000, 123_456, 10**9]
-    got = spark.createDataFrame([(n,) for n in lengths], "n bigint").select("n", packing.length_cell(F.col("n")).alias("c")).collect()
-    for r in got:
-        assert r.n <= r.c <= r.n * (1 + 1 / 256) and (r.n >= 512 or r.c == r.n)
+def test_boundaries_of_random_lengths():
+    draw = random.Random(7)
+    for _ in range(200):
+        lengths = [draw.choice([draw.randrange(12), draw.randrange(2000), 600 + draw.randrange(8)]) for _ in range(draw.randrange(1, 14))]
+        buckets, distinct = draw.randrange(1, 6), sorted(set(lengths))
+        ends, padding = packing.optimal_boundaries(distinct, [lengths.count(n) for n in distinct], buckets)
+        assert padding == least_padding(lengths, buckets) == padding_of(lengths, ends) and len(ends) <= buckets
+
+
+def test_query_pads_least(spark):
+    got = queries.QUERIES["op1_length_buckets"](spark, "/root/testdata/sf0.001").toPandas()
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lengths = sorted(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in table.select("text").collect())
+    assert sorted(got.n_tokens) == lengths
+    # The plain recurrence over all distinct lengths.
+    distinct = sorted(set(lengths))
+    docs = [0, *accumulate(lengths.count(n) for n in distinct)]
+    best = [n * d for n, d in zip(distinct, docs[1:])]
+    for _ in range(got.bucket.nunique() - 1):
+        best = [min([best[j], *(best[i] + distinct[j] * (docs[j + 1] - docs[i + 1]) for i in range(j))]) for j in range(len(distinct))]
+    assert got.padded_length.sum() == best[-1]
+
+
+def test_equal_rows_are_spread(spark):
+    twins = spark.range(50_000, numPartitions=4).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(700).alias("n_tokens"))
+    got = packing.pack_by_length(twins).toPandas()
+    assert sorted(zip(got.batch, got.slot)) == [(i // 23, i % 23) for i in range(50_000)]
 
 
 @pytest.fixture

@@ -1,8 +1,8 @@
 """Packing by optimal length buckets.
 
 A global histogram of lengths is built by one aggregate.  Dynamic programming
-over its cells picks the bucket boundaries that minimise all padding.  Inside
-a bucket, documents fill batches of a token budget.
+over it picks the bucket boundaries that minimise all padding.  Inside a
+bucket, documents fill batches of a token budget.
 """
 
 from __future__ import annotations
@@ -10,59 +10,60 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from unitquarry.llm.common import words
 from unitquarry.runtime import cut
 
-# Cells are exact below 2^EXACT_BITS and 2^(EXACT_BITS-1) per power of two above: some 14,000 for any 64-bit length.
-EXACT_BITS = 9
 SALT_ROWS = 4096
 
 
-def length_cell(length: Column) -> Column:
-    """Upper end of the histogram cell of a length."""
-    bits = F.length(F.bin(length))
-    step = F.when(bits > EXACT_BITS, F.pow(F.lit(2.0), bits - EXACT_BITS)).otherwise(F.lit(1.0)).cast("bigint")
-    return F.ceil(length / step).cast("bigint") * step
-
-
-def optimal_boundaries(
-    upper: Sequence[int], count: Sequence[int], total: Sequence[int], buckets: int
-) -> tuple[list[int], int]:
+def optimal_boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> tuple[list[int], int]:
     """Boundaries of at most ``buckets`` buckets with the least padding, and that padding.
 
-    ``upper`` is ascending: the largest length of each cell, with the cell's
-    number of documents and sum of lengths.  A bucket ends at a cell and pads
-    all its documents to its largest length.
+    ``lengths`` is ascending and without repeats, with the number of documents
+    of each.  A bucket pads all its documents to its largest length.  With one
+    bucket more, the least cost up to a length is the lowest of lines, one for
+    each end of the bucket before, at that length: slopes fall and lengths
+    rise, so a pass over the lengths finds it.  All numbers are exact.
     """
-    up = np.asarray(upper, dtype=np.float64)
-    docs = np.concatenate([[0.0], np.cumsum(np.asarray(count, dtype=np.float64))])
-    tokens = float(np.sum(np.asarray(total, dtype=np.float64)))
-    n = len(up)
+    n = len(lengths)
     if not n:
         return [], 0
-    best = up * docs[1:]
+    docs, tokens = [0], 0
+    for length, count in zip(lengths, counts, strict=True):
+        docs.append(docs[-1] + count)
+        tokens += length * count
+    best = [length * held for length, held in zip(lengths, docs[1:])]
     cuts = []
     for _ in range(min(buckets, n) - 1):
-        fresh, start = best.copy(), np.zeros(n, dtype=np.int64)
+        fresh, start = list(best), [-1] * n
+        # Lines (slope, value at 0, end before) that are the lowest somewhere, from the first one on that can still be.
+        hull: list[tuple[int, int, int]] = []
+        at = 0
         for j in range(1, n):
-            cost = best[:j] + up[j] * (docs[j + 1] - docs[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < best[j]:
-                fresh[j], start[j] = cost[i], i + 1
+            slope, value = -docs[j], best[j - 1]
+            while len(hull) - at > 1:
+                (s1, v1, _), (s2, v2, _) = hull[-2], hull[-1]
+                if (value - v1) * (s1 - s2) > (v2 - v1) * (s1 - slope):
+                    break
+                hull.pop()
+            hull.append((slope, value, j - 1))
+            x = lengths[j]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                at += 1
+            cost = hull[at][0] * x + hull[at][1] + x * docs[j + 1]
+            if cost < best[j]:
+                fresh[j], start[j] = cost, hull[at][2]
         cuts.append(start)
         best = fresh
-    ends, j = [], n - 1
+    ends, j = [n - 1], n - 1
     for start in reversed(cuts):
-        ends.append(j)
-        if not start[j]:
-            j = -1
-            break
-        j = int(start[j]) - 1
-    if j >= 0:
-        ends.append(j)
-    return [int(upper[e]) for e in sorted(set(ends))], int(best[n - 1] - tokens)
+        # Without a start of its own, the same cost is reached with a bucket less.
+        if start[j] >= 0:
+            j = start[j]
+            ends.append(j)
+    return [lengths[e] for e in reversed(ends)], best[n - 1] - tokens
 
 
 def pack_by_length(docs: DataFrame, buckets: int = 16, budget: int = 16_384) -> DataFrame:
@@ -73,23 +74,22 @@ def pack_by_length(docs: DataFrame, buckets: int = 16, budget: int = 16_384) ->
     Null lengths count as 0; ids may be null or repeat (each row gets its own
     slot); an empty table gives no rows; further columns are ignored.  The
     batches of a bucket are numbered from 0, and only its last one may be short.
+    The driver gets one row per distinct length: at most the root of twice the
+    sum of all lengths.
     """
     rows = cut(docs.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")))
-    cells = rows.groupBy(length_cell(F.col("n_tokens")).alias("cell")).agg(
-        F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("m"))
-    histogram = sorted(cells.collect(), key=lambda r: r["m"])
-    ends, _ = optimal_boundaries([r["m"] for r in histogram], [r["n"] for r in histogram], [r["t"] for r in histogram], buckets)
-    ends = ends or [0]
-    inside = np.zeros(len(ends), dtype=np.int64)
-    for r in histogram:
-        inside[np.searchsorted(ends, r["m"])] += r["n"]
+    histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
+    lengths, counts = histogram.column("n_tokens").to_numpy(), histogram.column("n").to_numpy()
+    ends = optimal_boundaries(lengths.tolist(), counts.tolist(), buckets)[0] or [0]
+    inside = np.bincount(np.searchsorted(ends, lengths), weights=counts, minlength=len(ends))
     bounds = F.array(*[F.lit(e).cast("bigint") for e in ends])
     room = F.array(*[F.lit(max(1, budget // max(e, 1))).cast("bigint") for e in ends])
     salts = F.array(*[F.lit(int(-(-n // SALT_ROWS)) or 1).cast("bigint") for n in inside])
     placed = (
         rows.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("n_tokens"))))
         .withColumn("padded_length", F.get(bounds, F.col("bucket")))
-        .withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.get(salts, F.col("bucket")))))
+        .withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.get(salts, F.col("bucket")))))
+    # Salts are drawn from the numbers of the stored rows, so equal rows are spread like others.
     # Positions in a bucket: position within a salted part, after the parts before it.
     inner = F.row_number().over(Window.partitionBy("bucket", "_salt").orderBy("doc_id", "n_tokens")) - 1
     parts = placed.groupBy("bucket", "_salt").agg(F.count("*").alias("_rows"))
