@@ -1,35 +1,23 @@
-"""Language-model scoring by prediction by partial matching (PPM).
+"""Parts of prediction by partial matching (PPM): tries, word counts, training classes.
 
 A byte-context trie holds, for every context of up to ``ORDER`` bytes, how
 often each byte followed it.  A byte is coded in the longest known context;
 if it never followed there, an escape (method D: every kind of follower gives
 half a count to it) leads to the next shorter one, where the bytes that the longer
-one could have coded are excluded.  Here contexts reach back to the start of a
-word, so a word's code length depends on the word alone: it is computed once
-per distinct word, and documents only add up what their words cost.
-``ppm_text`` has the coder whose contexts run over whole texts.
-
-There is one pretrained trie per training class (the documents' language), and
-a document's probability is that of the mixture of them.
+one could have coded are excluded.  ``ppm_text`` scores texts with these.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from unitquarry.llm.common import written
-
 ORDER = 5
 CLASSES = 8
-# Fixed symbols: before a word, after a word, and for the end of a text. No word holds them.
-START, STOP, END = 0x0D, 0x20, 0x0A
 # Words that every task knows by heart: the most frequent ones, at most so many.
 HOT_WORDS = 1 << 17
 HELD_WORDS = 300_000
@@ -81,66 +69,11 @@ def word_counts(rows: DataFrame, classes: int) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n"), *by_class)
 
 
-def _stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Gram keys (length of context, context, byte) of the longest contexts, their lengths, and each word's first key and number of keys."""
-    coded = [bytes((START,)) + w + bytes((STOP,)) if w else bytes((START, END)) for w in words]
-    data = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-    starts = np.cumsum(sizes) - sizes
-    inside = np.arange(len(data)) - np.repeat(starts, sizes)
-    depth = np.minimum(inside, ORDER)
-    context = np.zeros(len(data), dtype=np.int64)
-    for back in range(1, ORDER + 1):
-        on = depth >= back
-        context[on] |= data[np.flatnonzero(on) - back] << (8 * (back - 1))
-    use = inside > 0
-    keys = ((depth << 48) | (context << 8) | data)[use]
-    return keys, depth[use], starts - np.arange(len(words)), sizes - 1
-
-
 def shorter(keys: np.ndarray, size: int) -> np.ndarray:
     """Keys with their contexts cut to ``size`` bytes (class bits stay)."""
     return (keys & ~((1 << 51) - 1)) | (size << 48) | (keys & ((1 << (8 * size + 8)) - 1))
 
 
-def grams(words: DataFrame, classes: int) -> DataFrame:
-    """(gram, n): how often each byte followed its longest context, by class.
-
-    A gram packs class, length of the context, context and byte.  Contexts
-    shorter than ``ORDER`` are those that begin a word.
-    """
-
-    def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-        return unique, np.bincount(at, weights=np.concatenate(counts), minlength=len(unique))
-
-    def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["gram", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-        for batch in batches:
-            key, _, _, sizes = _stream(batch.column(0).to_pylist())
-            for m in range(classes):
-                n = np.repeat(batch.column(1 + m).to_numpy(), sizes)
-                if n.any():
-                    unique, count = merge([key[n > 0] | (m << 51)], [n[n > 0].astype(np.float64)])
-                    keys.append(unique)
-                    counts.append(count)
-                    held += len(unique)
-            if held > 1_500_000:
-                unique, count = merge(keys, counts)
-                keys, counts, held = [unique], [count], len(unique)
-                if held > 1_000_000:
-                    yield out(unique, count)
-                    keys, counts, held = [], [], 0
-        if keys:
-            yield out(*merge(keys, counts))
-
-    columns = ["word", *[f"n{m}" for m in range(classes)]]
-    return words.filter("n > 0").select(*columns).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def all_orders(gram: np.ndarray, n: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Grams of every context length, from ``least`` on, from those of the longest contexts.
 
@@ -216,36 +149,6 @@ class Tries:
         used = self.kinds[self.context == cls << 43]
         out[left] -= np.log10(256 - (used[0] if len(used) else 0))
         return out
-
-    def words(self, words: list[bytes], classes: int) -> np.ndarray:
-        """(classes, n): log10 probability of each word with its end, in each class."""
-        keys, _, first, _ = _stream(words)
-        unique, at = np.unique(keys, return_inverse=True)
-        return np.stack([np.add.reduceat(self.log10(unique, m)[at], first) for m in range(classes)])
-
-
-def fit(words: DataFrame, classes: int, most: int | None = None) -> Tries:
-    """Tries of all counted words; with ``most``, the rarest contexts are left out so that at most so many grams stay."""
-    counted = written(grams(words, classes))
-    if most is None:
-        model = counted.toArrow()
-        return Tries(*all_orders(model.column("gram").to_numpy(), model.column("n").to_numpy()))
-    contexts = counted.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    # Grams by the number of bits of their context's total, most frequent contexts first: the bound cuts at a power of two.
-    sizes = contexts.groupBy(F.length(F.bin("total")).alias("bits")).agg(F.sum("kinds").alias("grams")).orderBy(F.desc("bits")).collect()
-    grown, least = 0, 0
-    for r in sizes:
-        grown += r["grams"]
-        if grown > most:
-            least = 1 << r["bits"]
-            break
-    if least:
-        rich = contexts.filter(F.col("total") >= least).select("context")
-        counted = counted.withColumn("context", F.shiftright("gram", 8)).join(rich, "context", "left_semi").select("gram", "n")
-    model = counted.toArrow()
-    return Tries(*all_orders(model.column("gram").to_numpy(), model.column("n").to_numpy()))
-
-
 def mixture(priors: list[float]) -> Column:
     """log10 probability under the mixture of classes from those under each of them (s0..)."""
     weighted = [F.col(f"s{m}") + F.lit(float(np.log10(p))) for m, p in enumerate(priors) if p > 0]
@@ -253,90 +156,6 @@ def mixture(priors: list[float]) -> Column:
     return best + F.log10(sum((F.pow(F.lit(10.0), w - best) for w in weighted[1:]), F.pow(F.lit(10.0), weighted[0] - best)))
 
 
-def score(docs: DataFrame, held_out: Column, by: str = "lang") -> DataFrame:
-    """Scores of every row of ``docs`` (doc_id, text, and ``by``, the training class).
-
-    Learns from the rows for which ``held_out`` is not true.  Returns doc_id,
-    held_out, n_tokens, n_known, train_tokens, base_score, score: the sum of
-    the add-one unigram log10 probabilities, and the log10 probability under
-    the PPM mixture.  Null and empty texts hold the end token alone; a null id
-    or class is a value like any other; repeated rows are scored alike and each
-    returned; nothing is returned for an empty table; words may be of any
-    length; further columns are ignored.  Without training rows all bytes are
-    equally likely.
-    """
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"), F.col(by).alias("by"))
-    learning = plain.filter(~F.col("held"))
-    number, classes = class_column(learning, "by")
-    words = written(word_counts(plain.select("text", F.when(F.col("held"), F.lit(-1)).otherwise(number).cast("int").alias("cls")), classes))
-    total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    n, space = total["n"] or 0, (total["n"] or 0) + total["v"] + 1
-    ends = words.filter(F.octet_length("word") == 0).first()
-    mixed = np.array([ends[f"n{m}"] if ends else 0 for m in range(classes)], dtype=np.float64)
-    priors = [float(p) for p in (mixed / mixed.sum() if mixed.sum() else np.full(classes, 1 / classes))]
-    context = docs.sparkSession.sparkContext
-    arrays = context.broadcast(dict(fit(words, classes).__dict__))
-    columns = ["known", "base", *[f"s{m}" for m in range(classes)]]
-    kinds = ", ".join(f"{c} double" for c in columns)
-
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = Tries.of(arrays.value)
-        for batch in batches:
-            count = batch.column(1).to_numpy()
-            costs = tries.words(batch.column(0).to_pylist(), classes) if batch.num_rows else np.zeros((classes, 0))
-            priced_words = [np.where(count > 0, 1.0, 0.0), np.log10((count + 1) / space), *costs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, priced_words)], ["word", "n", *columns])
-
-    priced = written(words.select("word", "n").mapInArrow(price, f"word binary, n bigint, {kinds}"))
-    hottest = priced.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
-    hot = context.broadcast((
-        {w: i for i, w in enumerate(hottest.column("word").to_pylist())},
-        np.stack([hottest.column(c).to_numpy() for c in columns], axis=1) if hottest.num_rows else np.zeros((0, len(columns)))))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
-        known, table = hot.value
-        table = np.vstack([table, np.zeros((1, len(columns)))])
-        names = ["row", "doc_id", "held", "word", "times", "tokens", *columns]
-
-        def out(rows, ids, held, word, times, length, sums):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), ids, held, pa.array(word, pa.binary()), pa.array(times, pa.int64()), pa.array(length, pa.int64()),
-                 *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(columns))]], names)
-
-        for batch in batches:
-            rows, length, sums, rare_row, rare, times = [], [], [], [], [], []
-            for text in batch.column(1):
-                row = (part << 33) | seen
-                seen += 1
-                found = tokens(text.as_py())
-                at = np.fromiter(map(known.get, found, repeat(-1)), dtype=np.int64, count=len(found))
-                sums.append(table[at].sum(axis=0))
-                rows.append(row)
-                length.append(len(found))
-                missing = Counter(found[i] for i in np.flatnonzero(at < 0))
-                rare_row += [row] * len(missing)
-                rare += missing.keys()
-                times += missing.values()
-            if rows:
-                # A key that is no word and belongs to this row alone, so that these rows do not meet in one task.
-                own = [b" " + r.to_bytes(8, "big") for r in rows]
-                yield out(rows, batch.column(0), batch.column(2), own, [0] * len(rows), length, np.array(sums))
-            for i in range(0, len(rare), 50_000):
-                k = len(rare[i : i + 50_000])
-                yield out(rare_row[i : i + k], pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), rare[i : i + k], times[i : i + k], [0] * k, np.zeros((k, len(columns))))
-
-    parts = plain.select("doc_id", "text", "held").mapInArrow(
-        add, f"row bigint, doc_id bigint, held boolean, word binary, times bigint, tokens bigint, {kinds}")
-    costs = priced.select(F.col("word").alias("_word"), *[F.col(c).alias(f"_{c}") for c in columns])
-    joined = parts.join(costs, parts["word"] == costs["_word"], "left")
-    sums = [F.sum(F.col(c) + F.col("times") * F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in columns]
-    whole = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held").alias("held_out"), F.sum("tokens").alias("n_tokens"), *sums)
-    return whole.select(
-        "doc_id", "held_out", "n_tokens", F.round("known").cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        F.col("base").alias("base_score"), mixture(priors).alias("score"))
-
-
 def bucket_of(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(buckets))
