@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from unitquarry.llm.common import slices, written
-from unitquarry.llm.ppm import HOT_WORDS, ORDER, Tries, all_orders, class_column, mixture, shorter, word_counts
+from unitquarry.llm.ppm import CLASSES, HOT_WORDS, ORDER, Tries, all_orders, class_column, mixture, shorter, word_counts
 
 # Fixed symbols before and after a text; UTF-8 has no such bytes.
 BEGIN, FINISH = 0xFE, 0xFF
@@ -171,10 +171,11 @@ def hot_bound(priced: DataFrame, most: int) -> int:
     return 0
 
 
-def score(docs: DataFrame, held_out: Column, by: str = "lang") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, by: str = "lang", most: int = CLASSES) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text, and ``by``, the training class).
 
-    Learns from the rows for which ``held_out`` is not true.  Returns doc_id,
+    Learns from the rows for which ``held_out`` is not true, a trie for each of
+    the ``most - 1`` most frequent classes and one for all others.  Returns doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score: the sum of
     the add-one unigram log10 probabilities of the words (A-Z lower-cased, the
     end of a text is a word), and the log10 probability of all bytes of the
@@ -186,7 +187,7 @@ def score(docs: DataFrame, held_out: Column, by: str = "lang") -> DataFrame:
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"), F.col(by).alias("by"))
     learning = plain.filter(~F.col("held"))
-    number, classes = class_column(learning, "by")
+    number, classes = class_column(learning, "by", most)
     mixed = np.zeros(classes)
     for r in learning.groupBy(number.alias("cls")).count().collect():
         mixed[r["cls"]] = r["count"]
