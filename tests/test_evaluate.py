@@ -57,6 +57,32 @@ def test_metrics_by_hand(spark):
     assert compared["Full Repository"].recall == pytest.approx((2 / 3 + 1) / 3)
 
 
+def test_methods_are_judged_in_one_pass(spark, monkeypatch):
+    units = spark.createDataFrame([(i, f"n{i % 5}", None, "f", i, i, "x" * (7 * i % 40)) for i in range(12)], UNITS)
+    queries = spark.createDataFrame([(i, "q") for i in range(6)], "query_id bigint, text string")
+    qrels = spark.createDataFrame([(q, f"f:n{(q + j) % 5}") for q in range(4) for j in range(q)], "query_id bigint, key string")
+    files = spark.createDataFrame([("f", "x" * 900)], "path string, content string")
+    methods = {
+        f"m{k}": spark.createDataFrame([(q, (q * k + j) % 12) for q in range(5) for j in range(k)], "query_id bigint, id bigint") for k in range(4)}
+    tokens = evaluate.corpus_tokens(files)
+    rows = {r.method: r for r in evaluate.compare_methods(methods, units, queries, qrels, files).collect()}
+    assert list(rows) == ["Full Repository", *methods]
+    for name, results in methods.items():
+        alone = evaluate.per_query(results, units, queries, qrels, tokens).collect()
+        assert len(alone) == 6
+        for measure in evaluate.MEASURES:
+            assert rows[name][measure] == pytest.approx(sum(r[measure] for r in alone) / 6)
+    # As many checkpoints for three methods as for one.
+    cuts, plain = [], evaluate.runtime.cut
+    monkeypatch.setattr(evaluate.runtime, "cut", lambda df: cuts.append(1) or plain(df))
+    evaluate.compare_methods({"m1": methods["m1"]}, units, queries, qrels, files)
+    one = len(cuts)
+    evaluate.compare_methods(methods, units, queries, qrels, files)
+    assert len(cuts) == 2 * one
+    none = evaluate.compare_methods(methods, units, queries.limit(0), qrels, files).collect()
+    assert [r.method for r in none] == ["Full Repository", *methods] and all(r.recall is None for r in none)
+
+
 def test_benchmark_run(spark, tmp_path):
     sources = spark.createDataFrame(list(corpus.SOURCES.items()), "path string, content string")
     queries = spark.createDataFrame(corpus.QUERIES, "query_id bigint, text string")

@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -49,34 +49,46 @@ def per_query(
     key is charged the tokens of the first unit with that key.  A query without
     results has precision and recall 0 and reduction 100.
     """
+    one = results.select(F.lit("").alias("method"), "query_id", "id")
+    return per_method_and_query(one, [""], units, queries, qrels, repository_tokens).drop("method")
+
+
+def per_method_and_query(
+    results: DataFrame, methods: Sequence[str], units: DataFrame, queries: DataFrame, qrels: DataFrame, repository_tokens: DataFrame
+) -> DataFrame:
+    """``per_query`` of several methods in one pass: ``results`` and the answer have a ``method``.
+
+    Every query has a row for each of ``methods``, whether it has results or not.
+    """
     qrels = qrels.select("query_id", "key").distinct()
     # The ranking is read several times; write it once.
-    results = runtime.cut(results.select("query_id", "id"))
+    results = runtime.cut(results.select("method", "query_id", "id"))
     keyed_units = units if "tokens" in units.columns else keyed(units)
     # Results are few and units many: shrink the units before anything is shuffled.
     found = runtime.lookup_join(
         keyed_units.select("id", "key"), results.select("id").distinct(), ["id"], "left_semi", F.col("id"))
     # A unit, and a key, may be returned for a large share of all queries.
     returned = runtime.lookup_join(results, runtime.cut(found), ["id"], "inner", F.col("query_id"), "key")
-    returned = runtime.cut(returned.groupBy("query_id", "key").agg(F.count("*").alias("rows")))
+    returned = runtime.cut(returned.groupBy("method", "query_id", "key").agg(F.count("*").alias("rows")))
     same_key = runtime.lookup_join(
         keyed_units, returned.select("key").distinct(), ["key"], "left_semi", F.col("id"), "key")
     first = runtime.cut(same_key.groupBy("key").agg(F.min_by("tokens", "id").alias("tokens")))
     judged = (
         runtime.lookup_join(returned, first, ["key"], "inner", F.col("query_id"), "key")
         .join(qrels.withColumn("relevant", F.lit(1)), ["query_id", "key"], "left")
-        .groupBy("query_id").agg(
+        .groupBy("method", "query_id").agg(
             F.sum("rows").alias("returned"),
             F.count("relevant").alias("hits"),
             F.sum(F.col("rows") * F.col("tokens")).alias("context_tokens")))
     counts = (
         queries.select("query_id")
         .join(qrels.groupBy("query_id").agg(F.count("*").alias("relevant")), "query_id", "left")
-        .join(judged, "query_id", "left")
+        .withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+        .join(judged, ["method", "query_id"], "left")
         .fillna(0, ["relevant", "returned", "hits", "context_tokens"]))
     share = F.col("context_tokens") / repository_tokens.select("tokens").scalar()
     return counts.select(
-        "query_id", "returned", "hits", "relevant",
+        "method", "query_id", "returned", "hits", "relevant",
         _ratio("hits", "returned").alias("precision"),
         _ratio("hits", "relevant").alias("recall"),
         (100.0 * (1.0 - share)).alias("token_reduction_percent"))
@@ -104,27 +116,34 @@ def per_query_full(units: DataFrame, queries: DataFrame, qrels: DataFrame) -> Da
             F.lit(0.0).alias("token_reduction_percent")))
 
 
-def macro_average(per: DataFrame, method: str) -> DataFrame:
-    """One row per method: the plain mean over queries."""
-    return per.agg(
-        F.avg("token_reduction_percent").alias("token_reduction_percent"),
-        F.avg("precision").alias("precision"),
-        F.avg("recall").alias("recall"),
-    ).select(F.lit(method).alias("method"), "token_reduction_percent", "precision", "recall")
+MEASURES = ("token_reduction_percent", "precision", "recall")
+
+
+def macro_average(per: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """One row per method, in their order: the plain mean over its queries; NULL without any."""
+    means = per.agg(*[
+        F.struct(F.lit(m).alias("method"), *[F.avg(F.when(F.col("method") == m, F.col(c))).alias(c) for c in MEASURES]).alias(f"m{i}")
+        for i, m in enumerate(methods)])
+    return means.select(F.inline(F.array(*means.columns)))
 
 
 def compare_methods(
     methods: dict[str, DataFrame], units: DataFrame, queries: DataFrame, qrels: DataFrame, files: DataFrame
 ) -> DataFrame:
-    """One row per method, the whole corpus first: ``method, token_reduction_percent, precision, recall``."""
+    """One row per method, the whole corpus first: ``method, token_reduction_percent, precision, recall``.
+
+    All methods are judged together: units and labels are read once.
+    """
     # Labels and corpus size serve every method; work them out once.
     qrels, tokens = runtime.cut(qrels.select("query_id", "key").distinct()), runtime.cut(corpus_tokens(files))
     units = runtime.cut(keyed(units))
-    rows = [macro_average(per_query_full(units, queries, qrels), FULL)]
-    rows += [
-        macro_average(per_query(results, units, queries, qrels, tokens), method)
-        for method, results in methods.items()]
-    return reduce(DataFrame.unionByName, rows)
+    full = macro_average(per_query_full(units, queries, qrels).withColumn("method", F.lit(FULL)), [FULL])
+    if not methods:
+        return full
+    results = reduce(DataFrame.unionByName, [
+        found.select(F.lit(method).alias("method"), "query_id", "id") for method, found in methods.items()])
+    per = per_method_and_query(results, list(methods), units, queries, qrels, tokens)
+    return full.unionByName(macro_average(per, list(methods)))
 
 
 def timed(run: Callable[[], DataFrame], queries: int) -> tuple[DataFrame, float]:
