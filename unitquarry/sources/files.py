@@ -92,6 +92,28 @@ def filesystem(root: str) -> tuple[fs.FileSystem, str]:
     return store, base.rstrip("/")
 
 
+def entries(store: fs.FileSystem, base: str, folder: str, patterns: Sequence[re.Pattern]) -> Iterator[tuple[str, bool, int, int]]:
+    """``path, is_dir, mtime_ms, size`` of what is directly in a folder and not ignored, paths relative to ``base``."""
+    here, local = f"{base}/{folder}" if folder else base, isinstance(store, fs.LocalFileSystem)
+    for entry in store.get_file_info(fs.FileSelector(here)):
+        path = f"{folder}/{entry.base_name}" if folder else entry.base_name
+        is_dir = entry.type == fs.FileType.Directory
+        if entry.base_name.startswith(".") or any(p.match(path) for p in patterns):
+            continue
+        if not is_dir and entry.type != fs.FileType.File:
+            continue
+        # A link to a folder above would be entered again and again.
+        if is_dir and local and os.path.realpath(here).startswith(os.path.realpath(entry.path) + "/"):
+            continue
+        yield path, is_dir, (entry.mtime_ns or 0) // 1_000_000, entry.size or 0
+
+
+def read_text(store: fs.FileSystem, base: str, path: str) -> str:
+    """Content of a file.  Bytes that are no UTF-8 become U+FFFD."""
+    with store.open_input_stream(f"{base}/{path}") as f:
+        return f.read().decode("utf-8", "replace")
+
+
 _ENTRIES = "path string, is_dir boolean, mtime_ms bigint, size bigint"
 
 
@@ -104,31 +126,17 @@ def list_tree(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> Dat
     """
     patterns = [re.compile(p) for p in ignore_patterns(ignore)]
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def level_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = filesystem(root)
-        local = isinstance(store, fs.LocalFileSystem)
         for batch in batches:
-            rows = []
-            for folder in batch["path"]:
-                here = f"{base}/{folder}" if folder else base
-                for entry in store.get_file_info(fs.FileSelector(here)):
-                    path = f"{folder}/{entry.base_name}" if folder else entry.base_name
-                    is_dir = entry.type == fs.FileType.Directory
-                    if entry.base_name.startswith(".") or any(p.match(path) for p in patterns):
-                        continue
-                    if not is_dir and entry.type != fs.FileType.File:
-                        continue
-                    # A link to a folder above would be entered again and again.
-                    if is_dir and local and os.path.realpath(here).startswith(os.path.realpath(entry.path) + "/"):
-                        continue
-                    rows.append((path, is_dir, (entry.mtime_ns or 0) // 1_000_000, entry.size or 0))
+            rows = [row for folder in batch["path"] for row in entries(store, base, folder, patterns)]
             yield pd.DataFrame(rows, columns=["path", "is_dir", "mtime_ms", "size"])
 
     parts = spark.sparkContext.defaultParallelism
     folders = spark.createDataFrame([("",)], "path string")
     found = spark.createDataFrame([], "path string, mtime_ms bigint, size bigint")
     while not folders.isEmpty():
-        level = runtime.cut(folders.repartition(parts, "path").mapInPandas(entries, _ENTRIES))
+        level = runtime.cut(folders.repartition(parts, "path").mapInPandas(level_of, _ENTRIES))
         files = level.filter(~F.col("is_dir") & F.col("path").rlike(SOURCE_PATH))
         found = found.unionByName(files.drop("is_dir"))
         folders = level.filter("is_dir").select("path")
@@ -144,9 +152,7 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             # One file at a time, so a batch of large files is never held together.
             for row in batch.itertuples(index=False):
-                with store.open_input_stream(f"{base}/{row.path}") as f:
-                    content = f.read().decode("utf-8", "replace")
-                yield pd.DataFrame([(row.path, row.mtime_ms, row.size, content)], columns=["path", "mtime_ms", "size", "content"])
+                yield pd.DataFrame([(row.path, row.mtime_ms, row.size, read_text(store, base, row.path))], columns=["path", "mtime_ms", "size", "content"])
 
     parts = 4 * files.sparkSession.sparkContext.defaultParallelism
     return files.select("path", "mtime_ms", "size").repartition(parts, "path").mapInPandas(read, schema)
