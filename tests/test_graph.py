@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from unitquarry import runtime
@@ -106,6 +107,39 @@ def test_distributed_positions(spark, monkeypatch):
     assert expanded(spark, seeds, edges, range(41), 3) == want
 
 
+def test_stored_links_stay_where_they_are(spark):
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(2000)] + [(7, i) for i in range(200)]
+    links = expand.adjacency(spark.createDataFrame(edges, "caller_id bigint, callee_id bigint"))
+    frontier = spark.createDataFrame([(q, rng.choice([7, rng.randint(0, 320)]), q) for q in range(500)], "query_id bigint, src bigint, pos bigint")
+    want = sorted(links.join(frontier, "src").select("query_id", "src", "dst", "direction").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with expand.stored_links(links) as stored:
+            hot = [r[0] for r in spark.range(7, 8).select(F.xxhash64("id")).collect()]
+            for some in ([], hot):
+                met = expand.meet(stored, frontier, some)
+                assert sorted(met.select("query_id", "src", "dst", "direction").collect()) == want
+            plan = expand.meet(stored, frontier, [])._jdf.queryExecution().executedPlan().toString()
+            moved = [line for line in plan.split("Initial Plan")[0].split("\n") if "Exchange" in line]
+            assert "Bucketed: true" in plan and len(moved) == 1 and "REPARTITION_BY_NUM" in moved[0], plan
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("unitquarry_links")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_frontiers_store_the_links_once(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    rng, made, plain = random.Random(8), [], expand.stored_links
+    monkeypatch.setattr(expand, "stored_links", lambda links: made.append(1) or plain(links))
+    edges = [(a, b) for a, b in {(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(120)} if a != b]
+    seeds = {1: [0, 5], 2: [7]}
+    for depth, times in ((1, 0), (3, 1)):
+        made.clear()
+        want = {q: brute.walk(s, edges, set(range(61)), depth) for q, s in seeds.items()}
+        assert expanded(spark, seeds, edges, range(61), depth) == want and len(made) == times
+
+
 def test_depth_must_be_a_number():
     assert expand.check_depth(2.9) == 2 and expand.check_depth(-3) == 1
     for bad in (float("nan"), "2", None, True):

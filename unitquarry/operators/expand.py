@@ -9,6 +9,10 @@ before it is shuffled, and the answer does not depend on the partitioning.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import runtime
@@ -34,6 +38,34 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return calls.unionByName(called_by)
 
 
+@contextmanager
+def stored_links(links: DataFrame) -> Iterator[DataFrame]:
+    """``links`` written once, in buckets of ``src``: joins on it leave them where they are.
+
+    The files lie in the checkpoint folder; the table's name is gone afterwards.
+    """
+    spark = links.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"unitquarry_links_{uuid.uuid4().hex}"
+    try:
+        # One task, and so one file, per bucket.
+        links.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src").option(
+            "path", f"{runtime.checkpoint_folder(spark)}/{name}").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def meet(links: DataFrame, frontier: DataFrame, hot: list[int]) -> DataFrame:
+    """Join of stored links and a large frontier on ``src``: only the frontier, and links of hot nodes, are moved."""
+    buckets = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not hot:
+        return links.join(frontier.repartition(buckets, "src"), "src")
+    is_hot = F.xxhash64("src").isin(*hot)
+    cold = links.filter(~is_hot).join(frontier.filter(~is_hot).repartition(buckets, "src"), "src")
+    return cold.unionByName(runtime.skew_join(links.filter(is_hot), frontier.filter(is_hot), ["src"], "inner", F.col("dst"), hot))
+
+
 def expand(results: DataFrame, edges: DataFrame, units: DataFrame, depth: int = 1) -> DataFrame:
     """Matches first, then everything within ``depth`` calls of them.
 
@@ -43,7 +75,13 @@ def expand(results: DataFrame, edges: DataFrame, units: DataFrame, depth: int =
     edge to a unit that is not in ``units`` leads nowhere.
     """
     depth = check_depth(depth)
-    links = adjacency(edges)
+    with ExitStack() as stack:
+        return _expand(results, adjacency(edges), units, depth, lambda links: stack.enter_context(stored_links(links)))
+
+
+def _expand(results: DataFrame, links: DataFrame, units: DataFrame, depth: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``expand`` over both directions of the edges; ``store`` gives them in buckets.  What is returned reads written tables only."""
+    stored = None
     ids = units.select("id")
     # The ranking is used several times below; write it once.
     level = runtime.cut(results.select("query_id", F.col("pos").cast("bigint").alias("pos"), "id", "score"))
@@ -52,8 +90,18 @@ def expand(results: DataFrame, edges: DataFrame, units: DataFrame, depth: int =
     for step in range(1, depth + 1):
         frontier = level.select("query_id", F.col("id").alias("src"), "pos")
         # Only the edges of the frontier are needed.  A frontier of checked size
-        # goes to the edges, which then stay where they are.
-        met = runtime.lookup_join(links, frontier, ["src"], "inner", F.col("dst"))
+        # goes to the edges, which then stay where they are.  For a larger one
+        # they are dealt once by node, if more rounds may need that again.
+        if runtime.is_small(frontier):
+            met = links.join(F.broadcast(frontier), "src")
+        else:
+            if stored is None and step < depth:
+                stored = store(links)
+                [hot] = runtime.hot_keys(stored, ["src"])
+            if stored is not None:
+                met = meet(stored, frontier, hot)
+            else:
+                met = runtime.skew_join(links, frontier, ["src"], "inner", F.col("dst"), runtime.hot_keys(links, ["src"])[0])
         code = F.col("pos") * 2 + F.col("direction")
         found = (
             met.select("query_id", F.col("dst").alias("id"), code.alias("code"))

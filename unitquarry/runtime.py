@@ -130,6 +130,12 @@ def checkpoint_ready(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Where checkpoints of this session lie."""
+    checkpoint_ready(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the files."""
     checkpoint_ready(df.sparkSession)
