@@ -41,6 +41,11 @@ def is_small(df: DataFrame, *text: str) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
+def parts_of(spark: SparkSession, size: int, most: int) -> int:
+    """Partitions that hold at most about ``most`` of ``size`` each, and no fewer than the session's number."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Hash-partition a plain table scan that has fewer splits than the session has cores.
 
