@@ -184,3 +184,35 @@ def test_incremental_edges_equal_a_full_rebuild(spark, hot):
         got = [(r.caller_id, r.callee_id) for r in edges.collect()]
         assert len(got) == len(set(got))
         assert set(got) == graph(spark, [units[i] for i in alive], [c for i in alive for c in calls[i]])
+
+
+def test_large_lookups_are_dealt_to_more_tasks(spark, monkeypatch):
+    """The joins of a resolution get tasks by the number of calls, not the session's number alone."""
+    units = spark.createDataFrame([(i, f"n{i}", None, f"f{i % 5}") for i in range(40)], UNITS)
+    calls = spark.createDataFrame([(i % 40, f"n{i % 37}", None) for i in range(400)], "caller_id bigint, name string, receiver string")
+    want = sorted(map(str, callgraph.resolve_calls(units, calls).collect()))
+    monkeypatch.setattr(runtime, "TASK_ROWS", 10)
+    for rows in (0, 1):
+        monkeypatch.setattr(runtime, "HOT_ROWS", rows or 10**6)
+        found = callgraph.resolve_calls(units, calls)
+        plan = found._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert plan.count("REPARTITION_BY_NUM") == 4, plan
+        assert sorted(map(str, found.collect())) == want
+
+
+def test_calls_are_made_once(spark, monkeypatch, tmp_path):
+    """No step of the update makes the calls again, with nothing small enough to broadcast."""
+    from unitquarry.plans import queries, views
+
+    spark.createDataFrame([(i, f"p{i % 7}", f"Brand#{i % 3}", f"t{i % 4}", i % 5) for i in range(60)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i // 4, i % 4, i * 7 % 60) for i in range(200)], "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = sorted(map(str, queries.q_update_edges(spark, str(tmp_path)).collect()))
+    made, plain = [], runtime.stored
+    monkeypatch.setattr(runtime, "stored", lambda df: made.append(1) or plain(df))
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    found = queries.q_update_edges(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert len(made) == 3 and "lineitem" not in plan
+    assert want and sorted(map(str, found.collect())) == want

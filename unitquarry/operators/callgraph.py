@@ -60,8 +60,9 @@ def resolve_calls(units: DataFrame, calls: DataFrame, calling: DataFrame | None
         (by_file_class, ["file_path", "class_key", "name"]), (by_file, ["file_path", "name"]),
         (by_owner, ["owner", "name"]), (by_name, ["name"]))
     found = asked
-    for (lookup, keys), hot in zip(lookups, runtime.hot_keys(asked, *[keys for _, keys in lookups])):
-        found = runtime.skew_join(found, lookup, keys, "left", F.col("caller_id"), hot)
+    rows, hots = runtime.key_profile(asked, *[keys for _, keys in lookups])
+    for (lookup, keys), hot in zip(lookups, hots):
+        found = runtime.skew_join(found, lookup, keys, "left", F.col("caller_id"), hot, rows)
     return found.select(
         "caller_id", "name", "receiver",
         F.coalesce("by_owner", "in_class", "in_file", "by_name").alias("callee_id"),

@@ -237,24 +237,26 @@ def q_rejected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def q_resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = callgraph.resolve_calls(views.part_units(spark, sf_dir), views.part_calls(spark, sf_dir))
-    return resolved.groupBy("caller_id", "name", "receiver", "callee_id", "rule").agg(F.count("*").alias("n"))
+    calls = runtime.stored(views.part_calls(spark, sf_dir))
+    resolved = callgraph.resolve_calls(views.part_units(spark, sf_dir), calls)
+    answers = ["caller_id", "name", "receiver", "callee_id", "rule"]
+    return runtime.dealt(resolved, calls.count(), *answers).groupBy(*answers).agg(F.count("*").alias("n"))
 
 
 @registered
 def q_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callgraph.build_call_graph(views.part_units(spark, sf_dir), views.part_calls(spark, sf_dir))
+    return callgraph.build_call_graph(views.part_units(spark, sf_dir), runtime.stored(views.part_calls(spark, sf_dir)))
 
 
 @registered
 def q_update_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that end in an odd digit were indexed again, some of their units under another name."""
-    units, calls = views.part_units(spark, sf_dir), views.part_calls(spark, sf_dir)
-    now, now_calls = views.edited_parts(units), views.edited_calls(units, calls)
+    units, calls = views.part_units(spark, sf_dir), runtime.stored(views.part_calls(spark, sf_dir))
+    now, now_calls = views.edited_parts(units), runtime.stored(views.edited_calls(units, calls))
     gone = maintain.of_files(units, views.touched_paths(units))
     stayed, fresh = now.filter("id >= 0"), now.filter("id < 0")
     names = callgraph.changed_names(gone, fresh)
-    edges = callgraph.named_edges(callgraph.resolve_calls(units, calls))
+    edges = runtime.stored(callgraph.named_edges(callgraph.resolve_calls(units, calls)))
     again = callgraph.edges_again(stayed.unionByName(fresh), now_calls.filter("caller_id >= 0"), now_calls.filter("caller_id < 0"), names)
     return callgraph.merge_edges(edges, again, names, gone)
 

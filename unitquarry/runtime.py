@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -17,6 +18,9 @@ HOT_ROWS = 100_000
 HOT_KEYS = 200
 SALTS = 64
 
+# Rows of a large join or grouping that meet in one task.
+TASK_ROWS = 1_000_000
+
 # Up to this many rows in all, an ordered group is numbered by one window task.
 WINDOW_ROWS = 1_000_000
 
@@ -77,24 +81,31 @@ def hot_keys(df: DataFrame, *keys: Sequence[str]) -> list[list[int]]:
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread: Column, hot: list[int]
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread: Column, hot: list[int], rows: int = 0
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys and whose right side has few rows per key.
 
     Left rows of a hot key are spread over ``SALTS`` groups by ``spread`` (a
     deterministic column, so a retried task repeats it); the right rows of the
     same keys are repeated once per group.  Other keys are untouched.  Valid
-    for inner, left, left_semi and left_anti joins.
+    for inner, left, left_semi and left_anti joins.  ``rows`` is the measured
+    size of the left side, if known: a large one is dealt to more tasks.
     """
     on = list(on)
     if not hot:
-        return left.join(right, on, how)
+        return dealt(left, rows, *on).join(right, on, how)
     key = F.xxhash64(*on)
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     salted_left = left.withColumn("_salt", F.when(key.isin(*hot), salt).otherwise(0))
     copies = F.when(key.isin(*hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.withColumn("_salt", F.explode(copies))
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    return dealt(salted_left, rows, *on, "_salt").join(salted_right, [*on, "_salt"], how).drop("_salt")
+
+
+def dealt(df: DataFrame, rows: int, *on: str) -> DataFrame:
+    """``df`` of so many rows by ``on``, if the session's number of partitions is too small for them."""
+    parts = parts_of(df.sparkSession, rows, TASK_ROWS)
+    return df.repartition(parts, *on) if rows > TASK_ROWS and parts > parts_of(df.sparkSession, 0, 1) else df
 
 
 def lookup_join(
@@ -147,6 +158,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write many rows as Parquet to the checkpoint folder and continue from the files; they are smaller than a checkpoint."""
+    at = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def top_k(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows per group with their position; each task first keeps its own ``k``."""
     ranked = df.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
