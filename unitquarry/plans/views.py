@@ -179,8 +179,7 @@ def edited_parts(units: DataFrame) -> DataFrame:
 def edited_calls(units: DataFrame, calls: DataFrame) -> DataFrame:
     """``part_calls`` after the same change; what is called keeps its name."""
     touched = units.filter(F.col("file_path").rlike("[13579]$")).select(F.col("id").alias("caller_id"), F.lit(True).alias("touched"))
-    [hot] = runtime.hot_keys(calls, ["caller_id"])
-    marked = runtime.skew_join(calls, touched, ["caller_id"], "left", F.xxhash64("name", "receiver"), hot)
+    marked = runtime.lookup_join(calls, touched, ["caller_id"], "left", F.xxhash64("name", "receiver"))
     return marked.select(F.when(F.col("touched"), -F.col("caller_id") - 1).otherwise(F.col("caller_id")).alias("caller_id"), "name", "receiver")
 
 
