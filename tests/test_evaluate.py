@@ -122,3 +122,22 @@ def test_context_and_listings(spark):
     listing = {r.query_id: r.listing for r in context.result_listing(results, units, queries).collect()}
     assert listing[1] == (
         "Gate.open()\ngate.ts:3-5\nScore: 0.46\n--------------------\nhelp()\nutil.ts:1-1\nRelationship: calls (depth 1)")
+
+
+def test_sentences_meet_the_queries_before_they_move(spark, tmp_path):
+    """Labels shuffle only sentences that some query has; repeats and short pieces change nothing."""
+    from unitquarry.plans import views
+
+    shared = "the harbor opens when the tide is high"
+    spark.createDataFrame(
+        [(1, f"One. {shared}. {shared}\nA sentence that no query has at all", "en", "web", 9), (2, f"Two. {shared.upper()}.", "en", "web", 9),
+         (3, f"One.\n  {shared}  \n", "en", "web", 9), (4, None, "en", "web", 0), (5, f"Five. {shared}", "en", None, 9)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, f"Why. {shared}. {shared}."), (8, "One."), (9, f"{shared}\nTwo.")], "item_id bigint, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    found = views.shared_sentences(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "key#" in line]
+    assert moved and not any("sentence#" in line for line in moved)
+    assert sorted(tuple(r) for r in found.collect()) == [(7, "Five"), (7, "web:One"), (9, "Five"), (9, "web:One")]

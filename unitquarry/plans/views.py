@@ -90,9 +90,10 @@ def shared_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     def sentences(df: DataFrame, text: str, *keep: str) -> DataFrame:
         cut = df.select(*keep, F.explode(F.split(text, "[.\n]")).alias("sentence"))
-        return cut.withColumn("sentence", F.trim("sentence")).filter(F.length("sentence") >= 20).distinct()
+        return cut.withColumn("sentence", F.trim("sentence")).filter(F.length("sentence") >= 20)
 
-    wanted = sentences(text_queries(spark, sf_dir), "text", "query_id")
+    # Repeats of the units go once they met the queries: most of their sentences meet none.
+    wanted = sentences(text_queries(spark, sf_dir), "text", "query_id").distinct()
     units = document_units(spark, sf_dir).withColumn("key", F.concat_ws(":", "file_path", "name"))
     told = sentences(units, "code", "key")
     return runtime.lookup_join(told, wanted, ["sentence"], "inner", F.col("key"), "sentence").select(
